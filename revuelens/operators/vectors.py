@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revuelens.functions.scalars import hex_uniform
 from revuelens.functions.text import ngrams, words
 from revuelens.functions.vectors import (
     cosine,
@@ -22,7 +23,6 @@ from revuelens.functions.vectors import (
     one_hot,
     seeded_normals,
     seeded_step,
-    vec_concat,
     vec_mse,
 )
 
@@ -106,26 +106,15 @@ def centroid_distances(cents: DataFrame, key: str, max_groups: int = 2000) -> Da
     The matrix is the result, so it is meant for few groups; more than
     ``max_groups`` is refused rather than cut.
     """
-    size = F.count("*")
-    guard = F.when(size > max_groups, F.raise_error(F.lit("too many groups for a distance matrix")))
-    table = cents.agg(
-        F.coalesce(guard.cast(_pair_type(cents, key)), F.collect_list(F.struct(F.col(key).alias("other"), F.col("centroid").alias("other_centroid"))))
-    ).scalar()
-    return cents.select(key, "centroid", F.inline(table)).select(
-        F.col(key).alias("group_a"),
-        F.col("other").alias("group_b"),
-        l2_dist(F.col("centroid"), F.col("other_centroid")).alias("distance"),
+    if cents.limit(max_groups + 1).count() > max_groups:
+        raise ValueError(f"more than {max_groups} groups in a distance matrix")
+    other = F.struct(F.col(key).alias("group_b"), F.col("centroid").alias("_other"))
+    table = cents.agg(F.collect_list(other)).scalar()
+    return cents.select(F.col(key).alias("group_a"), "centroid", F.inline(table)).select(
+        "group_a", "group_b", l2_dist(F.col("centroid"), F.col("_other")).alias("distance")
     )
 
 
-def _pair_type(cents: DataFrame, key: str) -> T.ArrayType:
-    fields = [
-        T.StructField("other", cents.schema[key].dataType),
-        T.StructField("other_centroid", cents.schema["centroid"].dataType),
-    ]
-    return T.ArrayType(T.StructType(fields))
-
-
 def interpolate(ends: DataFrame, a: str, b: str, points: int = 7, keep: Sequence[str] = ()) -> DataFrame:
     """``points`` vectors on the line from ``a`` to ``b`` of every row, with norms."""
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i / F.lit(float(points - 1)))
@@ -173,8 +162,6 @@ def noise_schedule(spark: SparkSession, steps: int = NOISE_STEPS) -> DataFrame:
 
     One short row per step, so the running product is a one-task window.
     """
-    from pyspark.sql import Window as W
-
     beta = F.lit(BETA_START) + F.col("step") * F.lit((BETA_END - BETA_START) / (steps - 1))
     upto = W.orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
@@ -232,12 +219,10 @@ def embed_text(
         .groupBy(id_column, "_column", bucket.alias("_bucket"))
         .agg(F.sum(sign).cast("double").alias("_sum"))
     )
-    filled = F.map_from_entries(
-        F.collect_list(F.when(F.col("_bucket").isNotNull(), F.struct("_bucket", "_sum")))
-    )
+    hashed = F.col("_bucket").isNotNull()
     vectors = [
         F.map_from_entries(
-            F.collect_list(F.when((F.col("_column") == text) & F.col("_bucket").isNotNull(), F.struct("_bucket", "_sum")))
+            F.collect_list(F.when((F.col("_column") == text) & hashed, F.struct("_bucket", "_sum")))
         ).alias(vector)
         for text, vector in columns.items()
     ]
@@ -275,8 +260,6 @@ def mean_and_covariance(df: DataFrame, vector: str):
 
     Only the width of the vectors decides what reaches the driver.
     """
-    import numpy as np
-
     rows = df.select(array_to_vector(F.col(vector)).alias("v"))
     summary = rows.select(Summarizer.metrics("mean", "std").summary(F.col("v")).alias("s")).first()["s"]
     std = summary["std"].toArray()
@@ -308,11 +291,3 @@ def project_2d(df: DataFrame, vector: str = "body_emb") -> DataFrame:
         F.lit(share[0]).alias("pc1_share"),
         F.lit(share[1]).alias("pc2_share"),
     )
-
-
-def condition_vector(*columns: str):
-    return vec_concat(*[F.col(c).cast("array<double>") for c in columns])
-
-
-def seeded_unit(id_column: str, seed: int):
-    return hex_uniform(F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f"#{seed}#u"))))
