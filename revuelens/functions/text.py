@@ -7,7 +7,7 @@ Unicode set Python's ``str.split`` uses.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,11 +60,31 @@ def _not_in(word: Column, stop_words: Sequence[str]) -> Column:
     return ~word.isin(list(stop_words)) if stop_words else F.lit(True)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    An expression used inside a lambda is evaluated again for every element; a
+    bound one is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(items: Column, n: int) -> Column:
     """Contiguous n-grams of an array, joined with blanks."""
-    starts = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - (n - 1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), " "))
-    return F.coalesce(grams, F.array().cast("array<string>"))
+
+    def grams(found: Column) -> Column:
+        starts = F.when(
+            F.size(found) >= n, F.sequence(F.lit(1), F.size(found) - (n - 1))
+        ).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(found, i, n), " "))
+
+    return bind(items, grams)
+
+
+def char_grams(text: Column, n: int) -> Column:
+    """Contiguous runs of ``n`` characters, overlapping, in one pass over the text."""
+    # The first look-ahead skips the second half of a surrogate pair.
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?![\udc00-\udfff])(?=(.{{{n}}}))"), 1)
 
 
 def preview(text: Column, length: int) -> Column:

@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revuelens.functions.scalars import perplexity
+from revuelens.functions.text import char_grams
 from revuelens.operators.joins import null_safe_join
 
 
-def char_grams(df: DataFrame, text: str, n: int, by: Sequence[str]) -> DataFrame:
+def count_grams(df: DataFrame, text: str, n: int, by: Sequence[str]) -> DataFrame:
     """Rows per (condition, context of n-1 characters, next character)."""
-    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
-    grams = F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(n)))
     return (
-        df.select(*by, F.explode(grams).alias("_gram"))
+        df.select(*by, F.explode(char_grams(F.col(text), n)).alias("_gram"))
         .groupBy(*by, "_gram")
         .agg(F.count("*").alias("n"))
         .select(
@@ -33,7 +32,7 @@ def fit_char_ngram(
 ) -> DataFrame:
     """Counts of each continuation and of its context."""
     by = list(by)
-    grams = char_grams(df, text, n, by)
+    grams = count_grams(df, text, n, by)
     contexts = grams.groupBy(*by, "context").agg(F.sum("n").alias("n_context"))
     return null_safe_join(grams, contexts, [*by, "context"])
 
@@ -53,7 +52,7 @@ def char_perplexity(
     join moves one row per n-gram and not one per character.
     """
     by = list(by)
-    grams = char_grams(df, text, n, by)
+    grams = count_grams(df, text, n, by)
     seen = null_safe_join(
         grams, model.select(*by, "context", "next", F.col("n").alias("_hits")), [*by, "context", "next"], "left"
     )

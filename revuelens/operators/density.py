@@ -127,7 +127,7 @@ def sample_values(
     bins = model.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct("bin", "lo", "hi", "prob"))).alias("_bins")
     )
-    joined = join_lookup(requests, bins, by, "left").withColumn("_u", uniform)
+    joined = join_lookup(requests.withColumn("_u", uniform), bins, by, "left")
     start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("double").alias("value"))
 
     def step(state, b):

@@ -167,13 +167,13 @@ LATENT_KEYS = ["category_encoded", "star_rating"]
 def _affine(matrix: np.ndarray, offset: np.ndarray):
     """Arrow-batched ``x @ matrix + offset`` over an array column."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def apply(rows: pd.Series) -> pd.Series:
         if rows.empty:
             return rows
         return pd.Series(list(np.stack(rows.to_numpy()) @ matrix + offset))
 
-    return apply
+    # Written annotations are text here, so the kind of function is named.
+    return F.pandas_udf(apply, T.ArrayType(T.DoubleType()), F.PandasUDFType.SCALAR)
 
 
 def _joint(df: DataFrame, n_categories: int) -> DataFrame:

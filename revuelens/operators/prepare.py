@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from revuelens.functions.scalars import helpfulness
 from revuelens.functions.text import clean_text, word_count
-from revuelens.operators.filters import drop_empty_text, filter_length, filter_reviews
+from revuelens.operators.filters import filter_length, filter_reviews
 from revuelens.operators.joins import join_lookup
 from revuelens.operators.ranks import exact_quantiles, number_distinct
 from revuelens.operators.sampling import stratified_sample, stratified_split
@@ -99,12 +99,18 @@ def standardize(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def clean_reviews(df: DataFrame, min_total_votes: int, exclude_vine: bool = False) -> DataFrame:
-    """Filter, measure, clean, impute and encode; every step of the row stage."""
+    """Filter, measure, clean, impute and encode; every step of the row stage.
+
+    The texts are read and cleaned in one pass whose result is stored. The medians
+    and the category codes then come from narrow columns of the stored table.
+    """
     kept = filter_reviews(df, min_total_votes, exclude_vine=exclude_vine)
-    measured = filter_length(with_lengths(with_helpfulness(kept)))
-    imputed = impute_by_group(measured, "helpfulness_ratio")
-    encoded = encode_category(imputed)
-    return drop_empty_text(with_clean_text(encoded))
+    cleaned = with_clean_text(filter_length(with_lengths(with_helpfulness(kept))))
+    usable = (F.length("clean_body") > 0) & (F.length("clean_headline") > 0)
+    stored = materialize(cleaned.withColumn("_usable", usable))
+    # Medians are those of all rows in the length band, as are the codes.
+    encoded = encode_category(impute_by_group(stored, "helpfulness_ratio"))
+    return encoded.filter("_usable").drop("_usable")
 
 
 def prepare(
@@ -112,14 +118,12 @@ def prepare(
 ) -> DataFrame:
     """The whole preparation: clean, sample per stratum, scale, split.
 
-    The cleaned rows and the sample are stored once each, because the passes that
-    follow (rank cuts, moments, split) would otherwise repeat the text cleaning.
+    The sample is stored, because its moments and the split's cuts each read it.
     """
-    cleaned = materialize(clean_reviews(df, min_total_votes, exclude_vine))
+    cleaned = clean_reviews(df, min_total_votes, exclude_vine)
     sample = stratified_sample(cleaned, STRATUM, per_stratum, seed, "review_id")
-    sample = materialize(
-        sample.withColumn("review_body_words", word_count(F.col("clean_body")))
-    )
+    words = word_count(F.col("clean_body"))
+    sample = materialize(sample.withColumn("review_body_words", words))
     scaled = standardize(
         sample,
         {"review_body_words": "length_scaled", "helpfulness_ratio": "helpfulness_scaled"},

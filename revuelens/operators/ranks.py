@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from revuelens.functions.scalars import seeded_hash
 from revuelens.operators.joins import join_lookup, null_safe_join
 
-_STEPS = 4096  # buckets per octave
+_STEPS = 1024  # buckets per doubling of the value
 _SHIFT = 1100 * _STEPS  # above the exponent of the smallest double
 
 
 def _bucket(value: Column) -> Column:
-    """Order-preserving bucket number, 1/4096 octave wide, 0 for zero."""
+    """Order-preserving bucket number of a double; a bucket is 0.07 % wide, 0 is its own."""
     size = (F.floor(F.log2(F.abs(value)) * _STEPS) + _SHIFT).cast("long")
     return (
         F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
@@ -44,47 +44,35 @@ def cumulative_counts(
 ) -> DataFrame:
     """Add ``cum_<m>`` (up to and with the value) and ``total_<m>`` per group.
 
-    ``counts`` has one row per (by, value). Values are grouped by octave, then by
-    1/4096 octave, then ordered; the first two levels are small whatever the
-    number of rows, so no task orders more than one bucket.
+    ``counts`` has one row per (by, value). Buckets are totalled and ordered first;
+    there are some thousand of them per group whatever the number of rows. Then
+    values are ordered inside their bucket only.
     """
     by = list(by)
-    sums = [F.sum(m).alias(m) for m in measures]
-    rows = counts.withColumn("_fine", _bucket(F.col("value"))).withColumn(
-        "_octave", F.floor(F.col("_fine") / _STEPS)
-    )
-    before = [W.unboundedPreceding, -1]
-    fine = rows.groupBy(*by, "_octave", "_fine").agg(*sums)
-    octave = fine.groupBy(*by, "_octave").agg(*sums)
-    in_octave = W.partitionBy(*by, "_octave").orderBy("_fine").rowsBetween(*before)
-    # An octave table has at most a few thousand rows per group.
+    rows = counts.withColumn("_bucket", _bucket(F.col("value")))
+    # Without keys the one group is the bucket table, never the rows.
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    over_octaves = group.orderBy("_octave").rowsBetween(*before)
-    octave = octave.select(
-        *by,
-        "_octave",
-        *[F.coalesce(F.sum(m).over(over_octaves), F.lit(0)).alias(f"_o_{m}") for m in measures],
-        *[F.sum(m).over(group).alias(f"total_{m}") for m in measures],
-    )
-    fine = fine.select(
-        *by,
-        "_octave",
-        "_fine",
-        *[F.coalesce(F.sum(m).over(in_octave), F.lit(0)).alias(f"_f_{m}") for m in measures],
+    earlier = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        rows.groupBy(*by, "_bucket")
+        .agg(*[F.sum(m).alias(m) for m in measures])
+        .select(
+            *by,
+            "_bucket",
+            *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_before_{m}") for m in measures],
+            *[F.sum(m).over(group).alias(f"total_{m}") for m in measures],
+        )
     )
-    offsets = null_safe_join(fine, octave, [*by, "_octave"])
-    in_fine = (
-        W.partitionBy(*by, "_octave", "_fine")
+    inside = (
+        W.partitionBy(*by, "_bucket")
         .orderBy("value")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    rows = rows.select(
-        "*", *[F.sum(m).over(in_fine).alias(f"_v_{m}") for m in measures]
-    )
-    joined = null_safe_join(rows, offsets, [*by, "_octave", "_fine"])
+    rows = rows.select("*", *[F.sum(m).over(inside).alias(f"_inside_{m}") for m in measures])
+    joined = null_safe_join(rows, offsets, [*by, "_bucket"])
     return joined.select(
         *counts.columns,
-        *[(F.col(f"_o_{m}") + F.col(f"_f_{m}") + F.col(f"_v_{m}")).alias(f"cum_{m}") for m in measures],
+        *[(F.col(f"_before_{m}") + F.col(f"_inside_{m}")).alias(f"cum_{m}") for m in measures],
         *[f"total_{m}" for m in measures],
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,9 +24,7 @@ from revuelens.operators.ranks import number_distinct
 from revuelens.operators.sampling import top_n_per_group
 
 
-def _top_terms(
-    df: DataFrame, by: Sequence[str], terms, k: int
-) -> DataFrame:
+def _top_terms(df: DataFrame, by: Sequence[str], terms: Column, k: int) -> DataFrame:
     """The ``k`` most frequent terms per group; equal counts in term order."""
     counts = (
         df.select(*by, F.explode(terms).alias("term"))
@@ -148,11 +146,12 @@ def encode_chars(df: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
     """
     ordered = F.sort_array(F.collect_list(F.struct("char_id", "char")))
     alphabet = vocab.agg(F.array_join(F.transform(ordered, lambda s: s["char"]), "")).scalar()
-    places = F.transform(F.split(F.col(text), ""), lambda c: _place(c, alphabet))
-    return df.withColumn("encoded", F.filter(places, lambda i: i >= 0))
+    known = df.withColumn("_alphabet", alphabet)
+    places = F.transform(F.split(F.col(text), ""), lambda c: _place(c, F.col("_alphabet")))
+    return known.withColumn("encoded", F.filter(places, lambda i: i >= 0)).drop("_alphabet")
 
 
-def _place(char, alphabet):
+def _place(char: Column, alphabet: Column) -> Column:
     return F.when(F.length(char) > 0, F.position(char, alphabet) - 1).otherwise(-1)
 
 

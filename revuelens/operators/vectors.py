@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revuelens.functions.text import ngrams, words
+from revuelens.functions.text import bind, ngrams, words
 from revuelens.functions.vectors import (
     cosine,
     l2,
@@ -208,8 +208,8 @@ def embed_text(
         return _encode_with(df, columns, id_column, encoder)
     parts = []
     for text in columns:
-        terms = words(F.lower(F.col(text)))
-        parts.append(F.struct(F.lit(text).alias("_column"), F.concat(terms, ngrams(terms, 2)).alias("_terms")))
+        terms = bind(words(F.lower(F.col(text))), lambda w: F.concat(w, ngrams(w, 2)))
+        parts.append(F.struct(F.lit(text).alias("_column"), terms.alias("_terms")))
     long = df.select(id_column, F.inline(F.array(*parts)))
     digest = F.md5("_term")
     bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
@@ -230,14 +230,21 @@ def embed_text(
     return maps.select(id_column, *[_unit(v, dim).alias(v) for v in columns.values()])
 
 
-def _unit(sums: str, dim: int):
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at(F.col(sums), i), F.lit(0.0)),
-    )
-    squares = F.aggregate(F.map_values(sums), F.lit(0.0), lambda t, x: t + x * x)
-    length = F.when(squares > 0, F.sqrt(squares)).otherwise(1.0)
-    return F.transform(dense, lambda x: (x / length).cast("float"))
+def _unit(sums: str, dim: int) -> Column:
+    """Dense vector of length one from a map of its non-zero elements."""
+
+    def dense(entries: Column) -> Column:
+        squares = F.aggregate(F.map_values(entries), F.lit(0.0), lambda t, x: t + x * x)
+        length = F.when(squares > 0, F.sqrt(squares)).otherwise(1.0)
+        return bind(
+            length,
+            lambda size: F.transform(
+                F.sequence(F.lit(0), F.lit(dim - 1)),
+                lambda i: (F.coalesce(F.try_element_at(entries, i), F.lit(0.0)) / size).cast("float"),
+            ),
+        )
+
+    return bind(F.col(sums), dense)
 
 
 def _encode_with(df: DataFrame, columns: dict[str, str], id_column: str, encoder) -> DataFrame:

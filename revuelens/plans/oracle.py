@@ -31,17 +31,17 @@ def clean(x: str) -> str:
 
 def clean_words(x: str) -> str:
     letters = f"regexp_replace(lower({x}), '[^a-z{SPACE}]', '', 'g')"
-    return f"list_filter({words(letters)}, w -> length(w) > 2 and w not in {STOPS})"
+    return f"list_filter({words(letters)}, lambda w: length(w) > 2 and w not in {STOPS})"
 
 
 def tokens(x: str) -> str:
-    return f"list_filter(regexp_extract_all(lower({x}), '[{WORD}]{{2,}}'), w -> w not in {STOPS})"
+    return f"list_filter(regexp_extract_all(lower({x}), '[{WORD}]{{2,}}'), lambda w: w not in {STOPS})"
 
 
 def ngrams(items: str, n: int) -> str:
     return (
         f"list_transform(range(1, greatest(len({items}) - {n - 1}, 0) + 1), "
-        f"i -> array_to_string({items}[i:i+{n - 1}], ' '))"
+        f"lambda i: array_to_string({items}[i:i+{n - 1}], ' '))"
     )
 
 

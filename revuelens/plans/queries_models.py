@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from revuelens.operators.density import fit_conditional_density
 from revuelens.operators.sampling import request_grid, stratified_split
 from revuelens.plans import fixtures as fx
 from revuelens.plans.catalog import query
+from revuelens.session import materialize
 
 CATEGORIES, LATENT = 5, 8
 KEYS = models.LATENT_KEYS
@@ -32,9 +31,10 @@ def _(spark, sf):
 
 
 def rated_vectors(spark, sf) -> DataFrame:
-    """Planted vectors whose rating follows the label, split 80/10/10."""
-    rows = fx.planted_vectors(spark, sf, 0.1).withColumn("star_rating", (1 + F.col("label") % 5).cast("int"))
-    return stratified_split(rows, ["star_rating"], (0.8, 0.1, 0.1), fx.SEED)
+    """Planted vectors whose rating follows the label, split 80/10/10 and stored."""
+    rating = (1 + F.col("label") % 5).cast("int")
+    rows = fx.planted_vectors(spark, sf, 0.1).withColumn("star_rating", rating)
+    return materialize(stratified_split(rows, ["star_rating"], (0.8, 0.1, 0.1), fx.SEED))
 
 
 def fitted_classifier(spark, sf):
@@ -63,20 +63,31 @@ def _(spark, sf):
     )
 
 
-def latent_model(spark, sf) -> models.LatentModel:
-    return models.fit_latent(fx.planted_vectors(spark, sf), LATENT, fx.VECTOR_WIDTH, CATEGORIES)
+def stored_vectors(spark, sf) -> DataFrame:
+    """Planted vectors with a helpfulness that depends on the rating, stored."""
+    value = F.pmod(F.col("review_id") * 13, F.lit(17)) / 40.0 + F.col("star_rating") / 10.0
+    return materialize(fx.planted_vectors(spark, sf).withColumn("helpfulness", value))
+
+
+def latent_model(rows: DataFrame) -> models.LatentModel:
+    return models.fit_latent(rows, LATENT, fx.VECTOR_WIDTH, CATEGORIES)
+
+
+def encoded(spark, sf) -> DataFrame:
+    rows = stored_vectors(spark, sf)
+    return models.encode(latent_model(rows), rows)
 
 
 def rebuilt(spark, sf) -> DataFrame:
-    model = latent_model(spark, sf)
-    return models.decode(model, models.encode(model, fx.planted_vectors(spark, sf)))
+    rows = stored_vectors(spark, sf)
+    model = latent_model(rows)
+    return models.decode(model, models.encode(model, rows))
 
 
 @query("encode_latent")
 def _(spark, sf):
-    encoded = models.encode(latent_model(spark, sf), fx.planted_vectors(spark, sf))
     norm = F.sqrt(F.aggregate("latent", F.lit(0.0), lambda t, x: t + x * x))
-    return encoded.select("review_id", *KEYS, norm.alias("latent_norm"))
+    return encoded(spark, sf).select("review_id", *KEYS, norm.alias("latent_norm"))
 
 
 @query("reconstruction_error_by_category")
@@ -96,23 +107,14 @@ def _(spark, sf):
 
 @query("latent_centroid_distances")
 def _(spark, sf):
-    encoded = models.encode(latent_model(spark, sf), fx.planted_vectors(spark, sf))
-    cents = vectors.centroids(encoded, ["category_encoded"], "latent")
+    cents = vectors.centroids(encoded(spark, sf), ["category_encoded"], "latent")
     return vectors.centroid_distances(cents, "category_encoded")
 
 
 @query("latent_histograms")
 def _(spark, sf):
-    encoded = models.encode(latent_model(spark, sf), fx.planted_vectors(spark, sf))
-    return profile.histogram(
-        encoded.select(F.posexplode(F.slice("latent", 1, 8)).alias("dimension", "z")), "z", 30, ["dimension"]
-    )
-
-
-def helpful_vectors(spark, sf) -> DataFrame:
-    """Planted vectors with a helpfulness that depends on the rating."""
-    value = F.pmod(F.col("review_id") * 13, F.lit(17)) / 40.0 + F.col("star_rating") / 10.0
-    return fx.planted_vectors(spark, sf).withColumn("helpfulness", value)
+    elements = F.posexplode(F.slice("latent", 1, 8)).alias("dimension", "z")
+    return profile.histogram(encoded(spark, sf).select(elements), "z", 30, ["dimension"])
 
 
 def requests_for(spark, sf, per_stratum: int = 2) -> DataFrame:
@@ -125,47 +127,51 @@ def requests_for(spark, sf, per_stratum: int = 2) -> DataFrame:
     return grid.select("request_id", F.col("product_category").alias("category_encoded"), "star_rating")
 
 
-def decoded_samples(spark, sf, latent: models.LatentModel) -> DataFrame:
+def decoded_samples(rows: DataFrame, latent: models.LatentModel) -> DataFrame:
     """One unrefined sample per real row, in the row's own stratum."""
-    rows = helpful_vectors(spark, sf)
     density = fit_conditional_density(rows, KEYS, "helpfulness", 20)
     requests = rows.select(F.col("review_id").cast("string").alias("request_id"), *KEYS)
     bundle = generate.ReviewModels(density, latent, None)
-    return generate.sample_records(requests, bundle, fx.SEED)
+    return materialize(generate.sample_records(requests, bundle, fx.SEED))
+
+
+def _scored_columns(df: DataFrame) -> DataFrame:
+    wide = [F.col(c).cast("array<double>").alias(c) for c in ("body_emb", "head_emb")]
+    return df.select(*wide, "helpfulness", *KEYS)
 
 
-def fitted_models(spark, sf) -> tuple[generate.ReviewModels, DataFrame]:
-    real = helpful_vectors(spark, sf)
-    latent = latent_model(spark, sf)
-    fake = decoded_samples(spark, sf, latent)
-    columns = ["body_emb", "head_emb", "helpfulness", *KEYS]
-    plain = [F.col(c).cast("array<double>").alias(c) if c.endswith("emb") else F.col(c) for c in columns]
-    realism = models.fit_discriminator(real.select(*plain), fake.select(*plain), CATEGORIES)
+def fitted_models(real: DataFrame) -> tuple[generate.ReviewModels, DataFrame]:
+    latent = latent_model(real)
+    fake = decoded_samples(real, latent)
+    realism = models.fit_discriminator(_scored_columns(real), _scored_columns(fake), CATEGORIES)
     density = fit_conditional_density(real, KEYS, "helpfulness", 20)
     return generate.ReviewModels(density, latent, realism), fake
 
 
 @query("score_realism")
 def _(spark, sf):
-    bundle, _ = fitted_models(spark, sf)
-    scored = models.score_realism(bundle.realism, helpful_vectors(spark, sf), CATEGORIES)
+    real = stored_vectors(spark, sf)
+    bundle, _ = fitted_models(real)
+    scored = models.score_realism(bundle.realism, real, CATEGORIES)
     return scored.select("review_id", *KEYS, "gan_quality")
 
 
 @query("realism_auc")
 def _(spark, sf):
-    bundle, fake = fitted_models(spark, sf)
-    columns = ["body_emb", "head_emb", "helpfulness", *KEYS]
-    plain = [F.col(c).cast("array<double>").alias(c) if c.endswith("emb") else F.col(c) for c in columns]
-    both = metrics.label_union(helpful_vectors(spark, sf).select(*plain), fake.select(*plain))
+    real = stored_vectors(spark, sf)
+    bundle, fake = fitted_models(real)
+    both = metrics.label_union(_scored_columns(real), _scored_columns(fake))
     return stats.roc_auc(models.score_realism(bundle.realism, both, CATEGORIES, "score"))
 
 
-def retrieved(spark, sf) -> tuple[DataFrame, generate.ReviewModels, DataFrame]:
-    bundle, fake = fitted_models(spark, sf)
+def retrieved(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Generated records, unrefined samples and the real vectors."""
+    real = stored_vectors(spark, sf)
+    bundle, fake = fitted_models(real)
     texts = fx.reviews(spark, sf).select("review_id", "review_headline", "review_body")
-    pool = helpful_vectors(spark, sf).join(texts, "review_id", "left").drop("helpfulness")
-    return generate.generate_reviews(requests_for(spark, sf), bundle, pool, fx.SEED), bundle, fake
+    pool = real.join(texts, "review_id", "left").drop("helpfulness")
+    requests = requests_for(spark, sf)
+    return generate.generate_reviews(requests, bundle, pool, fx.SEED), fake, real
 
 
 @query("generate_reviews")
@@ -184,13 +190,12 @@ def _(spark, sf):
 
 @query("variant_coherence")
 def _(spark, sf):
-    records, _, fake = retrieved(spark, sf)
-    real = vectors.coherence(fx.planted_vectors(spark, sf))
+    records, fake, real = retrieved(spark, sf)
     named = {
-        "real": real,
+        "real": vectors.coherence(real),
         "full": vectors.coherence(records),
         "unrefined": vectors.coherence(fake),
-        "random": vectors.random_coherence(fx.review_vectors(spark, sf), fx.VECTOR_WIDTH, fx.SEED),
+        "random": vectors.random_coherence(real, fx.VECTOR_WIDTH, fx.SEED),
     }
     return metrics.metric_table(named)
 
@@ -198,15 +203,16 @@ def _(spark, sf):
 @query("generated_rating_counts")
 def _(spark, sf):
     model, _, _ = fitted_classifier(spark, sf)
-    fake = decoded_samples(spark, sf, latent_model(spark, sf))
+    real = stored_vectors(spark, sf)
+    fake = decoded_samples(real, latent_model(real))
     predicted = models.predict_rating(model, fake.select("request_id", "body_emb"))
     return predicted.groupBy("prediction").agg(F.count("*").alias("n"))
 
 
 @query("frechet_distance")
 def _(spark, sf):
-    rows = fx.planted_vectors(spark, sf)
-    fake = decoded_samples(spark, sf, latent_model(spark, sf))
+    rows = stored_vectors(spark, sf)
+    fake = decoded_samples(rows, latent_model(rows))
     distances = [
         ("real_vs_real", models.frechet_distance(rows, rows)),
         ("real_vs_sampled", models.frechet_distance(rows, fake)),

@@ -193,7 +193,7 @@ def _(spark, sf):
     "encode_chars",
     _CHARS
     + """, e as (select review_id, list_filter(list_transform(string_split(coalesce(review_body, ''), ''),
-        c -> case when length(c) > 0 then strpos(alphabet, c) - 1 else -1 end), i -> i >= 0) as ids
+        lambda c: case when length(c) > 0 then strpos(alphabet, c) - 1 else -1 end), lambda i: i >= 0) as ids
         from reviews cross join alphabet where review_body is not null)
     select review_id, len(ids) as n_ids, cast(coalesce(list_sum(ids), 0) as bigint) as sum_ids from e""",
     ("filtered",),
@@ -212,7 +212,7 @@ def _(spark, sf):
     "char_windows",
     _CHARS
     + f""", e as (select review_id, star_rating, list_transform(string_split(review_body, ''),
-        c -> strpos(alphabet, c) - 1) as ids from filtered cross join alphabet),
+        lambda c: strpos(alphabet, c) - 1) as ids from filtered cross join alphabet),
     p as (select *, cast(floor({o.uniform(o.digest("review_id"))} * (len(ids) - 100)) as int) as "offset"
         from e where len(ids) > 100)
     select review_id, star_rating, "offset", array_to_string(ids["offset" + 1:"offset" + 100], ',') as x,

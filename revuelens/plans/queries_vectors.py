@@ -83,8 +83,8 @@ def _(spark, sf):
 @query(
     "with_condition",
     """select review_id, array_to_string(list_concat(
-    list_transform(range(0, 5), i -> cast(i = category_encoded as int)),
-    list_transform(range(0, 5), i -> cast(i = star_rating - 1 as int))), ',') as condition from vectors""",
+    list_transform(range(0, 5), lambda i: cast(i = category_encoded as int)),
+    list_transform(range(0, 5), lambda i: cast(i = star_rating - 1 as int))), ',') as condition from vectors""",
     ("vectors",),
 )
 def _(spark, sf):
@@ -132,7 +132,7 @@ def _normals(column: str, seed: int, size: int) -> str:
     radius = f"sqrt(-2.0::double * ln(1.0::double - {o.uniform(digest)}))"
     angle = f"({o.uniform(digest, 13)} * 2 * pi())"
     return f"""flatten(list_transform(range(0, {(size + 1) // 2}),
-        j -> [{radius} * cos{angle}, {radius} * sin{angle}]))[1:{size}]"""
+        lambda j: [{radius} * cos{angle}, {radius} * sin{angle}]))[1:{size}]"""
 
 
 @query(
@@ -191,7 +191,7 @@ def _(spark, sf):
     + """, e as (select (select centroid from c where star_rating = 1) as a,
         (select centroid from c where star_rating = 5) as b),
     m as (select i / cast(6 as double) as alpha, a, b, list_transform(range(1, 65),
-        k -> a[k] * (1 - i / cast(6 as double)) + b[k] * (i / cast(6 as double))) as v from e cross join range(0, 7) t(i))
+        lambda k: a[k] * (1 - i / cast(6 as double)) + b[k] * (i / cast(6 as double))) as v from e cross join range(0, 7) t(i))
     select round(alpha, 6) as alpha, round(sqrt(list_dot_product(v, v)), 6) as norm,
     round(list_distance(a, b), 6) as end_distance from m""",
     ("vectors",),
@@ -211,7 +211,7 @@ def _(spark, sf):
             from range(0, step + 1) t(i)) as ab from range(0, 100) s(step)),
     st as (select review_id, body_emb, cast(floor({o.uniform(o.digest("review_id", fx.SEED, "#step"))} * 100) as int) as step
         from vectors),
-    n as (select review_id, step, list_transform(range(1, 65), k -> sqrt(ab) * body_emb[k] + sqrt(1 - ab) * e[k]) as v
+    n as (select review_id, step, list_transform(range(1, 65), lambda k: sqrt(ab) * body_emb[k] + sqrt(1 - ab) * e[k]) as v
         from (select st.*, {_normals("review_id", fx.SEED, 64)} as e from st) join sched using (step))
     select review_id, step, round(list_sum(v), 6) as noisy_sum, round(sqrt(list_dot_product(v, v)), 6) as noisy_norm from n""",
     ("vectors",),
