@@ -38,11 +38,17 @@ def tokens(x: str) -> str:
     return f"list_filter(regexp_extract_all(lower({x}), '[{WORD}]{{2,}}'), lambda w: w not in {STOPS})"
 
 
-def ngrams(items: str, n: int) -> str:
-    return (
-        f"list_transform(range(1, greatest(len({items}) - {n - 1}, 0) + 1), "
-        f"lambda i: array_to_string({items}[i:i+{n - 1}], ' '))"
-    )
+def grams(source: str, row_id: str, carry: str, items: str, n: int, gap: str = " ") -> str:
+    """Select of (carried columns, ``gram``): every run of ``n`` neighbouring items of a row.
+
+    Items are listed with their place and joined to the next ones by ``lead``; a
+    lambda over slices would take the list apart again for every item.
+    """
+    joined = "w" + "".join(f" || '{gap}' || lead(w, {k}) over win" for k in range(1, n))
+    return f"""select {carry}, gram from (select {carry}, {joined} as gram
+        from (select {carry}, {row_id} as rid, unnest(ws) as w, generate_subscripts(ws, 1) as pos
+            from (select {carry}, {row_id}, {items} as ws from {source}))
+        window win as (partition by rid order by pos)) where gram is not null"""
 
 
 def uniform(digest: str, start: int = 1) -> str:

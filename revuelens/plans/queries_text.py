@@ -21,15 +21,24 @@ def _(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", words.alias("words"))
 
 
-def _top_sql(terms: str, source: str, by: str, k: int) -> str:
-    return f""", t as (select {by}, unnest({terms}) as term from {source}),
+def _top_sql(terms: str, by: str, k: int) -> str:
+    return f""", t as ({terms}),
     c as (select {by}, term, count(*) as n from t group by 1, 2)
     select * from c qualify row_number() over (partition by {by} order by n desc, term) <= {k}"""
 
 
+def _grams_sql(n: int) -> str:
+    found = o.grams("filtered", "review_id", "star_rating", o.tokens("review_body"), n)
+    return f"select star_rating, gram as term from ({found})"
+
+
+def _words_sql(source: str, by: str) -> str:
+    return f"select {by}, unnest({o.clean_words('review_body')}) as term from {source}"
+
+
 @query(
     "top_bigrams_by_rating",
-    _top_sql(o.ngrams(o.tokens("review_body"), 2), "filtered", "star_rating", 20),
+    _top_sql(_grams_sql(2), "star_rating", 20),
     ("filtered",),
 )
 def _(spark, sf):
@@ -40,7 +49,7 @@ def _(spark, sf):
 
 @query(
     "top_trigrams_by_rating",
-    _top_sql(o.ngrams(o.tokens("review_body"), 3), "filtered", "star_rating", 15),
+    _top_sql(_grams_sql(3), "star_rating", 15),
     ("filtered",),
 )
 def _(spark, sf):
@@ -52,10 +61,7 @@ def _(spark, sf):
 @query(
     "top_words_by_rating",
     _top_sql(
-        o.clean_words("review_body"),
-        "(select * from filtered where star_rating in (1, 5))",
-        "star_rating",
-        150,
+        _words_sql("filtered", "star_rating") + " where star_rating in (1, 5)", "star_rating", 150
     ),
     ("filtered",),
 )
@@ -66,7 +72,7 @@ def _(spark, sf):
 
 @query(
     "top_words_by_category",
-    _top_sql(o.clean_words("review_body"), "filtered", "product_category", 80),
+    _top_sql(_words_sql("filtered", "product_category"), "product_category", 80),
     ("filtered",),
 )
 def _(spark, sf):
@@ -75,8 +81,9 @@ def _(spark, sf):
 
 @query(
     "bigram_diversity",
-    f""", b as (select label, unnest({o.ngrams(o.words("lower(text)"), 2)}) as g from texts),
-    d as (select label, count(*) as total_bigrams, count(distinct g) as unique_bigrams from b group by 1),
+    f""", numbered as (select *, row_number() over () as id from texts),
+    b as ({o.grams("numbered", "id", "label", o.words("lower(text)"), 2)}),
+    d as (select label, count(*) as total_bigrams, count(distinct gram) as unique_bigrams from b group by 1),
     w as (select label, avg(len({o.words("text")})) as mean_words from texts group by 1)
     select label, coalesce(total_bigrams, 0) as total_bigrams, coalesce(unique_bigrams, 0) as unique_bigrams,
     round(coalesce(unique_bigrams, 0) / cast(greatest(coalesce(total_bigrams, 0), 1) as double), 6) as diversity,
@@ -89,9 +96,9 @@ def _(spark, sf):
 
 @query(
     "bigram_diversity_overall",
-    f""", b as (select unnest({o.ngrams(o.words("lower(text)"), 2)}) as g from generated)
-    select (select count(*) from b) as total_bigrams, (select count(distinct g) from b) as unique_bigrams,
-    round((select count(distinct g) / cast(count(*) as double) from b), 6) as diversity,
+    f""", b as ({o.grams("generated", "id", "category", o.words("lower(text)"), 2)})
+    select (select count(*) from b) as total_bigrams, (select count(distinct gram) from b) as unique_bigrams,
+    round((select count(distinct gram) / cast(count(*) as double) from b), 6) as diversity,
     round(avg(len({o.words("text")})), 6) as mean_words from generated""",
     ("generated",),
 )
@@ -295,9 +302,9 @@ def _(spark, sf):
     return metrics.rating_sentiment_agreement(scored)
 
 
-_GRAMS = """, g as (select star_rating, substring(review_body, i, 3) as gram, count(*) as n from (
-        select star_rating, review_body, unnest(range(1, length(review_body) - 1)) as i from filtered
-        where length(review_body) >= 3) group by 1, 2),
+_REVIEW_CHARS = "string_split(review_body, '')"
+_GRAMS = f""", g as (select star_rating, gram, count(*) as n from (
+        {o.grams("filtered", "review_id", "star_rating", _REVIEW_CHARS, 3, "")}) group by 1, 2),
     m as (select star_rating, substring(gram, 1, 2) as context, substring(gram, 3, 1) as next, n,
         cast(sum(n) over (partition by star_rating, substring(gram, 1, 2)) as bigint) as n_context from g)"""
 
@@ -314,9 +321,8 @@ def _(spark, sf):
 @query(
     "char_perplexity",
     _GRAMS
-    + """, eg as (select cast(1 + conv_id % 5 as int) as star_rating, substring(text, cast(i as bigint), 3) as gram, count(*) as n from (
-        select conv_id, text, unnest(range(1, length(text) - 1)) as i from conversations where length(text) >= 3)
-        group by 1, 2),
+    + f""", eg as (select star_rating, gram, count(*) as n from (
+        {o.grams("generated", "id", "star_rating", "string_split(text, '')", 3, "")}) group by 1, 2),
     ctx as (select distinct star_rating, context, n_context from m),
     l as (select eg.star_rating, eg.n, -ln((coalesce(m.n, 0) + 1.0::double)
         / (coalesce(ctx.n_context, 0) + 200.0::double)) as loss from eg
@@ -324,7 +330,7 @@ def _(spark, sf):
         left join ctx on ctx.star_rating = eg.star_rating and ctx.context = substring(eg.gram, 1, 2))
     select star_rating, cast(sum(n) as bigint) as n_chars, round(sum(loss * n) / sum(n), 6) as loss,
     round(exp(least(sum(loss * n) / sum(n), 20)), 6) as perplexity from l group by 1""",
-    ("filtered",),
+    ("filtered", "generated"),
 )
 def _(spark, sf):
     model = char_lm.fit_char_ngram(fx.filtered(spark, sf), "review_body", 3)

@@ -227,11 +227,11 @@ def _(spark, sf):
 def _embed_sql(source: str, id_column: str, texts: dict[str, str], dim: int) -> str:
     parts = []
     for text, name in texts.items():
-        terms = o.words(f"lower({text})")
-        parts.append(
-            f"""select {id_column}, '{name}' as name, unnest(list_concat({terms},
-            {o.ngrams(terms, 2)})) as term from {source} where {text} is not null"""
-        )
+        terms, known = o.words(f"lower({text})"), f"(select * from {source} where {text} is not null)"
+        parts += [
+            f"select {id_column}, '{name}' as name, gram as term from ({o.grams(known, id_column, id_column, terms, n)})"
+            for n in (1, 2)
+        ]
     return f"""tt as ({" union all ".join(parts)}),
     hh as (select {id_column}, name, cast('0x' || substr(md5(term), 1, 8) as bigint) % {dim} as bucket,
         case when substr(md5(term), 9, 1) < '8' then 1 else -1 end as s from tt),
