@@ -70,15 +70,13 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def ngrams(items: Column, n: int) -> Column:
-    """Contiguous n-grams of an array, joined with blanks."""
+    """Contiguous n-grams of an array of words, joined with blanks.
 
-    def grams(found: Column) -> Column:
-        starts = F.when(
-            F.size(found) >= n, F.sequence(F.lit(1), F.size(found) - (n - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(found, i, n), " "))
-
-    return bind(items, grams)
+    The words are joined once and read back with a look-ahead at each word start,
+    which stays in generated code; slicing the array per n-gram would not.
+    """
+    starts_here = rf"(?<![^ ])(?=([^ ]+(?: [^ ]+){{{n - 1}}}))"
+    return F.regexp_extract_all(F.array_join(items, " "), F.lit(starts_here), 1)
 
 
 def char_grams(text: Column, n: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from revuelens.functions.scalars import perplexity
 from revuelens.functions.text import char_grams
 from revuelens.operators.joins import null_safe_join
+from revuelens.session import materialize
 
 
 def count_grams(df: DataFrame, text: str, n: int, by: Sequence[str]) -> DataFrame:
@@ -30,11 +31,11 @@ def count_grams(df: DataFrame, text: str, n: int, by: Sequence[str]) -> DataFram
 def fit_char_ngram(
     df: DataFrame, text: str, n: int = 3, by: Sequence[str] = ("star_rating",)
 ) -> DataFrame:
-    """Counts of each continuation and of its context."""
+    """Counts of each continuation and of its context, stored for repeated use."""
     by = list(by)
     grams = count_grams(df, text, n, by)
     contexts = grams.groupBy(*by, "context").agg(F.sum("n").alias("n_context"))
-    return null_safe_join(grams, contexts, [*by, "context"])
+    return materialize(null_safe_join(grams, contexts, [*by, "context"]))
 
 
 def char_perplexity(

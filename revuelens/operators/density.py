@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revuelens.operators.joins import join_lookup, null_safe_join
+from revuelens.session import materialize
 
 
 def _slot(value: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -22,7 +23,8 @@ def fit_conditional_density(
     """Smoothed histogram density of ``value`` per stratum on shared edges.
 
     One row per stratum and bin: ``lo``, ``hi``, ``n``, ``prob``, ``density``. Every
-    bin of a seen stratum is listed, so no value in range has density zero.
+    bin of a seen stratum is listed, so no value in range has density zero. The
+    fitted table is stored: its users read it more than once, the rows only here.
     """
     by = list(by)
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
@@ -40,10 +42,11 @@ def fit_conditional_density(
     frame = totals.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (ends[1] - ends[0]) / bins
     prob = (F.col("n") + smoothing) / (F.col("_total") + smoothing * bins)
-    return (
-        null_safe_join(frame, counts, [*by, "bin"], "left")
-        .withColumn("n", F.coalesce("n", F.lit(0)))
-        .select(
+    fitted = null_safe_join(frame, counts, [*by, "bin"], "left").withColumn(
+        "n", F.coalesce("n", F.lit(0))
+    )
+    return materialize(
+        fitted.select(
             *by,
             "bin",
             (ends[0] + F.col("bin") * width).alias("lo"),

@@ -208,7 +208,8 @@ def embed_text(
         return _encode_with(df, columns, id_column, encoder)
     parts = []
     for text in columns:
-        terms = bind(words(F.lower(F.col(text))), lambda w: F.concat(w, ngrams(w, 2)))
+        found = words(F.lower(F.col(text)))
+        terms = F.concat(found, ngrams(found, 2))
         parts.append(F.struct(F.lit(text).alias("_column"), terms.alias("_terms")))
     long = df.select(id_column, F.inline(F.array(*parts)))
     digest = F.md5("_term")

@@ -242,7 +242,7 @@ def _embed_sql(source: str, id_column: str, texts: dict[str, str], dim: int) ->
     "embed_text",
     f"""with {_embed_sql("documents", "doc_id", {"text": "emb"}, 64)},
     nn as (select doc_id, sqrt(sum(s * s)) as len from bb group by 1)
-    select doc_id, cast(bucket as int) as position, round(s / len, 5) as value
+    select doc_id, cast(bucket as int) as position, round(cast(cast(s / len as float) as double), 5) as value
     from bb join nn using (doc_id) where s <> 0""",
 )
 def _(spark, sf):
