@@ -9,6 +9,7 @@ from revuelens.operators.filters import filter_length, filter_reviews
 from revuelens.operators.metrics import label_union
 from revuelens.operators.prepare import with_helpfulness, with_lengths
 from revuelens.operators.vectors import attach_embeddings
+from revuelens.session import spread
 
 # Fixed values used by all catalogue queries.
 SEED = 42
@@ -28,8 +29,13 @@ LEXICON = [
 ]
 
 
+# Tables of long texts and their keys.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows, TEXT_KEYS[name]) if name in TEXT_KEYS else rows
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:

@@ -50,3 +50,14 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by ``key`` when a scan has fewer partitions than there are cores.
+
+    One file with one row group would otherwise be read, and its texts worked on,
+    by a single task. A scan that already fills the cluster is left alone, so
+    large inputs are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
