@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from revuelens.functions.scalars import seeded_hash
-from revuelens.operators.joins import join_lookup, null_safe_join
+from revuelens.operators.joins import join_lookup
 
 _STEPS = 1024  # buckets per doubling of the value
 _SHIFT = 1100 * _STEPS  # above the exponent of the smallest double
@@ -63,18 +63,32 @@ def cumulative_counts(
             *[F.sum(m).over(group).alias(f"total_{m}") for m in measures],
         )
     )
-    inside = (
+    # A bucket's offsets enter its window as a leading row, so values move once
+    # and null keys meet without a join.
+    values = rows.select(
+        *by,
+        "_bucket",
+        "value",
+        *measures,
+        *[F.lit(None).cast("long").alias(f"_before_{m}") for m in measures],
+        *[F.lit(None).cast("long").alias(f"total_{m}") for m in measures],
+    )
+    leading = offsets.select(
+        "*",
+        F.lit(None).cast("double").alias("value"),
+        *[F.lit(0).cast("long").alias(m) for m in measures],
+    )
+    upto = (
         W.partitionBy(*by, "_bucket")
-        .orderBy("value")
+        .orderBy(F.col("value").asc_nulls_first())
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    rows = rows.select("*", *[F.sum(m).over(inside).alias(f"_inside_{m}") for m in measures])
-    joined = null_safe_join(rows, offsets, [*by, "_bucket"])
-    return joined.select(
+    ranked = values.unionByName(leading).select(
         *counts.columns,
-        *[(F.col(f"_before_{m}") + F.col(f"_inside_{m}")).alias(f"cum_{m}") for m in measures],
-        *[f"total_{m}" for m in measures],
+        *[(F.sum(m).over(upto) + F.max(f"_before_{m}").over(upto)).alias(f"cum_{m}") for m in measures],
+        *[F.max(f"total_{m}").over(upto).alias(f"total_{m}") for m in measures],
     )
+    return ranked.filter(F.col("value").isNotNull())
 
 
 def quantiles_of_counts(

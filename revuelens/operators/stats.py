@@ -47,7 +47,7 @@ def _beta_part(a: float, b: float, x: float) -> float:
     return math.exp(log_front) * (fraction - 1.0) / a
 
 
-def _pearson_p(r: float | None, n: int) -> float | None:
+def _pearson_p(r, n):
     if r is None or math.isnan(r) or n < 3:
         return None
     spare = 1.0 - r * r
