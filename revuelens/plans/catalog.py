@@ -47,6 +47,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         queries_models,
         queries_prepare,
         queries_profile,
+        queries_sources,
         queries_text,
         queries_vectors,
     )
