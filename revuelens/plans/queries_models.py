@@ -180,11 +180,20 @@ def _(spark, sf):
     return records.select("request_id", *KEYS, "helpfulness", "gan_quality", "review_id", "similarity", "text")
 
 
-@query("nearest_in_stratum")
-def _(spark, sf):
-    # Every vector asks for its nearest neighbour's neighbour: its own headline vector.
+@query(
+    "nearest_in_stratum",
+    """select cast(r.review_id as varchar) as request_id, p.review_id,
+    round(list_cosine_similarity(r.head_emb, p.body_emb), 6) as similarity
+    from vectors r join vectors p using (category_encoded, star_rating)
+    qualify row_number() over (partition by r.review_id
+        order by list_cosine_similarity(r.head_emb, p.body_emb) desc, p.review_id) = 1""",
+    ("vectors",),
+)
+def _(spark, sf):
+    # Each headline vector asks for the nearest body vector of its stratum.
     rows = fx.review_vectors(spark, sf)
-    requests = rows.select(F.col("review_id").cast("string").alias("request_id"), *KEYS, F.col("head_emb").alias("v"))
+    wanted = F.col("review_id").cast("string").alias("request_id")
+    requests = rows.select(wanted, *KEYS, F.col("head_emb").alias("v"))
     return generate.nearest_in_stratum(requests, rows.withColumnRenamed("body_emb", "v"), "v")
 
 
