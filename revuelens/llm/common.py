@@ -43,6 +43,11 @@ def utf8(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Row count and an order-free fingerprint."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum("b")).first())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``id`` and ``component`` (smallest id reachable) of every vertex of ``edges(a, b)``.
 
@@ -54,7 +59,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = materialize(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    while True:
+    state = _state(current)
+    while state[0]:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (
@@ -64,7 +70,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        # Small star: a is larger than b in every row here.
+        # Every row of ``large`` has a > b.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(least, "a")
@@ -72,10 +78,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        following = materialize(small)
-        changed = following.exceptAll(current).limit(1).count() + current.exceptAll(following).limit(1).count()
-        current = following
-        if changed == 0:
+        current = materialize(small)
+        before, state = state, _state(current)
+        if before == state:
             break
     members = current.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from revuelens.llm import mixing, token_files
+from revuelens.llm import decontamination, minhash, mixing, token_files
 from revuelens.llm.common import table
 
 SEED = 17
@@ -20,14 +20,24 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op3_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"), length=3, percent=85)
+
+
 def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return token_files.encode_documents(spark, docs, public_tokenizers.path(TOKENIZER))
 
 
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_minhash": op3_minhash,
     "op5_token_files": op5_token_files,
+    "op8_decontamination": op8_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
