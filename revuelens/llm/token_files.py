@@ -29,7 +29,10 @@ from revuelens.session import materialize, work_dir
 # Magic numbers of the seekable format.
 SKIPPABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_BYTES = 1 << 19
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
+RUN_WORDS = 4000
+# How a byte-level vocabulary writes a blank and a newline.
+BLANK, NEWLINE = "\u0120", "\u010a"
 ROWS_AT_ONCE = 256
 NO_ID = np.iinfo(np.int64).min
 
@@ -51,24 +54,41 @@ class WordEncoder:
         self.first: dict[str, bytes] = {}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        vocabulary = self.tokenizer.get_vocab()
+        self.blank_first = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.blank_first[[i for t, i in vocabulary.items() if t.startswith(BLANK)]] = True
+        self.newline = vocabulary[NEWLINE]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
-
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in known]
-        for w, ids in zip(new, self._encode([lead + w for w in new]), strict=True):
-            known[w] = ids
+        return [np.array(x.ids, dtype=self.dtype) for x in found]
+
+    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> list[str]:
+        """Encode new words in runs; a run's ids fall apart where the lead stands.
+
+        With a blank, an id whose token begins with one begins a word; without, words
+        are parted by newlines and their one id.
+        """
+        new = list(words.difference(known))
+        for at in range(0, len(new), RUN_WORDS):
+            run = new[at : at + RUN_WORDS]
+            ids = self._encode([lead + " ".join(run) if lead else "\n".join(run)])[0]
+            marks = np.flatnonzero(self.blank_first[ids] if lead else ids == self.newline)
+            bounds = np.append(marks if lead else np.append(-1, marks), len(ids))
+            if len(bounds) != len(run) + 1:
+                raise AssertionError("a cut between words is no cut between tokens")
+            raw, step = ids.tobytes(), 0 if lead else 1
+            at_byte = (bounds * self.width).tolist()
+            skip = step * self.width
+            for w, x, y in zip(run, at_byte[:-1], at_byte[1:], strict=True):
+                known[w] = raw[x + skip : y]
+        return new if len(known) > CACHED_WORDS else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of the encoder's width."""
-        if len(self.inner) > CACHED_WORDS:
-            self.inner.clear()
-            self.first.clear()
         cut: list[list[list[str]] | None] = []
         inner: set[str] = set()
-        first: set[str] = {"\n"}
+        first: set[str] = set()
         for t in texts:
             if not t or t.replace("\n", " ").split(" ") != t.split():
                 cut.append(None)
@@ -78,15 +98,19 @@ class WordEncoder:
                 first.add(words[0])
                 inner.update(words[1:])
             cut.append(lines)
-        self._learn(self.inner, inner, " ")
-        self._learn(self.first, first, "")
+        # A full cache keeps what it has, the words met early being the frequent ones.
+        passing = [(self.inner, self._learn(self.inner, inner, " ")), (self.first, self._learn(self.first, first, ""))]
         whole = iter(self._encode([t for t, lines in zip(texts, cut, strict=True) if lines is None]))
-        out, get, newline = [], self.inner.__getitem__, self.first["\n"]
+        out, get = [], self.inner.__getitem__
+        newline = np.array([self.newline], dtype=self.dtype).tobytes()
         for lines in cut:
             if lines is None:
-                out.append(next(whole))
+                out.append(next(whole).tobytes())
             else:
                 out.append(newline.join(self.first[ws[0]] + b"".join(map(get, ws[1:])) for ws in lines))
+        for known, new in passing:
+            for w in new:
+                del known[w]
         return out
 
 
