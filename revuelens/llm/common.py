@@ -85,3 +85,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     members = current.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return members.unionByName(roots)
+
+
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Consecutive rows that agree in the first ``n_keys`` columns, over batch borders.
+
+    Rows must come sorted by those columns, which hold integers without nulls.
+    """
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)], axis=1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        bounds = [0, *cuts.tolist(), batch.num_rows]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            here = tuple(keys[a].tolist())
+            if held and here != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = here
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)

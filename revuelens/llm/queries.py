@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from revuelens.llm import decontamination, minhash, mixing, token_files
+from revuelens.llm import cotraining, decontamination, language, minhash, mixing, nndescent, pii, suffixes, token_files, warc
 from revuelens.llm.common import table
 
 SEED = 17
@@ -20,24 +21,82 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op2_warc_derivatives(spark: SparkSession, sf: str) -> DataFrame:
+    records = warc.build_derivatives(spark, table(spark, sf, "pages"))
+    return records.select(
+        F.col("source_id").cast("long").alias("page_id"),
+        F.col("type").alias("record_type"),
+        "record_id",
+        "refers_to",
+        "target_uri",
+        F.col("date").alias("warc_date"),
+        "content_type",
+        "block_digest",
+        F.length("block").cast("long").alias("n_chars"),
+        F.md5("block").alias("block_md5"),
+    )
+
+
 def op3_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"), length=3, percent=85)
 
 
+def op4_cotraining(spark: SparkSession, sf: str) -> DataFrame:
+    return cotraining.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return token_files.encode_documents(spark, docs, public_tokenizers.path(TOKENIZER))
 
 
+def op6_nn_descent(spark: SparkSession, sf: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf, "embeddings"))
+
+
+def op7_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf, "documents"), pii.train(pii.examples(spark)))
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op9_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents declare a language and name a source; they have no address."""
+    return language.identify(table(spark, sf, "documents"), declared="lang", hosts=["source"])
+
+
+def language_of_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for pages, which have all evidence: markup, address suffix, domain and host."""
+    suffix, domain, host = language.address_parts(F.col("url"))
+    found = language.identify(
+        table(spark, sf, "pages"),
+        id_column="page_id",
+        text=language.page_text(F.col("html")),
+        declared=language.page_language(F.col("html")),
+        suffix=suffix,
+        hosts=[domain, host],
+    )
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
+def op10_repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_minhash": op3_minhash,
+    "op4_cotraining": op4_cotraining,
     "op5_token_files": op5_token_files,
+    "op6_nn_descent": op6_nn_descent,
+    "op7_personal_data": op7_personal_data,
     "op8_decontamination": op8_decontamination,
+    "op9_language": op9_language,
+    "op10_repeated_substrings": op10_repeated_substrings,
+    "language_of_pages": language_of_pages,
 }
 
 ORACLES: dict[str, str] = {}
