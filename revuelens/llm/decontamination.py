@@ -24,8 +24,8 @@ from revuelens.llm.shingles import LOWER, find_words, word_hashes
 from revuelens.session import materialize
 
 K1, B = 1.2, 0.75
-BLOCK = 8  # items per block of maxima
-ITEM_BYTES = 16 << 20  # test-item text of one broadcast index
+BLOCK, PART = 8, 2  # items per block of maxima, and per part of a block
+ITEM_BYTES = 1 << 19  # words of test items in one broadcast index, as hashes
 SLICE_BYTES = 1 << 20
 LEAK = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>"
 _LEAK_TYPE = pa.list_(
@@ -105,6 +105,15 @@ class ItemIndex:
         for t, listed in enumerate(self.lists):
             for k, share in listed:
                 self.block_max[t, k // BLOCK] = max(self.block_max[t, k // BLOCK], share)
+        # Maxima of the parts of a block, for the blocks that a term occurs in; row 0 is empty.
+        self.cell = np.zeros(self.block_max.shape, dtype=np.int32)
+        used = np.nonzero(self.block_max)
+        self.cell[used] = np.arange(1, len(used[0]) + 1)
+        self.part_max = np.zeros((len(used[0]) + 1, BLOCK // PART), dtype=np.float64)
+        for t, listed in enumerate(self.lists):
+            for k, share in listed:
+                cell, part = self.cell[t, k // BLOCK], k % BLOCK // PART
+                self.part_max[cell, part] = max(self.part_max[cell, part], share)
         self.term_max = self.block_max.max(axis=1).tolist() if len(self.lists) else []
         # Frequent terms that together reach the threshold in no block never start a search.
         order = sorted(range(len(self.lists)), key=lambda t: -len(self.lists[t]))
@@ -189,9 +198,8 @@ class ItemIndex:
         if not len(window):
             return [[] for _ in found]
         first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
-        bound = np.add.reduceat(self.block_max[term], first, axis=0).max(axis=1)
         ends = np.append(first[1:], len(window))
-        for i in np.flatnonzero(bound >= self.settings.threshold - 1e-9).tolist():
+        for i in self._reachable(term, first, ends).tolist():
             w = int(window[first[i]])
             doc = int(np.searchsorted(window_start, w, side="right")) - 1
             begin = row_start[doc] + (w - window_start[doc]) * self.stride
@@ -206,6 +214,20 @@ class ItemIndex:
                     found[doc][item] = max(found[doc].get(item, (0.0, 0.0, 0.0)), (score, question, answer))
         return [[(self.ids[k], *v) for k, v in sorted(x.items())] for x in found]
 
+    def _reachable(self, term: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Passages with a block, and a part of it, whose maxima add up to the threshold."""
+        aim = self.settings.threshold - 1e-9
+        bound = np.add.reduceat(self.block_max[term], first, axis=0)
+        passage, block = np.nonzero(bound >= aim)
+        if not len(passage):
+            return passage
+        size = ends[passage] - first[passage]
+        begin = np.cumsum(size) - size
+        entry = np.arange(int(size.sum())) - np.repeat(begin - first[passage], size)
+        cells = self.cell[term[entry], np.repeat(block, size)]
+        finer = np.add.reduceat(self.part_max[cells], begin, axis=0).max(axis=1)
+        return np.unique(passage[finer >= aim])
+
     @staticmethod
     def _share(wanted: set[tuple[int, ...]], grams: dict[int, set]) -> float:
         return len(wanted & grams[len(next(iter(wanted)))]) / len(wanted) if wanted else 1.0
