@@ -19,7 +19,6 @@ from revuelens.llm.shingles import set_digests, shingle_sets
 from revuelens.session import materialize
 
 SKETCH = 64
-STAR_ROUNDS = 4
 
 
 def least_overlap(percent: int, size: int = SKETCH) -> int:
@@ -65,44 +64,63 @@ def full_sets(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, items array<long>")
 
 
-def _prefix_length(n: Column, percent: int) -> Column:
+def _sketch_prefix(n: Column, percent: int) -> Column:
     """Rarest retained values of which linked sets share one at least.
 
     Sets whose partners fit a sketch whole need the exact overlap; longer ones the
     overlap that sketches have but for a chance below one in ten million.
     """
-    exact = n - F.ceil(n * percent / 100) + 1
     kept = F.least(n, F.lit(SKETCH))
-    return F.when(n * 100 <= SKETCH * percent, exact).otherwise(kept - least_overlap(percent) + 1).cast("int")
+    return F.when(n * 100 <= SKETCH * percent, _set_prefix(n, percent)).otherwise(kept - least_overlap(percent) + 1)
 
 
-def rare_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """Inverted lists ``v``, ``rep``, ``n`` of each set's rarest retained values.
+def _set_prefix(n: Column, percent: int) -> Column:
+    """The same for whole sets: all but the least overlap with any linked set, and one."""
+    return n - F.ceil(n * percent / 100) + 1
 
-    Linked sets share so many retained values that a prefix of each, in any common
-    order, meets. Rarest first keeps frequent values, whose lists would be long, out
-    of the prefix of every set that has enough others; values of one set only
-    take their place in the prefix and then go, since they link nothing.
+
+def rare_lists(sets: DataFrame, kept: Column, prefix: Column) -> DataFrame:
+    """Inverted lists ``v``, ``rep``, ``n``, ``pos`` of the rarest ``prefix`` of each set's ``kept`` values.
+
+    ``sets`` has ``rep``, ``n`` and ``items``. Linked sets share so many values that
+    a prefix of each, in any common order, meets. Rarest first keeps frequent values,
+    whose lists would be long, out of the prefix of every set that has enough
+    others; values of one set only take their place in the prefix and then go, since
+    they link nothing. ``pos`` is a value's place in its set's order.
     """
-    values = classes.select("rep", "n", F.explode("sketch").alias("v"))
+    values = sets.select("rep", "n", F.explode("items").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     found = values.join(shared, "v").groupBy("rep", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs")
     )
-    alone = F.least(F.col("n"), F.lit(SKETCH)) - F.size("vs")
-    room = F.greatest((_prefix_length(F.col("n"), percent) - alone).cast("int"), F.lit(0))
-    prefix = found.select("rep", "n", F.explode(F.slice("vs", F.lit(1), room)).alias("s")).select(
-        F.col("s.v").alias("v"), "rep", "n"
+    alone = (kept - F.size("vs")).cast("int")
+    room = F.greatest((prefix.cast("int") - alone).cast("int"), F.lit(0))
+    lists = found.select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("vs", F.lit(1), room)).alias("i", "s")).select(
+        F.col("s.v").alias("v"), "rep", "n", (F.col("alone") + F.col("i") + 1).alias("pos")
     )
     # A list of one is left where the other set has the value outside its prefix.
-    several = prefix.groupBy("v").agg(F.count("*").alias("k")).filter("k > 1").select("v")
-    return prefix.join(several, "v")
+    several = lists.groupBy("v").agg(F.count("*").alias("k")).filter("k > 1").select("v")
+    return lists.join(several, "v")
+
+
+def _enough_left(percent: int) -> Column:
+    """Whole sets only: what both hold from the shared value on can still make a link.
+
+    Everything before it in either order is rarer, and would be a shared value of its
+    own; so a pair is looked at for the first value it shares only.
+    """
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    return most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
 
 def _similar_sizes(percent: int) -> Column:
     return (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose union sketch holds enough values that both sketches have."""
     a = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
@@ -132,11 +150,12 @@ def near_duplicates(
     """Per row ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Rows with equal sets are one class first, whatever their number. Lists of shared
-    rare values are then worked off in rounds: each list compares its members with
-    one hub, components are found, and lists within one component are done. What is
-    left after a few rounds is compared pair by pair across components, so no link
-    between components is lost, yet a group of thousands of near copies costs a
-    few comparisons per member.
+    rare retained values compare their members with one hub each, and components are
+    found; lists within one component are done. Members of the others are put on
+    exact lists of their whole sets, compared with each list's most central member, and
+    at last pair by pair across the components that are left, as far as the
+    places of the shared value leave room for a link. So no link between components is
+    lost, yet a group of thousands of near copies costs a few comparisons per member.
 
     Null, empty and blank texts have no shingles and link with nothing; a null id
     is returned with a null component and kept. Rows are judged one by one where an
@@ -147,57 +166,54 @@ def near_duplicates(
     classes = materialize(
         whole.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     )
-    # Representatives with a repeated id stand for several sets; the smallest id decides alone.
-    lists = materialize(rare_lists(classes, percent))
+    n = F.col("n")
+    lists = materialize(
+        rare_lists(
+            classes.withColumnRenamed("sketch", "items"), F.least(n, F.lit(SKETCH)), _sketch_prefix(n, percent)
+        ).drop("pos")
+    )
     # Only sets on some list are fetched whole; the text is moved once for that.
     wanted = lists.select("rep").distinct().hint("shuffle_hash")
     narrow = docs.select(F.col(id_column).cast("long").alias("rep"), F.col(text).alias("text"))
     sets = materialize(full_sets(narrow.join(wanted, "rep", "left_semi").select("rep", "text"), length))
 
-    component = None
-    links = tested = None
-    for step in range(STAR_ROUNDS + 1):
-        placed = (
-            lists.withColumn("c", F.col("rep"))
-            if component is None
-            else lists.join(component, lists.rep == component.id, "left").select(
-                "v", "rep", "n", F.coalesce("component", "rep").alias("c")
+    def linked(pairs: DataFrame) -> DataFrame:
+        return materialize(_verified(_estimated(materialize(pairs), classes, percent), sets, percent))
+
+    def opened(lists: DataFrame, component: DataFrame) -> DataFrame:
+        """Lists over several components, each member with its component ``c``."""
+        placed = materialize(
+            lists.join(component, lists.rep == component.id, "left").select(
+                *lists.columns, F.coalesce("component", "rep").alias("c")
             )
         )
-        if step:
-            placed = materialize(placed)
-            sizes = placed.groupBy("v", "c").agg(F.count("*").alias("k")).groupBy("v").agg(
-                F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("own"), F.count("*").alias("parts")
-            )
-            open_lists = sizes.filter("parts > 1")
-            left = open_lists.agg(F.sum((F.col("rows") * F.col("rows") - F.col("own")) / 2), F.sum("rows")).first()
-            if not left[1]:
-                break
-            placed = placed.join(open_lists.select("v"), "v")
-            last = step == STAR_ROUNDS or left[0] <= 4 * left[1]
-        else:
-            last = False
-        other = placed.select("v", F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+        parts = placed.groupBy("v").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+        return placed.join(parts.select("v"), "v")
+
+    hub = lists.groupBy("v").agg(F.min(F.struct("rep", "n")).alias("h")).select(
+        "v", F.col("h.rep").alias("ra"), F.col("h.n").alias("na")
+    )
+    met = hub.join(lists.select("v", F.col("rep").alias("rb"), F.col("n").alias("nb")), "v").filter("ra <> rb")
+    links = linked(_pairs(met.filter(_similar_sizes(percent))))
+    component = connected_components(links)
+
+    left = opened(lists, component).select("rep").distinct()
+    chosen = sets.join(left, "rep").select("rep", F.size("items").alias("n"), "items")
+    exact = materialize(rare_lists(chosen, n, _set_prefix(n, percent)))
+    for last in (False, True):
+        members = opened(exact, component)
+        other = members.select("v", *[F.col(x).alias(y) for x, y in (("rep", "rb"), ("n", "nb"), ("pos", "pb"), ("c", "cb"))])
         if last:
-            met = placed.withColumnRenamed("n", "na").join(other, "v").filter("rep < rb")
+            first = members.select("v", *[F.col(x).alias(y) for x, y in (("rep", "ra"), ("n", "na"), ("pos", "pa"), ("c", "ca"))])
         else:
-            order = F.xxhash64("rep", F.lit(step)) if step else F.col("rep")
-            hub = placed.groupBy("v").agg(
-                F.min(F.struct(order.alias("o"), "rep", "n", "c")).alias("h")
-            ).select("v", F.col("h.rep").alias("rep"), F.col("h.n").alias("na"), F.col("h.c").alias("c"))
-            met = hub.join(other, "v").filter("rep <> rb")
-        pairs = met.filter((F.col("c") != F.col("cb")) & _similar_sizes(percent)).select(
-            F.least("rep", "rb").alias("a"), F.greatest("rep", "rb").alias("b")
-        ).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        fresh = materialize(_verified(_estimated(pairs, classes, percent), sets, percent))
-        links = fresh if links is None else links.unionByName(fresh)
+            # The fewest rarer values: the member that most others are copies of.
+            central = members.groupBy("v").agg(F.min(F.struct("pos", "rep", "n", "c")).alias("h"))
+            first = central.select("v", *[F.col(f"h.{x}").alias(y) for x, y in (("rep", "ra"), ("n", "na"), ("pos", "pa"), ("c", "ca"))])
+        order = F.col("ra") < F.col("rb") if last else F.col("ra") != F.col("rb")
+        fits = order & (F.col("ca") != F.col("cb")) & _similar_sizes(percent) & _enough_left(percent)
+        fresh = linked(_pairs(first.join(other, "v").filter(fits)))
+        links = links.unionByName(fresh)
         component = connected_components(links)
-        if last:
-            break
 
     by_class = classes.select("d1", "d2", "n", "rep").join(component, F.col("rep") == F.col("id"), "left").select(
         "d1", "d2", "n", F.coalesce("component", "rep").alias("_component")
@@ -208,3 +224,22 @@ def near_duplicates(
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_representatives(
+    docs: DataFrame, length: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, columns unchanged.
+
+    Rows that share an id are one document, of which one row stays; rows without an
+    id stay all.
+    """
+    found = materialize(near_duplicates(docs, length, percent, id_column, text))
+    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
+    named = docs.filter(F.col(id_column).isNotNull())
+    unnamed = docs.filter(F.col(id_column).isNull())
+    chosen = named.join(kept.distinct().hint("shuffle_hash"), F.col(id_column).cast("long") == F.col("_kept"), "left_semi")
+    # Ids rarely repeat; only then are whole rows put in order to choose one.
+    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).isEmpty():
+        chosen = chosen.dropDuplicates([id_column])
+    return chosen.unionByName(unnamed)
