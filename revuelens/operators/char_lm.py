@@ -49,6 +49,8 @@ def char_perplexity(
 ) -> DataFrame:
     """Mean negative log probability and perplexity of texts per condition.
 
+    ``vocab_size`` is the number of characters that may follow a context, unknown ones
+    included. A text's first ``n - 1`` characters are context only and not scored.
     Texts are counted into distinct n-grams before they meet the model, so the
     join moves one row per n-gram and not one per character.
     """

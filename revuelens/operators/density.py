@@ -27,7 +27,9 @@ def fit_conditional_density(
     fitted table is stored: its users read it more than once, the rows only here.
     """
     by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(
+        F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf"))
+    )
     flat = F.min("_v") == F.max("_v")
     ends = rows.agg(
         F.array(

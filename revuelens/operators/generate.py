@@ -6,23 +6,25 @@ same category and rating whose vectors are nearest to the sampled ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revuelens.functions.scalars import hex_uniform, seeded_hash
 from revuelens.functions.text import target
-from revuelens.functions.vectors import cosine
 from revuelens.operators.density import sample_values
-from revuelens.operators.joins import BROADCAST_BYTES, join_lookup
+from revuelens.operators.joins import null_safe_join
 from revuelens.operators.models import LATENT_KEYS, LatentModel, decode, sample_latent, score_realism
+from revuelens.session import materialize
 
-MAX_REQUESTS = 20_000
+BLOCK = 2048  # requests and reviews that meet in one matrix product
 
 
 @dataclass
@@ -41,71 +43,78 @@ def nearest_in_stratum(
     keys: Sequence[str] = LATENT_KEYS,
     request_id: str = "request_id",
     id_column: str = "review_id",
-    max_requests: int = MAX_REQUESTS,
 ) -> DataFrame:
     """For each request the review of its stratum with the highest cosine.
 
-    Both sides have ``keys`` and ``vector``; the smaller id wins a tie. Requests
-    shown to be few go to every task, and a batch of reviews yields one candidate
-    per request, so reviews are neither shuffled nor paired up as rows. Otherwise
-    the stratum join does it, keeping only each task's best per request.
+    Both sides have ``keys`` and ``vector``; the smaller id wins a tie. A stratum of
+    any size is cut into hashed blocks on both sides; a pair of blocks meets in one
+    matrix product that returns a single candidate per request. Null keys match each
+    other. A request with a null or zero vector, or whose stratum has no review with a
+    usable one, comes back with a null review and similarity.
     """
-    wanted = requests.select(request_id, *keys, vector)
-    fetched = wanted.limit(max_requests + 1).toArrow()
-    pool = reviews.select(id_column, *keys, vector)
-    if fetched.num_rows <= max_requests and fetched.nbytes <= BROADCAST_BYTES:
-        found = _scan_for_nearest(fetched.to_pandas(), pool, vector, list(keys), request_id, id_column)
-    else:
-        right = pool.withColumnRenamed(vector, "_vector")
-        found = wanted.join(right, list(keys)).select(
-            request_id, id_column, cosine(F.col(vector), F.col("_vector")).alias("similarity")
+    keys = list(keys)
+    named = [f"_key{i}" for i in range(len(keys))]
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        """Blocks that the stratum falls into, at least one."""
+        counted = df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias(name))
+        return counted.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], name)
+
+    usable = F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)
+    wanted = requests.select(request_id, *keys, vector).filter(usable)
+    pool = reviews.select(id_column, *keys, vector).filter(usable)
+    counts = null_safe_join(blocks(wanted, "_n_left"), blocks(pool, "_n_right"), named)
+
+    def dealt(df: DataFrame, own: str, other: str, ids: str, mine: str, theirs: str, side: str) -> DataFrame:
+        """Every row in its block, once for each block of the other side; keys are named by side."""
+        matches = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named, strict=True)]
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        return df.join(counts, reduce(lambda a, b: a & b, matches)).select(
+            *[F.col(n).alias(side + n) for n in named],
+            F.pmod(F.xxhash64(ids), own).alias(side + mine),
+            each.alias(side + theirs),
+            ids,
+            F.col(vector).alias("_v"),
         )
-    # The largest similarity first, then the smallest id.
-    best = F.min(F.struct((-F.col("similarity")).alias("d"), F.col(id_column).alias("id")))
-    return (
-        found.filter(F.col("similarity").isNotNull())
-        .groupBy(request_id)
-        .agg(best.alias("_b"))
-        .select(request_id, F.col("_b.id").alias(id_column), (-F.col("_b.d")).alias("similarity"))
+
+    left = dealt(wanted, "_n_left", "_n_right", request_id, "_i", "_j", "_l")
+    right = dealt(pool, "_n_right", "_n_left", id_column, "_j", "_i", "_r")
+    schema = T.StructType(
+        [
+            T.StructField(request_id, requests.schema[request_id].dataType),
+            T.StructField(id_column, reviews.schema[id_column].dataType),
+            T.StructField("similarity", T.DoubleType()),
+        ]
     )
 
+    def meet(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or given.empty:
+            return pd.DataFrame({f.name: [] for f in schema})
+        given = given.sort_values(id_column)
+        similar = _unit_rows(asked["_v"]) @ _unit_rows(given["_v"]).T
+        at = similar.argmax(axis=1)
+        return pd.DataFrame(
+            {
+                request_id: asked[request_id].to_numpy(),
+                id_column: given[id_column].to_numpy()[at],
+                "similarity": similar[np.arange(len(asked)), at],
+            }
+        )
 
-def _scan_for_nearest(
-    wanted: pd.DataFrame, pool: DataFrame, vector: str, keys: list[str], request_id: str, id_column: str
-) -> DataFrame:
-    groups = {
-        k: (g[request_id].to_numpy(), _unit_rows(g[vector]))
-        for k, g in wanted.groupby(keys)
-    }
-    shared = pool.sparkSession.sparkContext.broadcast(groups)
-    id_type = pool.schema[id_column].dataType.simpleString()
-    key_type = "string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, rows in batch.dropna(subset=[vector]).groupby(keys):
-                if key not in shared.value:
-                    continue
-                names, wanted_units = shared.value[key]
-                rows = rows.sort_values(id_column)
-                similar = wanted_units @ _unit_rows(rows[vector]).T
-                at = similar.argmax(axis=1)
-                yield pd.DataFrame(
-                    {
-                        request_id: names,
-                        id_column: rows[id_column].to_numpy()[at],
-                        "similarity": similar[np.arange(len(names)), at],
-                    }
-                )
-
-    schema = f"{request_id} {key_type}, {id_column} {id_type}, similarity double"
-    return pool.mapInPandas(run, schema)
+    left_key, right_key = ([side + n for n in (*named, "_i", "_j")] for side in ("_l", "_r"))
+    found = left.groupBy(*left_key).cogroup(right.groupBy(*right_key)).applyInPandas(meet, schema)
+    # The largest similarity first, then the smallest id.
+    best = F.min(F.struct((-F.col("similarity")).alias("d"), F.col(id_column).alias("id")))
+    matched = found.groupBy(request_id).agg(best.alias("_b")).select(
+        F.col(request_id).alias("_request"), F.col("_b.id").alias(id_column), (-F.col("_b.d")).alias("similarity")
+    )
+    everyone = requests.select(request_id)
+    return everyone.join(matched, F.col(request_id) == F.col("_request"), "left").drop("_request")
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
     rows = np.stack(vectors.to_numpy()).astype("float64")
-    lengths = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(lengths > 0, lengths, 1.0)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def sample_records(requests: DataFrame, models: ReviewModels, seed: int) -> DataFrame:
@@ -128,17 +137,22 @@ def generate_reviews(
 ) -> DataFrame:
     """One record per request: helpfulness, realism score and retrieved text.
 
+    Every request is answered: one whose stratum has no fitted statistics or no
+    review has nulls and ``matched`` false.
+
     ``reviews`` has ``review_id``, the stratum keys, body and headline vectors and
     texts. The matched review's vectors are returned as ``body_emb``/``head_emb``.
     """
     sampled = sample_records(requests, models, seed)
     both = F.concat(F.col("body_emb").cast("array<double>"), F.col("head_emb").cast("array<double>"))
+    # Stored: the sampled vectors enter the search and the records.
+    sampled = materialize(sampled)
     nearest = nearest_in_stratum(
         sampled.withColumn("_both", both), reviews.withColumn("_both", both), "_both"
     )
     texts = reviews.select("review_id", target(headline, body).alias("text"), "body_emb", "head_emb")
-    matched = join_lookup(texts, nearest, ["review_id"])
-    records = sampled.drop("body_emb", "head_emb", "latent").join(matched, "request_id")
+    retrieved = nearest.join(texts, "review_id", "left").withColumn("matched", F.col("review_id").isNotNull())
+    records = sampled.drop("body_emb", "head_emb", "latent").join(retrieved, "request_id", "left")
     scored = score_realism(models.realism, records, models.latent.n_categories)
     return scored.withColumn("helpfulness", F.round("helpfulness", 4)).withColumn(
         "gan_quality", F.round("gan_quality", 4)

@@ -8,9 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 50_000
-BROADCAST_BYTES = 32 * 1024 * 1024
-
 
 def null_safe_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
@@ -30,22 +27,10 @@ def null_safe_join(
     return joined.drop(*[f"_right_{k}" for k in keys])
 
 
-def join_lookup(
-    df: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join a per-group table onto rows, broadcast only if it is shown to be small.
+def join_lookup(df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a per-group table onto rows; null keys match.
 
-    At most ``max_rows + 1`` rows of ``lookup`` are fetched. Within the row and
-    byte limits those rows are the whole table and are broadcast, so ``df`` is
-    not shuffled. Beyond them the tables meet in an ordinary null-safe equi-join,
-    which adaptive execution may split where a key is hot.
+    An ordinary equi-join at every size: the session's broadcast limit and adaptive
+    execution decide how it runs, and split a hot key where it is not broadcast.
     """
-    fetched = lookup.limit(max_rows + 1).toArrow()
-    if fetched.num_rows <= max_rows and fetched.nbytes <= BROADCAST_BYTES:
-        small = df.sparkSession.createDataFrame(fetched, schema=lookup.schema)
-        return null_safe_join(df, F.broadcast(small), keys, how)
     return null_safe_join(df, lookup, keys, how)

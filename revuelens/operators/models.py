@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer
@@ -123,6 +124,9 @@ def predict_rating(
     )
 
 
+REALISM_COLUMNS = ("body_emb", "head_emb", "helpfulness", "category_encoded", "star_rating")
+
+
 def _realism_features(df: DataFrame, n_categories: int) -> DataFrame:
     conditioned = with_condition(df, n_categories, "_condition")
     parts = F.concat(
@@ -146,8 +150,12 @@ def fit_discriminator(
 def score_realism(
     model: LogisticRegressionModel, df: DataFrame, n_categories: int, name: str = "gan_quality"
 ) -> DataFrame:
-    scored = model.transform(_realism_features(df, n_categories))
-    return scored.select(*df.columns, vector_to_array("probability")[1].alias(name))
+    """Add the probability that a row is real; null where a feature is."""
+    rows = df.withColumn("_known", reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in REALISM_COLUMNS]))
+    features = _realism_features(rows.filter("_known"), n_categories)
+    scored = model.transform(features).select(*df.columns, vector_to_array("probability")[1].alias(name))
+    rest = rows.filter("not _known").select(*df.columns, F.lit(None).cast("double").alias(name))
+    return scored.unionByName(rest)
 
 
 @dataclass
@@ -165,15 +173,19 @@ LATENT_KEYS = ["category_encoded", "star_rating"]
 
 
 def _affine(matrix: np.ndarray, offset: np.ndarray):
-    """Arrow-batched ``x @ matrix + offset`` over an array column."""
+    """Arrow-batched ``x @ matrix + offset`` over an array column; null in, null out."""
 
-    def apply(rows: pd.Series) -> pd.Series:
-        if rows.empty:
-            return rows
-        return pd.Series(list(np.stack(rows.to_numpy()) @ matrix + offset))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def apply(rows: pa.Array) -> pa.Array:
+        known = rows.is_valid().to_numpy(zero_copy_only=False)
+        given = rows.filter(rows.is_valid())
+        flat = given.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(matrix))
+        out = flat @ matrix + offset
+        bounds = np.concatenate([[0], np.cumsum(known)]) * out.shape[1]
+        ends = pa.array(bounds.astype(np.int32), mask=np.append(~known, False))
+        return pa.ListArray.from_arrays(ends, pa.array(out.ravel(), pa.float64()))
 
-    # Written annotations are text here, so the kind of function is named.
-    return F.pandas_udf(apply, T.ArrayType(T.DoubleType()), F.PandasUDFType.SCALAR)
+    return apply
 
 
 def _joint(df: DataFrame, n_categories: int) -> DataFrame:
@@ -192,7 +204,8 @@ def fit_latent(df: DataFrame, k: int, width: int, n_categories: int) -> LatentMo
     latent = LatentModel(model.pc.toArray(), np.array(mean), width, n_categories, df)
     z = array_to_vector(F.col("latent"))
     stats = Summarizer.metrics("mean", "std").summary(z)
-    latent.strata = (
+    # Stored with the model: a later call must not encode the fitted rows again.
+    latent.strata = materialize(
         encode(latent, df)
         .groupBy(*LATENT_KEYS)
         .agg(stats.alias("_s"))
@@ -225,8 +238,8 @@ def decode(model: LatentModel, df: DataFrame, body: str = "body_rec", head: str
 def sample_latent(
     model: LatentModel, requests: DataFrame, seed: int, id_column: str = "request_id"
 ) -> DataFrame:
-    """A seeded latent vector around the stratum's mean for each request."""
-    joined = join_lookup(requests, model.strata, LATENT_KEYS)
+    """A seeded latent vector around the stratum's mean for each request; null for a stratum not fitted."""
+    joined = join_lookup(requests, model.strata, LATENT_KEYS, "left")
     noise = seeded_normals(id_column, seed, model.axes.shape[1])
     shifted = F.zip_with(F.col("latent_std"), noise, lambda s, e: s * e)
     latent = F.zip_with(F.col("latent_mean"), shifted, lambda m, e: m + e)

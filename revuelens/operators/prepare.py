@@ -81,15 +81,16 @@ def decode_category(df: DataFrame, codes: DataFrame, column: str = "product_cate
     return join_lookup(df, codes.select("category_encoded", column), ["category_encoded"], "left")
 
 
-def standardize(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+def standardize(df: DataFrame, columns: dict[str, str], fit_on: DataFrame | None = None) -> DataFrame:
     """Add ``(x - mean) / population std`` for each ``{source: output}`` column.
 
-    The moments are one scalar subquery; a constant column is only centred.
+    The moments are those of ``fit_on`` (default: of ``df``), as one scalar
+    subquery; a constant column is only centred.
     """
     parts = []
     for c in columns:
         parts += [F.avg(c), F.stddev_pop(c)]
-    moments = df.agg(F.array(*parts)).scalar()
+    moments = (df if fit_on is None else fit_on).agg(F.array(*parts)).scalar()
     outputs = []
     for i, (source, output) in enumerate(columns.items()):
         std = moments[2 * i + 1]
@@ -116,16 +117,16 @@ def clean_reviews(df: DataFrame, min_total_votes: int, exclude_vine: bool = Fals
 def prepare(
     df: DataFrame, min_total_votes: int, per_stratum: int, seed: int, exclude_vine: bool = False
 ) -> DataFrame:
-    """The whole preparation: clean, sample per stratum, scale, split.
+    """The whole preparation: clean, sample per stratum, split, scale.
 
-    The sample is stored, because its moments and the split's cuts each read it.
+    The scaler is fitted on the train rows alone. Medians and category codes are
+    taken before, over all clean rows: they describe strata, not the split. The
+    sample is stored, because its moments and the split's cuts each read it.
     """
     cleaned = clean_reviews(df, min_total_votes, exclude_vine)
     sample = stratified_sample(cleaned, STRATUM, per_stratum, seed, "review_id")
     words = word_count(F.col("clean_body"))
     sample = materialize(sample.withColumn("review_body_words", words))
-    scaled = standardize(
-        sample,
-        {"review_body_words": "length_scaled", "helpfulness_ratio": "helpfulness_scaled"},
-    )
-    return stratified_split(scaled, STRATUM, (0.8, 0.1, 0.1), seed, "review_id", source=sample)
+    split = stratified_split(sample, STRATUM, (0.8, 0.1, 0.1), seed, "review_id")
+    scaled = {"review_body_words": "length_scaled", "helpfulness_ratio": "helpfulness_scaled"}
+    return standardize(split, scaled, split.filter("split = 'train'"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from revuelens.operators.joins import join_lookup, null_safe_join
@@ -38,20 +39,18 @@ def table_summary(df: DataFrame) -> DataFrame:
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     """Rows per non-null value (or combination), largest first, and their share."""
-    present = df.na.drop(subset=list(columns))
-    counts = present.groupBy(*columns).agg(F.count("*").alias("n"))
-    total = present.agg(F.count("*")).scalar()
+    counts = df.na.drop(subset=list(columns)).groupBy(*columns).agg(F.count("*").alias("n"))
+    # The total is that of the few counted rows, not of another scan.
+    total = F.sum("n").over(W.partitionBy(F.lit(0)))
     return counts.withColumn("share", F.col("n") / total).orderBy(F.desc("n"), *columns)
 
 
 def rating_share(df: DataFrame) -> DataFrame:
     """Count and percent of all rows for each of the five ratings, present or not."""
-    counts = df.groupBy("star_rating").agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*")).scalar()
-    ratings = df.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("star_rating"))
-    n = F.coalesce(F.col("n"), F.lit(0))
-    return ratings.join(counts, "star_rating", "left").select(
-        "star_rating", n.alias("n"), (n * 100.0 / total).alias("pct")
+    one = df.agg(F.count("*").alias("_all"), *[_rated(r).alias(f"_r{r}") for r in RATINGS])
+    rows = F.array(*[F.struct(F.lit(r).alias("star_rating"), F.col(f"_r{r}").alias("n")) for r in RATINGS])
+    return one.select("_all", F.inline(rows)).select(
+        "star_rating", "n", F.try_divide(F.col("n") * 100.0, F.col("_all")).alias("pct")
     )
 
 
@@ -75,8 +74,12 @@ def strata_balance(df: DataFrame) -> DataFrame:
     """Rows per category and rating, with the smallest and largest cell of all."""
     table = df.groupBy("product_category").agg(*[_rated(r).alias(f"r{r}") for r in RATINGS])
     cells = [F.col(f"r{r}") for r in RATINGS]
-    ends = table.agg(F.array(F.min(F.least(*cells)), F.max(F.greatest(*cells)))).scalar()
-    return table.select("*", ends[0].alias("min_cell"), ends[1].alias("max_cell"))
+    everything = W.partitionBy(F.lit(0))
+    return table.select(
+        "*",
+        F.min(F.least(*cells)).over(everything).alias("min_cell"),
+        F.max(F.greatest(*cells)).over(everything).alias("max_cell"),
+    )
 
 
 def crosstab_margins(df: DataFrame) -> DataFrame:
@@ -203,11 +206,13 @@ def histogram(
     """Counts and density in ``bins`` equal bins between the smallest and largest value.
 
     All groups share the edges; empty bins are listed. ``below`` keeps only
-    smaller values.
+    smaller values. NaN and infinite values have no bin and are left out.
     """
     by = list(by)
     v = F.col(value).cast("double")
-    rows = df.select(*by, v.alias("value")).filter(F.col("value").isNotNull())
+    rows = df.select(*by, v.alias("value")).filter(
+        F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    )
     if below is not None:
         rows = rows.filter(F.col("value") < below)
     # A single distinct value gets a bin range of one, centred on it.
@@ -250,7 +255,7 @@ def kde(
     by = list(by) or ["_all"]
     rows = df.withColumn("_all", F.lit(0)) if by == ["_all"] else df
     rows = rows.select(*by, F.col(value).cast("double").alias("value")).filter(
-        F.col("value").isNotNull()
+        F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
     )
     stats = (
         rows.groupBy(*by)
@@ -309,9 +314,9 @@ def monthly_trend(df: DataFrame, date: str = "review_date") -> DataFrame:
 def split_report(df: DataFrame) -> DataFrame:
     """Rows per split and rating, share inside the split, and the split's percent of all."""
     cells = df.groupBy("split", "star_rating").agg(F.count("*").alias("n"))
-    splits = df.groupBy("split").agg(F.count("*").alias("split_rows"))
-    total = df.agg(F.count("*")).scalar()
-    return null_safe_join(cells, splits, ["split"]).select(
+    in_split = F.sum("n").over(W.partitionBy("split"))
+    total = F.sum("n").over(W.partitionBy(F.lit(0)))
+    return cells.withColumn("split_rows", in_split).select(
         "split",
         "star_rating",
         "n",

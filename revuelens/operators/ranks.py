@@ -14,18 +14,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from revuelens.functions.scalars import seeded_hash
-from revuelens.operators.joins import join_lookup
+from revuelens.operators.joins import join_lookup, null_safe_join
+from revuelens.session import materialize
 
 _STEPS = 1024  # buckets per doubling of the value
 _SHIFT = 1100 * _STEPS  # above the exponent of the smallest double
+_END = 1 << 40  # bucket of infinity
+_VALUES = 1024  # distinct values that a part of a bucket holds if they lie evenly
 
 
 def _bucket(value: Column) -> Column:
-    """Order-preserving bucket number of a double; a bucket is 0.07 % wide, 0 is its own."""
-    size = (F.floor(F.log2(F.abs(value)) * _STEPS) + _SHIFT).cast("long")
-    return (
-        F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
+    """Order-preserving bucket number of a double; a bucket is 0.07 % wide, 0 and the infinities are their own."""
+    size = F.when(F.abs(value) == float("inf"), F.lit(_END)).otherwise(
+        F.floor(F.log2(F.when(F.abs(value) < float("inf"), F.abs(value)).otherwise(1.0)) * _STEPS) + _SHIFT
     )
+    size = size.cast("long")
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
 def count_values(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -45,11 +49,21 @@ def cumulative_counts(
     """Add ``cum_<m>`` (up to and with the value) and ``total_<m>`` per group.
 
     ``counts`` has one row per (by, value). Buckets are totalled and ordered first;
-    there are some thousand of them per group whatever the number of rows. Then
-    values are ordered inside their bucket only.
+    there are some thousand of them per group whatever the number of rows. A bucket
+    with many values is cut again, evenly between its smallest and its largest, so
+    values that all lie close together spread as well. Then values are ordered
+    inside their part only.
     """
     by = list(by)
-    rows = counts.withColumn("_bucket", _bucket(F.col("value")))
+    coarse = counts.withColumn("_wide", _bucket(F.col("value")))
+    extent = coarse.groupBy(*by, "_wide").agg(
+        F.min("value").alias("_low"), F.max("value").alias("_high"), F.ceil(F.count("*") / _VALUES).alias("_parts")
+    )
+    several = (F.col("_parts") > 1) & (F.col("_high") > F.col("_low"))
+    part = F.floor((F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low")) * F.col("_parts"))
+    rows = null_safe_join(coarse, extent, [*by, "_wide"]).select(
+        *counts.columns, F.struct("_wide", F.when(several, part).otherwise(0).cast("long").alias("_part")).alias("_bucket")
+    )
     # Without keys the one group is the bucket table, never the rows.
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     earlier = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -132,9 +146,12 @@ def rank_cuts(
     be unique.
     """
     keys = list(keys)
-    hashed = df.select(
-        *keys, seeded_hash(id_column, seed).alias("_hash"), F.col(id_column).alias("_id")
-    ).withColumn("_bucket", F.substring("_hash", 1, 3))
+    # As many hex digits as leave about a thousand rows of the stratum to a bucket.
+    digits = F.greatest(F.lit(1), F.ceil(F.log2(F.count("*") / 1024.0) / 4)).cast("int")
+    sizes = df.groupBy(*keys).agg(digits.alias("_digits"))
+    narrow = df.select(*keys, seeded_hash(id_column, seed).alias("_hash"), F.col(id_column).alias("_id"))
+    sized = join_lookup(narrow, sizes, keys) if keys else narrow.withColumn("_digits", F.lit(3))
+    hashed = sized.withColumn("_bucket", F.expr("substring(_hash, 1, _digits)")).drop("_digits")
     group = W.partitionBy(*keys)
     spans = (
         hashed.groupBy(*keys, "_bucket")
@@ -195,16 +212,19 @@ def order_key(id_column: str, seed: int) -> Column:
 
 
 def number_distinct(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Alphabetical 0-based number of each distinct non-null value of a column."""
+    """Alphabetical 0-based number of each distinct non-null value of a column.
+
+    Values are dealt out by range and stored; one short row per range carries the
+    offset, so values with a common beginning spread like any others.
+    """
     distinct = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    # Two characters are a prefix of the full order, so prefixes can be numbered alone.
-    tagged = distinct.withColumn("_prefix", F.substring(F.col(column), 1, 2))
-    sizes = tagged.groupBy("_prefix").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    row = F.row_number().over(W.partitionBy("_prefix").orderBy(column))
+    placed = materialize(distinct.repartitionByRange(column).withColumn("_range", F.spark_partition_id()))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    row = F.row_number().over(W.partitionBy("_range").orderBy(column))
     return (
-        tagged.withColumn("_row", row)
-        .join(starts, "_prefix")
+        placed.withColumn("_row", row)
+        .join(starts, "_range")
         .select(column, (F.col("_start") + F.col("_row") - 1).cast("int").alias(name))
     )

@@ -8,51 +8,58 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from revuelens.functions.scalars import clip_upper
 from revuelens.operators.ranks import cumulative_counts
 
 
-def student_two_sided(t: float, dof: float) -> float:
-    """P(|T| >= |t|) by the continued fraction of the incomplete beta function."""
-    if math.isinf(t):
-        return 0.0
-    a, b, x = dof / 2.0, 0.5, dof / (dof + t * t)
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _beta_part(b, a, 1.0 - x)
-    return _beta_part(a, b, x)
-
-
-def _beta_part(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    log_front += a * math.log(x) + b * math.log1p(-x)
-    tiny = 1e-300
-    c, d, fraction = 1.0, 0.0, 1.0
-    for i in range(0, 400):
-        m = i // 2
-        if i == 0:
-            term = 1.0
-        elif i % 2 == 0:
-            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 / (1.0 + term * d or tiny)
-        c = 1.0 + term / c or tiny
-        fraction *= c * d
-        if i > 0 and abs(1.0 - c * d) < 1e-14:
-            break
-    return math.exp(log_front) * (fraction - 1.0) / a
-
-
-def _pearson_p(r, n):
-    if r is None or math.isnan(r) or n < 3:
-        return None
-    spare = 1.0 - r * r
-    t = math.inf if spare <= 0 else r * math.sqrt((n - 2) / spare)
-    return student_two_sided(t, n - 2)
+def student_two_sided(t: Column, dof: Column) -> Column:
+    """P(|T| >= |t|) for whole degrees of freedom, by the finite trigonometric series.
+
+    Beyond 2,000 degrees a normal approximation takes over.
+    """
+    v = dof.cast("double")
+    theta = F.atan(F.abs(t) / F.sqrt(v))
+    odd = F.pmod(dof, F.lit(2)) == 1
+    # Each term of the series is the one before, times cos^2 and a ratio of whole numbers.
+    first = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
+    steps = F.floor((dof - F.when(odd, 3).otherwise(2)) / 2).cast("int")
+    begin = F.struct(first.alias("term"), first.alias("total"))
+    low = F.when(odd, 1.0).otherwise(0.0)
+
+    def add(state: Column, k: Column) -> Column:
+        term = state["term"] * F.pow(F.cos(theta), 2) * (2 * k - 1 + low) / (2 * k + low)
+        return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
+
+    total = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), F.least(steps, F.lit(1000)))).otherwise(F.array().cast("array<int>")), begin, add)["total"]
+    inside = F.when(odd & (dof == 1), 2 * theta / F.pi()).when(
+        odd, 2 / F.pi() * (theta + F.sin(theta) * total)
+    ).otherwise(F.sin(theta) * total)
+    a = F.abs(t)
+    normal = a * (1 - 1 / (4 * v)) / F.sqrt(1 + a * a / (2 * v))
+    exact = F.greatest(F.lit(0.0), 1 - inside)
+    return F.when(dof > 2000, upper_normal(normal) * 2).otherwise(exact)
+
+
+def upper_normal(z: Column) -> Column:
+    """P(N >= z) for z >= 0: a continued fraction above 3, the power series below."""
+    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    tail = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), z, lambda s, k: z + k / s)
+    begin = F.struct(z.alias("term"), z.alias("total"))
+
+    def add(state: Column, k: Column) -> Column:
+        term = state["term"] * z * z / (2 * k + 1)
+        return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), begin, add)["total"]
+    return F.when(z > 3, density / tail).otherwise(0.5 - density * series)
+
+
+def pearson_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation over ``n`` pairs; null below three pairs."""
+    spare = 1 - r * r
+    t = r * F.sqrt((n - 2) / F.when(spare > 0, spare))
+    return F.when(r.isNull() | F.isnan(r) | (n < 3), None).when(spare <= 0, 0.0).otherwise(student_two_sided(t, n - 2))
 
 
 def length_helpfulness_corr(
@@ -68,8 +75,7 @@ def length_helpfulness_corr(
     pairs = df.select(clip_upper(words, clip).cast("double").alias("x"), F.col(ratio).alias("y"))
     pairs = pairs.na.drop()
     row = pairs.agg(F.corr("x", "y").alias("r"), F.count("*").alias("n_pairs"))
-    p_value = F.udf(_pearson_p, T.DoubleType())
-    return row.withColumn("p_value", p_value("r", "n_pairs"))
+    return row.withColumn("p_value", pearson_p(F.col("r"), F.col("n_pairs")))
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

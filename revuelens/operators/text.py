@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revuelens.functions.scalars import hex_uniform, seeded_hash
 from revuelens.functions.text import (
@@ -106,25 +109,25 @@ def word_vocabulary(df: DataFrame, text: str, size: int) -> DataFrame:
 def token_ids(
     df: DataFrame, text: str, vocabulary: DataFrame, max_len: int, id_column: str = "review_id"
 ) -> DataFrame:
-    """Padded word ids, attention mask and labels (padding ignored) of ``max_len``."""
+    """Padded word ids, attention mask and labels (padding ignored) of ``max_len``.
+
+    The vocabulary has a size that its maker chose, and goes to the tasks as a
+    dictionary; ids are looked up inside the row, so rows that share an id stay apart.
+    """
+    places = dict(vocabulary.select("word", "word_id").toArrow().to_pandas().itertuples(index=False))
+    shared = df.sparkSession.sparkContext.broadcast(places)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def look_up(rows: pa.Array) -> pa.Array:
+        known = shared.value
+        found = [None if r is None else [known.get(w, UNKNOWN) for w in r] for r in rows.to_pylist()]
+        return pa.array(found, pa.list_(pa.int32()))
+
     first = F.slice(words(F.lower(F.col(text))), 1, max_len)
-    exploded = df.select(id_column, F.posexplode_outer(first).alias("_pos", "word"))
-    ids = F.sort_array(
-        F.collect_list(
-            F.when(
-                F.col("_pos").isNotNull(),
-                F.struct("_pos", F.coalesce(F.col("word_id"), F.lit(UNKNOWN)).alias("id")),
-            )
-        )
-    )
-    grouped = (
-        join_lookup(exploded, vocabulary, ["word"], "left")
-        .groupBy(id_column)
-        .agg(F.transform(ids, lambda s: s["id"]).alias("_ids"))
-    )
+    numbered = df.select(id_column, F.coalesce(look_up(first), F.array().cast("array<int>")).alias("_ids"))
     used = F.size("_ids")
     fill = F.lit(max_len) - used
-    return grouped.select(
+    return numbered.select(
         id_column,
         F.concat("_ids", F.array_repeat(F.lit(PAD), fill)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), fill)).alias("attention_mask"),
@@ -141,18 +144,27 @@ def char_vocab(df: DataFrame, text: str) -> DataFrame:
 def encode_chars(df: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
     """Add ``encoded``: character ids of the text, unknown characters dropped.
 
-    The vocabulary is bounded by the code points there are, so it travels as one
-    string in which a character's place is its id.
+    The vocabulary is bounded by the code points there are; it travels as one table
+    of ids by code point, so a character costs one look-up.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("char_id", "char")))
-    alphabet = vocab.agg(F.array_join(F.transform(ordered, lambda s: s["char"]), "")).scalar()
-    known = df.withColumn("_alphabet", alphabet)
-    places = F.transform(F.split(F.col(text), ""), lambda c: _place(c, F.col("_alphabet")))
-    return known.withColumn("encoded", F.filter(places, lambda i: i >= 0)).drop("_alphabet")
-
-
-def _place(char: Column, alphabet: Column) -> Column:
-    return F.when(F.length(char) > 0, F.position(char, alphabet) - 1).otherwise(-1)
+    rows = vocab.select("char", "char_id").toArrow()
+    table = np.full(0x110000, -1, dtype=np.int32)
+    table[[ord(c) for c in rows.column("char").to_pylist()]] = rows.column("char_id").to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(table[: int(np.flatnonzero(table >= 0).max(initial=0)) + 1])
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(texts: pa.Array) -> pa.Array:
+        known, out = shared.value, []
+        for t in texts.to_pylist():
+            if t is None:
+                out.append(None)
+                continue
+            points = np.frombuffer(t.encode("utf-32-le"), dtype="<u4")
+            ids = known[points[points < len(known)]]
+            out.append(ids[ids >= 0])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return df.withColumn("encoded", encode(F.col(text)))
 
 
 def char_windows(
@@ -179,17 +191,20 @@ def lexicon_sentiment(
 ) -> DataFrame:
     """Sum of word valences per text, and that sum squashed to (-1, 1).
 
-    ``lexicon`` has columns ``word`` and ``valence``. Negation and emphasis are
-    not modelled.
+    ``lexicon`` has columns ``word`` and ``valence``; a word list does not grow with
+    the texts, so it goes to the tasks whole. Each row is scored on its own, a null
+    text as one without listed words. Negation and emphasis are not modelled.
     """
+    listed = lexicon.filter(F.col("word").isNotNull()).groupBy("word").agg(F.sum("valence").alias("v"))
+    shared = df.sparkSession.sparkContext.broadcast({w: v or 0.0 for w, v in listed.toArrow().to_pandas().itertuples(index=False)})
+
+    @F.arrow_udf(T.DoubleType())
+    def total(rows: pa.Array) -> pa.Array:
+        known = shared.value
+        return pa.array([float(sum(known[w] for w in r or () if w in known)) for r in rows.to_pylist()], pa.float64())
+
     lowered = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"[^{SPACE}.,!?;:\"()]+"), 0)
-    found = df.select(id_column, *keep, F.explode_outer(lowered).alias("word"))
-    valence = F.coalesce(F.sum("valence"), F.lit(0.0))
-    scored = (
-        join_lookup(found, lexicon, ["word"], "left")
-        .groupBy(id_column, *keep)
-        .agg(valence.alias("valence"))
-    )
+    scored = df.select(id_column, *keep, total(lowered).alias("valence"))
     # Fixed value: 15 normalises the sum.
     v = F.col("valence")
     return scored.withColumn("compound", v / F.sqrt(v * v + 15.0))

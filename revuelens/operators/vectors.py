@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
@@ -14,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revuelens.functions.text import bind, ngrams, words
+from revuelens.functions.text import words
 from revuelens.functions.vectors import (
     cosine,
     l2,
@@ -100,17 +103,18 @@ def centroids(df: DataFrame, by: Sequence[str], vector: str = "body_emb") -> Dat
     )
 
 
-def centroid_distances(cents: DataFrame, key: str, max_groups: int = 2000) -> DataFrame:
+def centroid_distances(cents: DataFrame, key: str, blocks: int = 16) -> DataFrame:
     """Euclidean distance of every ordered pair of group centroids.
 
-    The matrix is the result, so it is meant for few groups; more than
-    ``max_groups`` is refused rather than cut.
+    The matrix is the result, so it has the square of the groups' number of rows;
+    filter ``cents`` first where fewer are wanted. Both sides are dealt into blocks
+    that meet in an equi-join, so no task gets the whole table.
     """
-    if cents.limit(max_groups + 1).count() > max_groups:
-        raise ValueError(f"more than {max_groups} groups in a distance matrix")
-    other = F.struct(F.col(key).alias("group_b"), F.col("centroid").alias("_other"))
-    table = cents.agg(F.collect_list(other)).scalar()
-    return cents.select(F.col(key).alias("group_a"), "centroid", F.inline(table)).select(
+    own = F.pmod(F.xxhash64(key), F.lit(blocks))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = cents.select(F.col(key).alias("group_a"), "centroid", own.alias("_i"), every.alias("_j"))
+    right = cents.select(F.col(key).alias("group_b"), F.col("centroid").alias("_other"), own.alias("_j"), every.alias("_i"))
+    return left.join(right, ["_i", "_j"]).select(
         "group_a", "group_b", l2_dist(F.col("centroid"), F.col("_other")).alias("distance")
     )
 
@@ -206,46 +210,37 @@ def embed_text(
     """
     if encoder is not None:
         return _encode_with(df, columns, id_column, encoder)
-    parts = []
-    for text in columns:
-        found = words(F.lower(F.col(text)))
-        terms = F.concat(found, ngrams(found, 2))
-        parts.append(F.struct(F.lit(text).alias("_column"), terms.alias("_terms")))
-    long = df.select(id_column, F.inline(F.array(*parts)))
-    digest = F.md5("_term")
-    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    sign = F.when(F.substring(digest, 9, 1) < "8", 1).otherwise(-1)
-    sums = (
-        long.select(id_column, "_column", F.explode_outer("_terms").alias("_term"))
-        .groupBy(id_column, "_column", bucket.alias("_bucket"))
-        .agg(F.sum(sign).cast("double").alias("_sum"))
-    )
-    hashed = F.col("_bucket").isNotNull()
-    vectors = [
-        F.map_from_entries(
-            F.collect_list(F.when((F.col("_column") == text) & hashed, F.struct("_bucket", "_sum")))
-        ).alias(vector)
-        for text, vector in columns.items()
-    ]
-    maps = sums.groupBy(id_column).agg(*vectors)
-    return maps.select(id_column, *[_unit(v, dim).alias(v) for v in columns.values()])
+    found = {v: words(F.lower(F.col(text))) for text, v in columns.items()}
+    return df.select(id_column, *[_hashed_unit(dim)(items).alias(v) for v, items in found.items()])
 
 
-def _unit(sums: str, dim: int) -> Column:
-    """Dense vector of length one from a map of its non-zero elements."""
+def _hashed_unit(dim: int):
+    """Arrow-batched signed hash of an array of words and of its neighbouring pairs.
 
-    def dense(entries: Column) -> Column:
-        squares = F.aggregate(F.map_values(entries), F.lit(0.0), lambda t, x: t + x * x)
-        length = F.when(squares > 0, F.sqrt(squares)).otherwise(1.0)
-        return bind(
-            length,
-            lambda size: F.transform(
-                F.sequence(F.lit(0), F.lit(dim - 1)),
-                lambda i: (F.coalesce(F.try_element_at(entries, i), F.lit(0.0)) / size).cast("float"),
-            ),
-        )
+    A vector depends on its own row only, so nothing is grouped; null and empty
+    texts have a zero vector.
+    """
 
-    return bind(F.col(sums), dense)
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def hashed(rows: pa.Array) -> pa.Array:
+        out = np.zeros((len(rows), dim))
+        places: dict[str, tuple[int, int]] = {}
+        for i, items in enumerate(rows.to_pylist()):
+            items = items or []
+            for term in (*items, *(f"{a} {b}" for a, b in pairwise(items))):
+                place = places.get(term)
+                if place is None:
+                    digest = hashlib.md5(term.encode()).digest()
+                    place = places[term] = int.from_bytes(digest[:4]) % dim, 1 if digest[4] < 128 else -1
+                out[i, place[0]] += place[1]
+            if len(places) > 500_000:
+                places.clear()
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        unit = (out / np.where(length > 0, length, 1.0)).astype(np.float32)
+        ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dim)
+        return pa.ListArray.from_arrays(ends, pa.array(unit.ravel()))
+
+    return hashed
 
 
 def _encode_with(df: DataFrame, columns: dict[str, str], id_column: str, encoder) -> DataFrame:

@@ -14,7 +14,7 @@ from revuelens.session import spread
 # Fixed values used by all catalogue queries.
 SEED = 42
 MIN_VOTES = 1
-PER_STRATUM = 50
+PER_STRATUM = 5000
 VECTOR_WIDTH = 64
 
 STOP_WORDS = [

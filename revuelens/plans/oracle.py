@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from revuelens.functions.text import CLEANING, SPACE, WORD
 from revuelens.plans.fixtures import LEXICON, MIN_VOTES, PER_STRATUM, SEED, STOP_WORDS
 
+# Fixed values, written here on their own so that a wrong class in the engine shows:
+# white space as Python's str.split sees it, and word characters.
+SPACE = r"\x09\x0A\x0B\x0C\x0D\x1C\x1D\x1E\x1F\x20\x85\pZ"
+WORD = r"\pL\pN_"
+LINK, TAG, ODD = f"http[^{SPACE}]+", "<[^\n]*?>", f"[^{WORD}{SPACE}.,!?;:'-]"
+
 
 def sql_list(items) -> str:
     return "(" + ", ".join(f"'{x}'" for x in items) + ")"
@@ -22,11 +27,12 @@ def word_count(x: str) -> str:
 
 
 def clean(x: str) -> str:
-    out = f"lower({x})"
-    for pattern, replacement in CLEANING:
+    def replaced(value: str, pattern: str, by: str) -> str:
         pattern = pattern.replace("'", "''")
-        out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
-    return f"coalesce(trim({out}), '')"
+        return f"regexp_replace({value}, '{pattern}', '{by}', 'g')"
+
+    plain = replaced(replaced(replaced(f"lower({x})", LINK, ""), TAG, " "), ODD, " ")
+    return f"coalesce(trim({replaced(plain, f'[{SPACE}]+', ' ')}), '')"
 
 
 def clean_words(x: str) -> str:
@@ -108,15 +114,15 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "prepared": (
         ["sampled"],
-        f"""select * exclude (rn, n), case when rn <= floor(n * cast(0.8 as double) + 0.5) then 'train'
+        f"""select *, (review_body_words - avg(review_body_words) filter (split = 'train') over ())
+            / stddev_pop(review_body_words) filter (split = 'train') over () as length_scaled,
+        (helpfulness_ratio - avg(helpfulness_ratio) filter (split = 'train') over ())
+            / stddev_pop(helpfulness_ratio) filter (split = 'train') over () as helpfulness_scaled
+        from (select * exclude (rn, n), case when rn <= floor(n * cast(0.8 as double) + 0.5) then 'train'
             when rn <= floor(n * cast(0.9 as double) + 0.5) then 'val' else 'test' end as split
-        from (select *, (review_body_words - avg(review_body_words) over ())
-                / stddev_pop(review_body_words) over () as length_scaled,
-            (helpfulness_ratio - avg(helpfulness_ratio) over ())
-                / stddev_pop(helpfulness_ratio) over () as helpfulness_scaled,
-            row_number() over (partition by product_category, star_rating
+        from (select *, row_number() over (partition by product_category, star_rating
                 order by {digest("review_id")}, review_id) as rn,
-            count(*) over (partition by product_category, star_rating) as n from sampled)""",
+            count(*) over (partition by product_category, star_rating) as n from sampled))""",
     ),
     "facts": (
         [],

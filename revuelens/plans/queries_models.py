@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revuelens.functions.vectors import seeded_normals
 from revuelens.operators import generate, metrics, models, profile, stats, vectors
 from revuelens.operators.density import fit_conditional_density
 from revuelens.operators.sampling import request_grid, stratified_split
@@ -64,13 +65,19 @@ def _(spark, sf):
 
 
 def stored_vectors(spark, sf) -> DataFrame:
-    """Planted vectors with a helpfulness that depends on the rating, stored."""
+    """Planted vectors with a helpfulness that depends on the rating, split and stored."""
     value = F.pmod(F.col("review_id") * 13, F.lit(17)) / 40.0 + F.col("star_rating") / 10.0
-    return materialize(fx.planted_vectors(spark, sf).withColumn("helpfulness", value))
+    rows = fx.planted_vectors(spark, sf).withColumn("helpfulness", value)
+    return materialize(stratified_split(rows, KEYS, (0.8, 0.0, 0.2), fx.SEED))
+
+
+def part(rows: DataFrame, name: str) -> DataFrame:
+    return rows.filter(F.col("split") == name).drop("split")
 
 
 def latent_model(rows: DataFrame) -> models.LatentModel:
-    return models.fit_latent(rows, LATENT, fx.VECTOR_WIDTH, CATEGORIES)
+    """Fitted on the train rows alone."""
+    return models.fit_latent(part(rows, "train"), LATENT, fx.VECTOR_WIDTH, CATEGORIES)
 
 
 def encoded(spark, sf) -> DataFrame:
@@ -79,9 +86,10 @@ def encoded(spark, sf) -> DataFrame:
 
 
 def rebuilt(spark, sf) -> DataFrame:
+    """Test rows, rebuilt by a model that has not seen them."""
     rows = stored_vectors(spark, sf)
     model = latent_model(rows)
-    return models.decode(model, models.encode(model, rows))
+    return models.decode(model, models.encode(model, part(rows, "test")))
 
 
 @query("encode_latent")
@@ -128,9 +136,9 @@ def requests_for(spark, sf, per_stratum: int = 2) -> DataFrame:
 
 
 def decoded_samples(rows: DataFrame, latent: models.LatentModel) -> DataFrame:
-    """One unrefined sample per real row, in the row's own stratum."""
-    density = fit_conditional_density(rows, KEYS, "helpfulness", 20)
-    requests = rows.select(F.col("review_id").cast("string").alias("request_id"), *KEYS)
+    """One unrefined sample per real row, in the row's own stratum, drawn from the train rows' models."""
+    density = fit_conditional_density(part(rows, "train"), KEYS, "helpfulness", 20)
+    requests = rows.select(F.col("review_id").cast("string").alias("request_id"), *KEYS, "split")
     bundle = generate.ReviewModels(density, latent, None)
     return materialize(generate.sample_records(requests, bundle, fx.SEED))
 
@@ -141,10 +149,12 @@ def _scored_columns(df: DataFrame) -> DataFrame:
 
 
 def fitted_models(real: DataFrame) -> tuple[generate.ReviewModels, DataFrame]:
+    """Models of the train rows, and one sample for every row of either part."""
     latent = latent_model(real)
     fake = decoded_samples(real, latent)
-    realism = models.fit_discriminator(_scored_columns(real), _scored_columns(fake), CATEGORIES)
-    density = fit_conditional_density(real, KEYS, "helpfulness", 20)
+    train = part(real, "train")
+    realism = models.fit_discriminator(_scored_columns(train), _scored_columns(part(fake, "train")), CATEGORIES)
+    density = fit_conditional_density(train, KEYS, "helpfulness", 20)
     return generate.ReviewModels(density, latent, realism), fake
 
 
@@ -160,24 +170,24 @@ def _(spark, sf):
 def _(spark, sf):
     real = stored_vectors(spark, sf)
     bundle, fake = fitted_models(real)
-    both = metrics.label_union(_scored_columns(real), _scored_columns(fake))
+    both = metrics.label_union(_scored_columns(part(real, "test")), _scored_columns(part(fake, "test")))
     return stats.roc_auc(models.score_realism(bundle.realism, both, CATEGORIES, "score"))
 
 
-def retrieved(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Generated records, unrefined samples and the real vectors."""
+def retrieved(spark, sf):
+    """Generated records, unrefined samples, the real vectors, and the models."""
     real = stored_vectors(spark, sf)
     bundle, fake = fitted_models(real)
     texts = fx.reviews(spark, sf).select("review_id", "review_headline", "review_body")
-    pool = real.join(texts, "review_id", "left").drop("helpfulness")
+    pool = real.join(texts, "review_id", "left").drop("helpfulness", "split")
     requests = requests_for(spark, sf)
-    return generate.generate_reviews(requests, bundle, pool, fx.SEED), fake, real
+    return materialize(generate.generate_reviews(requests, bundle, pool, fx.SEED)), fake, real, bundle
 
 
 @query("generate_reviews")
 def _(spark, sf):
-    records, _, _ = retrieved(spark, sf)
-    return records.select("request_id", *KEYS, "helpfulness", "gan_quality", "review_id", "similarity", "text")
+    records, *_ = retrieved(spark, sf)
+    return records.select("request_id", *KEYS, "helpfulness", "gan_quality", "review_id", "similarity", "text", "matched")
 
 
 @query(
@@ -197,16 +207,45 @@ def _(spark, sf):
     return generate.nearest_in_stratum(requests, rows.withColumnRenamed("body_emb", "v"), "v")
 
 
+def variants(spark, sf) -> DataFrame:
+    """Coherence, AUC against held-out real rows and mean quality: real, full, unrefined, random; all measured."""
+    records, fake, real, bundle = retrieved(spark, sf)
+    held_out = part(real, "test")
+    width = fx.VECTOR_WIDTH
+    noise = held_out.select(
+        "review_id",
+        *KEYS,
+        "helpfulness",
+        seeded_normals("review_id", fx.SEED, width).alias("body_emb"),
+        seeded_normals("review_id", fx.SEED + 1, width).alias("head_emb"),
+    )
+    named = {"real": held_out, "full": records.filter("matched"), "unrefined": part(fake, "test"), "random": noise}
+    true_scores = _scored_columns(held_out)
+    tables = {}
+    for name, rows in named.items():
+        scored = models.score_realism(bundle.realism, _scored_columns(rows), CATEGORIES)
+        table = vectors.coherence(rows).withColumn("quality", scored.agg(F.avg("gan_quality")).scalar())
+        if name != "real":
+            both = metrics.label_union(true_scores, _scored_columns(rows))
+            judged = models.score_realism(bundle.realism, both, CATEGORIES, "score")
+            table = table.withColumn("auc", stats.roc_auc(judged).select("auc").scalar())
+        tables[name] = table
+    return materialize(metrics.metric_table(tables))
+
+
 @query("variant_coherence")
 def _(spark, sf):
-    records, fake, real = retrieved(spark, sf)
-    named = {
-        "real": vectors.coherence(real),
-        "full": vectors.coherence(records),
-        "unrefined": vectors.coherence(fake),
-        "random": vectors.random_coherence(real, fx.VECTOR_WIDTH, fx.SEED),
-    }
-    return metrics.metric_table(named)
+    return variants(spark, sf)
+
+
+@query("ablation_of_variants")
+def _(spark, sf):
+    return metrics.ablation_delta(variants(spark, sf), "full")
+
+
+@query("checks_of_variants")
+def _(spark, sf):
+    return metrics.success_checks(variants(spark, sf), "full", "random", "unrefined")
 
 
 @query("generated_rating_counts")
@@ -224,6 +263,6 @@ def _(spark, sf):
     fake = decoded_samples(rows, latent_model(rows))
     distances = [
         ("real_vs_real", models.frechet_distance(rows, rows)),
-        ("real_vs_sampled", models.frechet_distance(rows, fake)),
+        ("test_vs_sampled", models.frechet_distance(part(rows, "test"), part(fake, "test"))),
     ]
     return spark.createDataFrame(distances, "pair string, distance double")

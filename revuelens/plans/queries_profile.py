@@ -310,20 +310,20 @@ def _(spark, sf):
 
 @query(
     "histogram_vector_elements",
-    """with e as (select min(embedding[i]) as lo, max(embedding[i]) as hi from embeddings, range(1, 9) r(i)),
-    v as (select i - 1 as dimension, cast(embedding[i] as double) as v from embeddings, range(1, 9) r(i)),
+    """with e as (select min(embedding[i]) as lo, max(embedding[i]) as hi from embeddings, range(1, 65) r(i)),
+    v as (select i - 1 as dimension, cast(embedding[i] as double) as v from embeddings, range(1, 65) r(i)),
     c as (select dimension, least(floor((v - lo) / ((cast(hi as double) - lo) / 30)), 29) as bin, count(*) as n
         from v cross join e group by 1, 2)
     select cast(d as int) as dimension, cast(b as int) as bin,
     round(cast(lo as double) + b * ((cast(hi as double) - lo) / 30), 6) as lo,
     round(cast(lo as double) + (b + 1) * ((cast(hi as double) - lo) / 30), 6) as hi, coalesce(n, 0) as n,
     round(coalesce(n, 0) / ((select count(*) from embeddings) * ((cast(hi as double) - lo) / 30)), 6) as density
-    from range(0, 8) x(d) cross join range(0, 30) y(b) cross join e left join c on bin = b and dimension = d""",
+    from range(0, 64) x(d) cross join range(0, 30) y(b) cross join e left join c on bin = b and dimension = d""",
 )
 def _(spark, sf):
-    first = F.posexplode(F.slice("embedding", 1, 8)).alias("dimension", "element")
+    every = F.posexplode("embedding").alias("dimension", "element")
     return profile.histogram(
-        fx.table(spark, sf, "embeddings").select(first), "element", 30, ["dimension"]
+        fx.table(spark, sf, "embeddings").select(every), "element", 30, ["dimension"]
     )
 
 

@@ -15,9 +15,12 @@ from revuelens.sources.tables import (
     read_embeddings,
     read_split,
     read_table,
+    write_csv,
     write_embeddings,
+    write_report,
     write_splits,
     write_table,
+    write_text,
 )
 
 
@@ -36,6 +39,7 @@ def _(spark, sf):
     path = _new_path(spark)
     options = dict(sep="\t", header=True, quote='"', escape='"', quoteAll=True, emptyValue="")
     fx.reviews(spark, sf).select(RAW.fieldNames()).write.options(**options).csv(path)
+    # Texts hold line breaks, which only a scan that keeps files whole can read.
     scanned = scan_reviews(spark, [path], layout=RAW.fieldNames(), multi_line=True)
     return scanned.select(
         "review_id",
@@ -97,6 +101,129 @@ def _(spark, sf):
     )
 
 
+_LINE_COLUMNS = ["review_id", "product_category", "star_rating", "helpful_votes"]
+
+
+def _line_files(spark, sf) -> list[str]:
+    """Review lines in files of two layouts: even ids with all columns, odd ids with two."""
+    rows = fx.reviews(spark, sf)
+    i = F.col("review_id")
+    rating = F.coalesce(F.col("star_rating").cast("string"), F.lit(""))
+    first = F.concat(i.cast("string"), F.lit("\t"), F.col("product_category"), F.lit("\t"), rating, F.lit("\t"), votes())
+    second = F.concat(votes(), F.lit("\t"), i.cast("string"))
+    out = []
+    for part, header, line in ((0, "\t".join(_LINE_COLUMNS), first), (1, "helpful_votes\treview_id", second)):
+        path = _new_path(spark)
+        named = spark.createDataFrame([(header,)], "value string")
+        lines = rows.filter(i % 2 == part).select(i.alias("k"), line.alias("value"))
+        # One file each with its header on top: these are small test inputs of a scan.
+        ordered = named.withColumn("k", F.lit(-1)).unionByName(lines).coalesce(1).sortWithinPartitions("k")
+        ordered.select("value").write.text(path)
+        out.append(path)
+    return out
+
+
+def votes():
+    return F.coalesce(F.col("helpful_votes").cast("string"), F.lit(""))
+
+
+@query(
+    "scan_line_files",
+    """select cast(review_id as varchar) as review_id,
+    case when review_id % 2 = 1 then null else product_category end as product_category,
+    case when review_id % 2 = 1 then null else star_rating end as star_rating, helpful_votes from reviews""",
+    ("reviews",),
+)
+def _(spark, sf):
+    """Files of two layouts, joined by column name; absent columns are null."""
+    return scan_reviews(spark, [*_line_files(spark, sf), _new_path(spark)], _LINE_COLUMNS)
+
+
+def _ragged(spark, sf):
+    path = _new_path(spark)
+    i = F.col("review_id")
+    last = F.when(i % 5 == 1, "").when(i % 5 == 2, F.concat(F.lit("\t"), votes(), F.lit("\tmore"))).otherwise(
+        F.concat(F.lit("\t"), votes())
+    )
+    quoted = F.when(i % 5 == 3, F.concat(F.lit('"'), F.col("product_category"), F.lit(' ""q"""'))).otherwise(F.col("product_category"))
+    rating = F.when(i % 5 == 4, "five").otherwise(F.coalesce(F.col("star_rating").cast("string"), F.lit("")))
+    line = F.concat(i.cast("string"), F.lit("\t"), quoted, F.lit("\t"), rating, last)
+    rows = fx.reviews(spark, sf).select(i.alias("k"), line.alias("value"))
+    header = spark.createDataFrame([(-1, "\t".join(_LINE_COLUMNS))], "k long, value string")
+    header.unionByName(rows).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    return path
+
+
+_RAGGED_SQL = """select cast(review_id as varchar) as review_id,
+    case when review_id % 5 = 3 then product_category || ' "q"' else product_category end as product_category,
+    case when review_id % 5 = 4 then null else star_rating end as star_rating,
+    case when review_id % 5 = 1 then null else helpful_votes end as helpful_votes
+    from reviews where review_id % 5 <> 2"""
+
+
+@query("scan_malformed_lines", _RAGGED_SQL, ("reviews",))
+def _(spark, sf):
+    """Long lines go, short ones are padded, quotes are undone, a word in a number column is null."""
+    return scan_reviews(spark, [_ragged(spark, sf)], _LINE_COLUMNS)
+
+
+@query(
+    "scan_row_cap",
+    """select cast(review_id as varchar) as review_id from reviews where review_id % 5 <> 2
+    order by reviews.review_id limit 50""",
+    ("reviews",),
+)
+def _(spark, sf):
+    """The cap per file is the feature: the first 50 good lines."""
+    return scan_reviews(spark, [_ragged(spark, sf)], ["review_id"], max_rows_per_file=50)
+
+
+@query(
+    "write_csv",
+    "select id, category, star_rating, round(gan_quality, 6) as gan_quality, text from generated",
+    ("generated",),
+)
+def _(spark, sf):
+    path = _new_path(spark)
+    write_csv(fx.generated(spark, sf), path)
+    schema = "id string, category string, star_rating int, gan_quality double, text string"
+    return spark.read.schema(schema).options(header=True, escape='"', multiLine=True).csv(path)
+
+
+@query(
+    "write_text",
+    """select "block", cast(count(*) as bigint) as n from (select '[' || category || ', ' || star_rating || ', Q:'
+        || format('{:.2f}', gan_quality) || ']' as "block" from generated) group by 1""",
+    ("generated",),
+)
+def _(spark, sf):
+    """First lines of the blocks of a text sink."""
+    path = _new_path(spark)
+    write_text(fx.generated(spark, sf), path)
+    lines = spark.read.text(path).filter(F.col("value").rlike(r"^\[\w+, \d, Q:\d\.\d\d\]$"))
+    return lines.groupBy(F.col("value").alias("block")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "write_report",
+    """select cast(count(*) as bigint) as generated, round(avg(gan_quality), 6) as mean_quality,
+    cast(count(distinct category) as bigint) as categories from generated""",
+    ("generated",),
+)
+def _(spark, sf):
+    path = _new_path(spark)
+    rows = fx.generated(spark, sf)
+    write_report(
+        rows.agg(
+            F.count("*").alias("generated"),
+            F.avg("gan_quality").alias("mean_quality"),
+            F.count_distinct("category").alias("categories"),
+        ),
+        path,
+    )
+    return spark.read.schema("generated long, mean_quality double, categories long").json(path)
+
+
 @query(
     "head_rows",
     "select review_id, product_category, star_rating from filtered order by review_id limit 5",

@@ -324,8 +324,10 @@ def _(spark, sf):
     + f""", eg as (select star_rating, gram, count(*) as n from (
         {o.grams("generated", "id", "star_rating", "string_split(text, '')", 3, "")}) group by 1, 2),
     ctx as (select distinct star_rating, context, n_context from m),
+    size as (select count(*) + 1 as size from (select distinct unnest(string_split(review_body, '')) as char from filtered)
+        where length(char) > 0),
     l as (select eg.star_rating, eg.n, -ln((coalesce(m.n, 0) + 1.0::double)
-        / (coalesce(ctx.n_context, 0) + 200.0::double)) as loss from eg
+        / (coalesce(ctx.n_context, 0) + cast(size.size as double))) as loss from eg cross join size
         left join m on m.star_rating = eg.star_rating and m.context || m.next = eg.gram
         left join ctx on ctx.star_rating = eg.star_rating and ctx.context = substring(eg.gram, 1, 2))
     select star_rating, cast(sum(n) as bigint) as n_chars, round(sum(loss * n) / sum(n), 6) as loss,
@@ -333,8 +335,11 @@ def _(spark, sf):
     ("filtered", "generated"),
 )
 def _(spark, sf):
-    model = char_lm.fit_char_ngram(fx.filtered(spark, sf), "review_body", 3)
+    fitted = fx.filtered(spark, sf)
+    model = char_lm.fit_char_ngram(fitted, "review_body", 3)
+    # The alphabet of the fitted texts, and one for any other character.
+    size = text.char_vocab(fitted, "review_body").count() + 1
     held_out = fx.table(spark, sf, "conversations").select(
         (1 + F.col("conv_id") % 5).cast("int").alias("star_rating"), "text"
     )
-    return char_lm.char_perplexity(held_out, model, "text", 200, 3)
+    return char_lm.char_perplexity(held_out, model, "text", size, 3)

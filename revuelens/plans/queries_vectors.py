@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revuelens.functions import vectors as fv
@@ -69,15 +72,26 @@ def _(spark, sf):
 
 @query(
     "attach_latents",
-    """select review_id, r.star_rating, round(list_sum(body_emb[1:16]), 6) as latent_sum
-    from reviews r join vectors v using (review_id)""",
+    """select review_id, r.star_rating, len(latent) as width, round(sqrt(list_sum(list_transform(latent, lambda x: x * x))), 6) as latent_norm
+    from reviews r join (select review_id, list_transform(range(0, 16),
+        lambda j: list_sum(list_transform(range(1, 65), lambda i: body_emb[i] * cos(i * (j + 1))))) as latent from vectors) v
+    using (review_id)""",
     ("reviews", "vectors"),
 )
 def _(spark, sf):
-    latents = fx.review_vectors(spark, sf).select("review_id", F.slice("body_emb", 1, 16).alias("latent"))
+    """Latents are projections of the whole vector on sixteen fixed axes."""
+    axes = [F.array(*[F.lit(math.cos(i * (j + 1))) for i in range(1, 65)]) for j in range(16)]
+    wide = F.col("body_emb").cast("array<double>")
+
+    def along(axis):
+        return F.aggregate(F.zip_with(wide, axis, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+    latents = fx.review_vectors(spark, sf).select("review_id", F.array(*[along(a) for a in axes]).alias("latent"))
     joined = vectors.attach_latents(fx.reviews(spark, sf), latents)
-    total = F.aggregate("latent", F.lit(0.0), lambda t, x: t + x)
-    return joined.select("review_id", "star_rating", total.alias("latent_sum"))
+    squares = F.aggregate("latent", F.lit(0.0), lambda t, x: t + x * x)
+    return joined.select(
+        "review_id", "star_rating", F.size("latent").cast("long").alias("width"), F.sqrt(squares).alias("latent_norm")
+    )
 
 
 @query(
@@ -274,6 +288,27 @@ DENSITY_BINS = 20
 
 
 
+# Rows whose seeded digest falls in the first four fifths are fitted, the others scored.
+TRAIN_SHARE = 0.8
+
+
+def parted(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    known = hex_uniform(seeded_hash("review_id", fx.SEED, "#part")) < TRAIN_SHARE
+    return df.filter(known), df.filter(~known)
+
+
+def _held_out_sql(source: str) -> str:
+    """``_density_sql`` of the train rows, with ``lls`` over the test rows."""
+    chance = o.uniform(o.digest("review_id", fx.SEED, "#part"))
+    split = f", fit_rows as (select * from {source} where {chance} < {TRAIN_SHARE}), test_rows as (select * from {source} where {chance} >= {TRAIN_SHARE})"
+    bins = DENSITY_BINS
+    slot = f"cast(greatest(0, least(floor((helpfulness_ratio - lo) / (hi - lo) * {bins}), {bins - 1})) as int)"
+    scored = f""", held as (select review_id, product_category, star_rating, total_votes, {slot} as bin
+        from test_rows cross join rng where helpfulness_ratio is not null),
+    tlls as (select held.*, ln(density) as ll from held left join model using (product_category, star_rating, bin))"""
+    return split + _density_sql("fit_rows") + scored
+
+
 def _density_sql(source: str) -> str:
     """Fitted histogram ``model`` and the source rows with their bin, ``binned``."""
     bins = DENSITY_BINS
@@ -313,45 +348,50 @@ def _(spark, sf):
     return density_model(spark, sf)
 
 
+def scored_facts(spark, sf):
+    """Test rows with a helpfulness, and the model of the train rows."""
+    train, test = parted(fx.review_facts(spark, sf))
+    model = density.fit_conditional_density(train, STRATA, "helpfulness_ratio", DENSITY_BINS)
+    return test.filter(F.col("helpfulness_ratio").isNotNull()), model
+
+
 @query(
     "log_density",
-    _density_sql("facts")
-    + """ select review_id, product_category, star_rating, total_votes, round(ll, 6) as log_density from lls""",
+    _held_out_sql("facts")
+    + """ select review_id, product_category, star_rating, total_votes, round(ll, 6) as log_density from tlls""",
     ("facts",),
 )
 def _(spark, sf):
-    rows = density.log_density(
-        fx.review_facts(spark, sf), density_model(spark, sf), STRATA, "helpfulness_ratio"
-    )
+    test, model = scored_facts(spark, sf)
+    rows = density.log_density(test, model, STRATA, "helpfulness_ratio")
     return rows.select("review_id", *STRATA, "total_votes", "log_density")
 
 
 @query(
     "loglik_by_category",
-    _density_sql("facts")
-    + " select product_category, count(*) as n, round(avg(ll), 6) as mean_loglik from lls group by 1",
+    _held_out_sql("facts")
+    + " select product_category, count(ll) as n, round(avg(ll), 6) as mean_loglik from tlls group by 1",
     ("facts",),
 )
 def _(spark, sf):
-    return density.loglik_by(
-        fx.review_facts(spark, sf), density_model(spark, sf), STRATA, "helpfulness_ratio", ["product_category"]
-    )
+    test, model = scored_facts(spark, sf)
+    return density.loglik_by(test, model, STRATA, "helpfulness_ratio", ["product_category"])
 
 
 @query(
     "loglik_matrix",
-    _density_sql("filtered")
-    + """, cells as (select product_category, star_rating, case when count(*) >= 10 then avg(ll) end as ll
-        from lls group by 1, 2)
+    _held_out_sql("filtered")
+    + """, cells as (select product_category, star_rating, case when count(ll) >= 10 then avg(ll) end as ll
+        from tlls group by 1, 2)
     select product_category, """
     + ", ".join(f"round(max(ll) filter (star_rating = {r}), 6) as r{r}" for r in range(1, 6))
     + " from cells group by 1",
     ("filtered",),
 )
 def _(spark, sf):
-    rows = fx.filtered(spark, sf)
-    model = density.fit_conditional_density(rows, STRATA, "helpfulness_ratio", DENSITY_BINS)
-    return density.loglik_matrix(rows, model, "helpfulness_ratio")
+    train, test = parted(fx.filtered(spark, sf))
+    model = density.fit_conditional_density(train, STRATA, "helpfulness_ratio", DENSITY_BINS)
+    return density.loglik_matrix(test, model, "helpfulness_ratio")
 
 
 @query(

@@ -40,24 +40,37 @@ def work_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the stored table.
 
     Cuts the lineage at a point where several later passes read the same rows;
     readers keep column pruning and filter pushdown, which a row checkpoint
-    would lose. The folder's owner removes old tables.
+    would lose. ``drop_stored`` deletes what a session has stored.
     """
     path = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that this process has stored; frames that read them are void after."""
+    conf, dropped = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        dropped += bool(place.getFileSystem(conf).delete(place, True))
+    return dropped
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows dealt out by ``key`` when a scan has fewer partitions than there are cores.
 
-    One file with one row group would otherwise be read, and its texts worked on,
-    by a single task. A scan that already fills the cluster is left alone, so
-    large inputs are never shuffled for this.
+    One file with one row group cannot be split by reading it in smaller pieces, and
+    would have all its texts worked on by a single task. A scan that fills the
+    cluster is left alone; the rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,16 +15,30 @@ from revuelens.schema import RAW
 _TYPES = {f.name: f.dataType for f in RAW.fields}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = files.globStatus(hadoop)
-    return found is not None and len(found) > 0
+def _files(spark: SparkSession, paths: Sequence[str]) -> list:
+    """Status of every file behind the paths, folders and patterns opened; no job."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(conf)
+        for found in system.globStatus(place) or []:
+            inside = system.listStatus(found.getPath()) if found.isDirectory() else [found]
+            out += [f for f in inside if f.isFile() and f.getPath().getName()[0] not in "._"]
+    return out
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).limit(1).collect()
-    return [name.strip().strip('"') for name in first[0][0].split("\t")] if first else []
+def _header(spark: SparkSession, file) -> list[str]:
+    """Names in the first line of a file, of which only the first bytes are read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    stream = file.getPath().getFileSystem(conf).open(file.getPath())
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file.getPath())
+        plain = stream if codec is None else codec.createInputStream(stream)
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return [name.strip().strip('"') for name in line.split("\t")] if line else []
 
 
 def scan_reviews(
@@ -37,38 +52,58 @@ def scan_reviews(
     """Wanted columns of review files, by header name, as one table.
 
     Paths that do not exist are skipped and absent columns are null. Lines with
-    too many fields are dropped; short lines are padded with null. ``layout``
-    declares the header of all files, which saves reading it from each one and
-    scans them together. ``multi_line`` allows line breaks inside quotes but
-    keeps a file from being split among tasks.
+    too many fields are dropped; short lines are padded with null. The driver reads the
+    first line of each file, and files with the same header are one scan, however
+    many they are; ``layout`` declares the header of all files and saves that.
+    ``max_rows_per_file`` keeps the first rows of each file in file order.
+    ``multi_line`` allows line breaks inside quotes but keeps a file from being
+    split among tasks.
     """
-    present = [p for p in paths if _exists(spark, p)]
-    if not present:
+    files = _files(spark, paths)
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        names = tuple(layout if layout is not None else _header(spark, file))
+        layouts.setdefault(names, []).append(file.getPath().toString())
+    if not layouts:
         return spark.createDataFrame([], T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in columns]))
-    if layout is not None and max_rows_per_file is None:
-        return _scan(spark, present, list(layout), columns, multi_line)
-    tables = []
-    for path in present:
-        table = _scan(spark, [path], list(layout or _header(spark, path)), columns, multi_line)
-        tables.append(table if max_rows_per_file is None else table.limit(max_rows_per_file))
+    tables = [
+        _scan(spark, group, list(names), columns, multi_line, max_rows_per_file) for names, group in layouts.items()
+    ]
     return reduce(DataFrame.unionByName, tables)
 
 
 def _scan(
-    spark: SparkSession, paths: list[str], layout: list[str], columns: Sequence[str], multi_line: bool
+    spark: SparkSession,
+    paths: list[str],
+    layout: list[str],
+    columns: Sequence[str],
+    multi_line: bool,
+    max_rows: int | None,
 ) -> DataFrame:
     fields = [T.StructField(c, _TYPES.get(c, T.StringType())) for c in layout]
-    # A field past the last one catches lines that are too long.
+    # A field past the last one catches lines that are too long, empty or not.
     schema = T.StructType([*fields, T.StructField("_extra", T.StringType())])
     rows = (
         spark.read.schema(schema)
         .options(sep="\t", header=True, quote='"', escape='"', multiLine=multi_line)
         .csv(paths)
-        .filter(F.col("_extra").isNull())
     )
+    rows = rows.filter(F.col("_extra").isNull())
+    if max_rows is not None:
+        rows = _first_rows(rows, max_rows)
     return rows.select(
         *[
             F.col(c) if c in layout else F.lit(None).cast(_TYPES.get(c, T.StringType())).alias(c)
             for c in columns
         ]
     )
+
+
+def _first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of each file: at most ``n`` of each block, then of those in block order."""
+    block = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    placed = rows.select("*", *block, F.monotonically_increasing_id().alias("_row"))
+    of_block = W.partitionBy("_file", "_start").orderBy("_row")
+    of_file = W.partitionBy("_file").orderBy("_start", "_row")
+    cut = placed.withColumn("_n", F.row_number().over(of_block)).filter(F.col("_n") <= n)
+    return cut.withColumn("_n", F.row_number().over(of_file)).filter(F.col("_n") <= n)

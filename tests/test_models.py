@@ -51,7 +51,9 @@ def test_frechet_distance_of_a_shift(planted):
     assert models.frechet_distance(planted, shifted) == pytest.approx(6, rel=1e-4)
 
 
-def test_nearest_equals_brute_force_on_both_paths(planted):
+@pytest.mark.parametrize("block", [2048, 7])
+def test_nearest_equals_brute_force_in_any_blocks(planted, block, monkeypatch):
+    monkeypatch.setattr(generate, "BLOCK", block)
     requests = planted.filter("review_id < 40").select(
         F.col("review_id").cast("string").alias("request_id"),
         *models.LATENT_KEYS,
@@ -65,9 +67,41 @@ def test_nearest_equals_brute_force_on_both_paths(planted):
         m = np.stack(group.v.to_numpy()).astype(float)
         v = np.array(r.v, dtype=float)
         best[r.request_id] = (m @ v / np.linalg.norm(m, axis=1) / np.linalg.norm(v)).max()
-    for limit in (1000, 1):
-        found = generate.nearest_in_stratum(requests, pool, "v", max_requests=limit).collect()
-        assert {r["request_id"]: pytest.approx(r["similarity"], abs=1e-9) for r in found} == best
+    found = generate.nearest_in_stratum(requests, pool, "v").collect()
+    assert {r["request_id"]: pytest.approx(r["similarity"], abs=1e-9) for r in found} == best
+
+
+def test_every_request_is_answered(spark):
+    requests = spark.createDataFrame(
+        [(1, 0, 1, [1.0, 0.0]), (2, 0, 1, [0.0, 0.0]), (3, 0, 1, None), (4, 9, 9, [1.0, 1.0]), (5, None, 1, [1.0, 0.0])],
+        "request_id int, category_encoded int, star_rating int, v array<double>",
+    )
+    pool = spark.createDataFrame(
+        [(8, 0, 1, [2.0, 0.0]), (7, 0, 1, [3.0, 0.0]), (6, 0, 1, None), (9, None, 1, [1.0, 1.0]), (5, 0, 1, [0.0, 0.0])],
+        "review_id long, category_encoded int, star_rating int, v array<double>",
+    )
+    got = {r["request_id"]: (r["review_id"], r["similarity"]) for r in generate.nearest_in_stratum(requests, pool, "v").collect()}
+    assert got[1] == (7, pytest.approx(1.0)) and got[5] == (9, pytest.approx(0.5**0.5))
+    assert got[2] == got[3] == got[4] == (None, None)
+
+
+def test_distance_matrix_has_no_limit(spark):
+    cents = spark.range(60).select(F.col("id").alias("g"), F.array(F.col("id").cast("double"), F.lit(0.0)).alias("centroid"))
+    rows = vectors.centroid_distances(cents, "g").collect()
+    assert len(rows) == 3600 and all(r["distance"] == abs(r["group_a"] - r["group_b"]) for r in rows)
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    from revuelens.operators import text
+
+    rows = spark.createDataFrame([(1, "good good"), (1, "bad"), (None, "good"), (None, None)], "review_id long, t string")
+    words = spark.createDataFrame([("good", 1.0), ("bad", -2.0), ("good", 0.5), (None, 9.0)], "word string, valence double")
+    got = text.lexicon_sentiment(rows, "t", words).collect()
+    assert sorted(r["valence"] for r in got) == [-2.0, 0.0, 1.5, 3.0]
+    vocabulary = spark.createDataFrame([("good", 2)], "word string, word_id int")
+    ids = text.token_ids(rows, "t", vocabulary, 2).collect()
+    assert sorted(r["input_ids"] for r in ids) == [[0, 0], [1, 0], [2, 0], [2, 2]]
+    assert len(vectors.embed_text(rows, {"t": "v"}, 8).collect()) == 4
 
 
 def test_generated_records_stay_in_their_stratum(spark, planted):
@@ -87,7 +121,10 @@ def test_generated_records_stay_in_their_stratum(spark, planted):
     out = generate.generate_reviews(requests, bundle, pool, 3).collect()
     again = generate.generate_reviews(requests, bundle, pool.repartition(5), 3).collect()
     assert {(r["request_id"], r["text"]) for r in out} == {(r["request_id"], r["text"]) for r in again}
-    assert len(out) == 10 and all(0 <= r["gan_quality"] <= 1 for r in out)
+    assert len(out) == 10 and all(0 <= r["gan_quality"] <= 1 and r["matched"] for r in out)
+    unknown = requests.limit(1).withColumn("category_encoded", F.lit(77))
+    lone = generate.generate_reviews(unknown, bundle, pool, 3).first()
+    assert not lone["matched"] and lone["text"] is None and lone["gan_quality"] is None
     for r in out:
         assert r["review_id"] % 2 == r["category_encoded"] and 1 + r["review_id"] % 5 == r["star_rating"]
 

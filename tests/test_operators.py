@@ -125,10 +125,49 @@ def test_sample_n_and_top_n(spark):
 def test_lookup_join_is_the_same_broadcast_or_not(spark):
     rows = skewed(spark, 500)
     lookup = rows.groupBy("k").agg(F.count("*").alias("n"))
-    small = joins.join_lookup(rows, lookup, ["k"])
-    large = joins.join_lookup(rows, lookup, ["k"], max_rows=1)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert small.exceptAll(large).isEmpty() and small.count() == large.count() == 500
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    small = joins.join_lookup(rows, lookup, ["k"]).collect()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        large = joins.join_lookup(rows, lookup, ["k"]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(small) == 500 and sorted(map(str, small)) == sorted(map(str, large))
+
+
+def test_ranks_of_close_infinite_and_crowded_values(spark):
+    rows = [(1, float(1_700_000_000_000 + (i * 7919) % 50_021)) for i in range(50_000)]
+    rows += [(1, float("inf"))] * 3 + [(1, float("-inf"))] * 2 + [(1, float("nan")), (2, 5.0), (2, None)]
+    counts = ranks.count_values(spark.createDataFrame(rows, "k int, x double"), ["k"], "x")
+    ranked = ranks.cumulative_counts(counts, ["k"]).filter("k = 1").orderBy("value").collect()
+    total = 0
+    for r in ranked:
+        total += r["n"]
+        assert r["cum_n"] == total and r["total_n"] == 50_005
+    assert ranked[0]["value"] == float("-inf") and ranked[-1]["value"] == float("inf")
+    score = spark.createDataFrame([(1, float("inf")), (0, 1.0), (1, 1.0), (0, float("-inf"))], "label int, score double")
+    assert stats.roc_auc(score).first()["auc"] == 0.875
+
+
+def test_numbers_follow_the_alphabet_whatever_the_prefix(spark):
+    values = [f"same-beginning-{i:05d}" for i in range(3000)] + ["a", "z", "\u00e9"]
+    frame = spark.createDataFrame([(v,) for v in values + values + [None]], "v string")
+    got = {r["v"]: r["n"] for r in ranks.number_distinct(frame, "v", "n").collect()}
+    assert got == {v: i for i, v in enumerate(sorted(values))}
+
+
+def test_nan_and_infinity_have_no_bin(spark):
+    rows = spark.createDataFrame([(x,) for x in (0.0, 1.0, float("nan"), float("inf"), None)], "v double")
+    got = profile.histogram(rows, "v", 2).orderBy("bin").collect()
+    assert [(r["lo"], r["n"]) for r in got] == [(0.0, 1), (0.5, 1)]
+
+
+def test_counts_come_from_one_scan(spark, folder):
+    spark.createDataFrame([(1, "train"), (5, "val")], "star_rating int, split string").write.parquet(folder + "/t")
+    rows = spark.read.parquet(folder + "/t")
+    tables = (profile.value_counts(rows, "split"), profile.rating_share(rows), profile.split_report(rows))
+    for table in tables:
+        assert table._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 1
 
 
 def test_impute_median_then_default(spark):
@@ -210,11 +249,20 @@ def test_auc_and_ks_with_ties(spark):
     assert stats.roc_auc(rows.filter("label = 1")).first()["auc"] is None
 
 
-def test_student_p_values():
-    # Table values of the t distribution.
-    assert stats.student_two_sided(2.228139, 10) == pytest.approx(0.05, abs=1e-6)
-    assert stats.student_two_sided(12.706205, 1) == pytest.approx(0.05, abs=1e-6)
-    assert stats.student_two_sided(0.0, 5) == 1.0
+def test_student_p_values(spark):
+    def integrated(t, v):
+        """The density summed beyond t, by the midpoint rule in a bounded variable."""
+        edges = np.linspace(math.atan(t / math.sqrt(v)), math.pi / 2, 200_001)
+        angle = (edges[1:] + edges[:-1]) / 2
+        scale = math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(math.pi)
+        return 2 * scale * float((np.cos(angle) ** (v - 1)).sum()) * (edges[1] - edges[0])
+
+    points = [(t, v) for v in (1, 2, 3, 4, 5, 10, 99, 100, 2000, 2001, 50_000) for t in (0.0, 0.3, 1.0, 2.2, 4.5)]
+    rows = spark.createDataFrame(points, "t double, v int")
+    for r in rows.withColumn("p", stats.student_two_sided(F.col("t"), F.col("v"))).collect():
+        assert r["p"] == pytest.approx(integrated(r["t"], r["v"]), abs=2e-6), r
+    # A tabulated point.
+    assert integrated(2.228139, 10) == pytest.approx(0.05, abs=1e-6)
 
 
 def test_report_with_an_absent_class(spark):
