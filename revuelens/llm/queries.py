@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revuelens.llm import cotraining, decontamination, language, minhash, mixing, nndescent, pii, suffixes, token_files, warc
+from revuelens.llm import cotraining, decontamination, language, minhash, mixing, nndescent, oracle, pii, suffixes, token_files, warc
 from revuelens.llm.common import table
 
 SEED = 17
@@ -85,6 +86,10 @@ def op10_repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf, "documents"))
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -97,6 +102,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_repeated_substrings": op10_repeated_substrings,
     "language_of_pages": language_of_pages,
+    "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+# The others have no SQL: models, files, digests of bytes, spans of a fitted chain.
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": oracle.mix_sources(SEED),
+    "op3_minhash": oracle.near_duplicates(3, 85),
+    "op6_nn_descent": oracle.nearest_embeddings(0.93),
+}
