@@ -24,7 +24,7 @@ from revuelens.operators.metrics import classification_metrics, label_union
 from revuelens.operators.vectors import fit_projection, mean_and_covariance, with_condition
 from revuelens.session import materialize
 
-# Settings of the topic model.
+# Defaults of the topic model.
 TOPICS, TOPIC_ROUNDS, MIN_DOCS, MAX_DOC_SHARE, TOPIC_TERMS = 5, 10, 2, 0.95, 1000
 
 
@@ -43,9 +43,14 @@ def fit_topics(
     stop_words: Sequence[str] = (),
     id_column: str = "review_id",
     partitions: int | None = None,
+    min_docs: int = MIN_DOCS,
+    max_doc_share: float = MAX_DOC_SHARE,
+    max_terms: int = TOPIC_TERMS,
 ) -> TopicModel:
     """Online LDA over word counts.
 
+    Terms in fewer than ``min_docs`` texts or more than ``max_doc_share`` of them are
+    no terms of the model, and of the others the ``max_terms`` most frequent are.
     The fit depends on how rows lie in partitions, so rows are first ranged and
     sorted by id; ``partitions`` fixes the layout when a run must be repeatable.
     """
@@ -57,7 +62,7 @@ def fit_topics(
     ).sortWithinPartitions(id_column)
     bags = materialize(bags)
     counter = CountVectorizer(
-        inputCol="_tokens", outputCol="features", minDF=MIN_DOCS, maxDF=MAX_DOC_SHARE, vocabSize=TOPIC_TERMS
+        inputCol="_tokens", outputCol="features", minDF=min_docs, maxDF=max_doc_share, vocabSize=max_terms
     ).fit(bags)
     lda = LDA(k=k, maxIter=rounds, optimizer="online", seed=seed).fit(counter.transform(bags))
     return TopicModel(lda, counter.vocabulary)

@@ -19,9 +19,7 @@ KEYS = models.LATENT_KEYS
 
 @query("topic_terms")
 def _(spark, sf):
-    model = models.fit_topics(
-        fx.filtered(spark, sf), "review_body", fx.SEED, stop_words=fx.STOP_WORDS, partitions=8
-    )
+    model = models.fit_topics(fx.filtered(spark, sf), "review_body", fx.SEED, stop_words=fx.STOP_WORDS)
     return models.topic_terms(model)
 
 

@@ -6,11 +6,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from revuelens.operators.filters import filter_reviews
-from revuelens.operators.prepare import with_clean_text, with_helpfulness, with_lengths
 from revuelens.schema import RAW
 from revuelens.session import drop_stored, materialize
 from revuelens.sources import reviews, tables
+from revuelens.streaming import clean_stream
 
 HEADER = "review_id\tproduct_category\tstar_rating\treview_headline\treview_body\thelpful_votes\ttotal_votes"
 LINES = [
@@ -117,7 +116,7 @@ def test_row_stage_runs_on_a_stream(spark, folder):
     )
     batch.write.parquet(folder + "/in")
     stream = spark.readStream.schema(RAW).parquet(folder + "/in")
-    cleaned = with_clean_text(with_lengths(with_helpfulness(filter_reviews(stream, 1))))
+    cleaned = clean_stream(stream, 1)
     query = cleaned.writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start()
     query.awaitTermination(60)
     rows = spark.table("cleaned").collect()
