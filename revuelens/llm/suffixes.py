@@ -7,13 +7,14 @@ context is the bytes they cover. Runs of a gram that occurs once are unique. Equ
 contexts repeat as a whole and are counted, not sorted. The others are sorted:
 sampled splitters deal the suffixes that begin at anchors out by their leading bytes, each
 bucket sorts them by multikey quicksort, and neighbours tell which windows repeat.
-Groups at a bucket's ends are compared across the boundaries.
+Windows that reach a bucket's ends are compared across the boundaries.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -239,13 +240,15 @@ def _word_rows(strings: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(joined, dtype=">u8").reshape(len(strings), whole // 8).astype(np.uint64)
 
 
-def repeated_windows(contexts: list[bytes], away: np.ndarray, n: np.ndarray, length: int, gram: int):
-    """For each context and place before its anchor whether that window stands in another context too.
+def compare_windows(contexts: list[bytes], away: np.ndarray, n: np.ndarray, length: int, gram: int):
+    """Which windows stand in another context too, by context and place before its anchor.
 
     A window is a left part that ends and a right part that begins at the anchor.
     Strings sorted by either part and cut where neighbours share less than its
     length number the equal ones; windows with both numbers equal are equal.
-    Returns the matrix, and the numbers of windows and of leading grams.
+    Returns matrices: windows found again; numbers of equal windows (-1: no window);
+    and windows whose right, or left, part is that of the first or last string in
+    order, so that a bucket before or after may hold them as well.
     """
     size = len(contexts)
     right = [c[a:] for c, a in zip(contexts, away.tolist(), strict=True)]
@@ -258,57 +261,120 @@ def repeated_windows(contexts: list[bytes], away: np.ndarray, n: np.ndarray, len
         out[order] = np.cumsum(common < depth)
         return out
 
-    found = np.zeros((size, length - gram + 1), dtype=bool)
-    window = np.full((size, length - gram + 1), -1, dtype=np.int64)
+    found, right_end, left_end = (np.zeros((size, length - gram + 1), dtype=bool) for _ in range(3))
+    number = np.full((size, length - gram + 1), -1, dtype=np.int32)
     for before in range(length - gram + 1):
         has = np.flatnonzero((before <= away) & (before > away - n))
         if not len(has):
             continue
-        key = numbers(right_order, right_common, length - before)[has] * (size + 1)
-        if before:
-            key += numbers(left_order, left_common, before)[has]
-        _, place, times = np.unique(key, return_inverse=True, return_counts=True)
+        r = numbers(right_order, right_common, length - before)
+        f = numbers(left_order, left_common, before)
+        _, place, times = np.unique(r[has] * (size + 1) + f[has], return_inverse=True, return_counts=True)
         found[has, before] = times[place] > 1
-        window[has, before] = place
-    return found, window, numbers(right_order, right_common, gram)
+        number[has, before] = place
+        right_end[has, before] = (r[has] == r.min()) | (r[has] == r.max())
+        left_end[has, before] = (f[has] == f.min()) | (f[has] == f.max())
+    return found, number, right_end, left_end
 
 
-_SPAN = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("h", pa.binary())])
+_CONTEXT = [("doc", pa.int64()), ("tag", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("away", pa.int64()), ("single", pa.bool_()), ("bytes", pa.binary())]
+_CONTEXT_DDL = "doc long, tag long, first long, n long, away long, single boolean, bytes binary"
+_FOUND = pa.schema([*_CONTEXT, ("a", pa.int64()), ("b", pa.int64()), ("open", pa.binary()), ("known", pa.binary()), ("h", pa.binary())])
+_FOUND_DDL = f"{_CONTEXT_DDL}, a long, b long, open binary, known binary, h binary"
 
 
-def _sort_buckets(contested: DataFrame, length: int, gram: int) -> DataFrame:
-    """Repeated spans (doc, tag, a, b) of single contexts; rows with ``h`` are windows to compare across buckets."""
-    right = F.expr("substring(bytes, away + 1)")
-    left = F.expr("substring(bytes, 1, away)")
+class _Bucket:
+    """The contexts of one bucket and what comparing them shows."""
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, batches: Iterator[pa.RecordBatch], length: int, gram: int):
         held = [b for b in batches if b.num_rows]
-        if not held:
+        self.rows = pa.Table.from_batches(held) if held else None
+        if self.rows is None:
             return
-        rows = pa.Table.from_batches(held)
-        doc, tag, first, n, away = (rows.column(c).to_numpy() for c in ("doc", "tag", "first", "n", "away"))
-        single = rows.column("single").to_numpy(zero_copy_only=False)
-        contexts = rows.column("bytes").to_pylist()
-        found, window, group = repeated_windows(contexts, away, n, length, gram)
+        self.doc, self.tag, self.first, self.n, self.away = (
+            self.rows.column(c).to_numpy() for c in ("doc", "tag", "first", "n", "away")
+        )
+        self.single = self.rows.column("single").to_numpy(zero_copy_only=False)
+        self.contexts = self.rows.column("bytes").to_pylist()
+        self.length, self.width = length, length - gram + 1
+        self.found, self.number, self.right_end, self.left_end = compare_windows(self.contexts, self.away, self.n, length, gram)
+
+    def masks(self, name: str) -> np.ndarray:
+        raw = np.frombuffer(b"".join(self.rows.column(name).to_pylist()), dtype=np.uint8)
+        return np.unpackbits(raw.reshape(len(self.doc), -1), axis=1)[:, : self.width].astype(bool)
+
+    def spans(self, windows: np.ndarray) -> list[dict]:
         out = []
-        for i in np.flatnonzero(single & found.any(axis=1)).tolist():
-            start = np.sort(first[i] + away[i] - np.flatnonzero(found[i]))
-            for a, b in _merged(np.stack([start, start + length], axis=1)).tolist():
-                out.append((int(doc[i]), int(tag[i]), a, b, None))
-        # Suffixes with the first or last leading gram may go on in the next bucket.
-        for i in np.flatnonzero((group == group.min()) | (group == group.max())).tolist():
-            for before in np.flatnonzero(window[i] >= 0).tolist():
-                at = int(away[i]) - before
-                digest = hashlib.blake2b(contexts[i][at : at + length], digest_size=16).digest()
-                start = int(first[i]) + at
-                known = bool(found[i, before]) or not single[i]
-                out.append((None if known else int(doc[i]), int(tag[i]), start, start + length, digest))
-        for at in range(0, len(out), 20_000):
-            part = zip(*out[at : at + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, _SPAN, strict=True)], schema=_SPAN)
-
-    ordered = contested.repartitionByRange(right, F.reverse(F.hex(left)), "doc", "first")
-    return ordered.mapInArrow(sort, "doc long, tag long, a long, b long, h binary")
+        for i in np.flatnonzero(self.single & windows.any(axis=1)).tolist():
+            start = np.sort(self.first[i] + self.away[i] - np.flatnonzero(windows[i]))
+            for a, b in _merged(np.stack([start, start + self.length], axis=1)).tolist():
+                out.append({"doc": int(self.doc[i]), "tag": int(self.tag[i]), "a": a, "b": b})
+        return out
+
+
+def _found(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 5000):
+        part = rows[at : at + 5000]
+        yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in part], f.type) for f in _FOUND], schema=_FOUND)
+
+
+def _sort_buckets(contested: DataFrame, length: int, gram: int) -> DataFrame:
+    """Repeated spans of single contexts, found in buckets of suffixes in order.
+
+    Contexts with windows whose right part reaches an end of their bucket come
+    back as well, with these windows ``open`` and those known to repeat.
+    """
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = _Bucket(batches, length, gram)
+        if bucket.rows is None:
+            return
+        out = bucket.spans(bucket.found)
+        known = bucket.found | ((bucket.number >= 0) & ~bucket.single[:, None])
+        for i in np.flatnonzero(bucket.right_end.any(axis=1)).tolist():
+            row = {n: bucket.rows.column(n)[i].as_py() for n, _ in _CONTEXT}
+            out.append(row | {"open": np.packbits(bucket.right_end[i]).tobytes(), "known": np.packbits(known[i]).tobytes()})
+        yield from _found(out)
+
+    return contested.repartitionByRange(*_by_right(), "doc", "first").mapInArrow(sort, _FOUND_DDL)
+
+
+def _across_boundaries(opened: DataFrame, length: int, gram: int) -> DataFrame:
+    """Open windows compared across buckets: spans, and with ``h`` windows still to compare.
+
+    The contexts are dealt out again, now by the bytes before their anchors. Windows
+    that meet here are settled, and so are those whose left part reaches no end of
+    its bucket; only windows that reach an end in both orders are left.
+    """
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = _Bucket(batches, length, gram)
+        if bucket.rows is None:
+            return
+        wanted, known = bucket.masks("open"), bucket.masks("known")
+        out = bucket.spans(wanted & bucket.found & ~known)
+        known |= bucket.found
+        # Equal windows of a bucket are all known by now; one of them stands for them.
+        told: set[tuple[int, int]] = set()
+        for i, before in zip(*(x.tolist() for x in np.nonzero(wanted & bucket.left_end)), strict=True):
+            window = (before, int(bucket.number[i, before]))
+            if window in told:
+                continue
+            told.add(window)
+            at = int(bucket.away[i]) - before
+            start = int(bucket.first[i]) + at
+            digest = hashlib.blake2b(bucket.contexts[i][at : at + length], digest_size=16).digest()
+            doc = None if known[i, before] else int(bucket.doc[i])
+            out.append({"doc": doc, "tag": int(bucket.tag[i]), "a": start, "b": start + length, "h": digest})
+        yield from _found(out)
+
+    left, right = _by_right()[::-1]
+    return opened.repartitionByRange(left, right, "doc", "first").mapInArrow(sort, _FOUND_DDL)
+
+
+def _by_right() -> list:
+    """Order by the bytes from the anchor on, then by those before it, backwards."""
+    return [F.expr("substring(bytes, away + 1)"), F.reverse(F.hex(F.expr("substring(bytes, 1, away)")))]
 
 
 def remove_repeats(
@@ -326,12 +392,13 @@ def remove_repeats(
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
     narrow = docs.select(key.alias("doc"), F.col(text).alias("text"))
     runs = find_runs(narrow, length, gram)
-    common = runs.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram")
+    # Stored, so that the join has both sides to itself and can split a hot gram.
+    common = materialize(runs.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram"))
     hits = materialize(runs.join(common, "gram"))
     contexts = materialize(
         hits.groupBy("gram", "context").agg(F.count("*").alias("k"), F.min(F.struct("doc", "place")).alias("one"))
     )
-    several = contexts.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
+    several = materialize(contexts.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"))
     contested = contexts.join(several, "gram").select(
         "one.doc", F.col("one.place").alias("place"), (F.col("k") == 1).alias("single")
     )
@@ -352,9 +419,11 @@ def remove_repeats(
             state.filter("bytes is not null").select("doc", "tag", "first", "n", "away", "single", "bytes"), length, gram
         )
     )
-    edge = sorted_out.filter("h is not null")
+    again = materialize(_across_boundaries(sorted_out.filter("open is not null"), length, gram))
+    edge = again.filter("h is not null")
     across = edge.join(edge.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"), "h").filter("doc is not null")
-    spans = sorted_out.filter("h is null").select("doc", "tag", "a", "b").unionByName(across.select("doc", "tag", "a", "b"))
+    parts = [sorted_out.filter("a is not null"), again.filter("h is null"), across]
+    spans = reduce(DataFrame.unionByName, [p.select("doc", "tag", "a", "b") for p in parts])
     per_doc = spans.groupBy("doc", "tag").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("more"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,10 +54,23 @@ def test_against_all_windows(spark, seed):
     assert result(spark, rows, 24, 9) == brute(rows, 24)
 
 
-def test_hot_passage_spans_several_buckets(spark, monkeypatch):
+@pytest.fixture()
+def many_buckets(spark):
+    """Small buckets that adaptive execution does not put together."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_passage_spans_several_buckets(spark, many_buckets):
     r = random.Random(3)
     passage = "".join(r.choice("abcdefgh ") for _ in range(90))
     rows = [(i, "".join(r.choice("ijklmnop") for _ in range(60)) + passage[r.randrange(30) :] + str(i)) for i in range(400)]
+    rows += [(1000 + i, f"{'tail' * (i % 3)}{passage}{i % 7}{passage[:i]}") for i in range(40)]
     assert result(spark, rows, 40, 12, 8) == brute(rows, 40)
 
 
