@@ -45,8 +45,8 @@ _BLOCKS = re.compile(
     r"(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|nav|header|footer|main|aside|blockquote|pre|hr|form|body|html)\b[^>]*>"
 )
 _TAGS = re.compile(r"</?[A-Za-z][^>]*>")
-_BLANKS = re.compile(r"[ \t\f\v\r ]+")
-_LINES = re.compile(r" ?\n[ \n]*")
+_BLANKS = re.compile(r"[ \t\f\v\r\xa0]{2,}|[\t\f\v\r\xa0]")
+_LINES = re.compile(r"\n[ \n]+")
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title")
 _LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9_-]+)")
 _HREF = re.compile(r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -65,7 +65,7 @@ def plain_text(markup: str) -> str:
     """Text of a page: no scripts, styles, comments and head; a line for each block, blanks collapsed."""
     text = _TAGS.sub("", _BLOCKS.sub("\n", _DROPPED.sub(" ", markup)))
     text = html.unescape(text) if "&" in text else text
-    return _LINES.sub("\n", _BLANKS.sub(" ", text)).strip()
+    return _LINES.sub("\n", _BLANKS.sub(" ", text).replace(" \n", "\n")).strip()
 
 
 def _one_line(text: str) -> str:
