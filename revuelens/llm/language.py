@@ -257,4 +257,6 @@ def keep_identified(docs: DataFrame, declared: str, hosts: Sequence[str], id_col
     """
     found = identify(docs, id_column=id_column, declared=declared, hosts=hosts, **options)
     rejected = found.groupBy("doc_id").agg(F.max("kept").alias("any")).filter("not any").select(F.col("doc_id").alias("_gone"))
+    # Stored, so that its size is known: few ids are sent to the texts, many meet them by id.
+    rejected = materialize(rejected)
     return docs.join(rejected, F.col(id_column).eqNullSafe(F.col("_gone")), "left_anti")

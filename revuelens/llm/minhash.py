@@ -235,10 +235,12 @@ def keep_representatives(
     id stay all.
     """
     found = materialize(near_duplicates(docs, length, percent, id_column, text))
-    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
     named = docs.filter(F.col(id_column).isNotNull())
     unnamed = docs.filter(F.col(id_column).isNull())
-    chosen = named.join(kept.distinct().hint("shuffle_hash"), F.col(id_column).cast("long") == F.col("_kept"), "left_semi")
+    by_id = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("any"))
+    # Stored, so that its size is known: few ids are sent to the texts, many meet them by id.
+    gone = materialize(by_id.filter("not any").select(F.col("doc_id").alias("_gone")))
+    chosen = named.join(gone, F.col(id_column).cast("long") == F.col("_gone"), "left_anti")
     # Ids rarely repeat; only then are whole rows put in order to choose one.
     if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).isEmpty():
         chosen = chosen.dropDuplicates([id_column])
