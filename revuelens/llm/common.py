@@ -18,6 +18,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def seeded_sample(df: DataFrame, id_column: str, n: int, seed: int) -> DataFrame:
+    """At most ``n`` rows, chosen by a seeded hash of their id.
+
+    Rows are counted, and cut by their hash to little more than ``n`` before they are
+    put in order, so that no task receives more than that.
+    """
+    total = df.count()
+    order = F.xxhash64(id_column, F.lit(seed))
+    if total > n:
+        share = min(1.0, 1.2 * n / total + 8 / total)
+        df = df.filter(F.pmod(order, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
+    return df.orderBy(order, id_column).limit(n)
+
+
 def text_slices(batch: pa.RecordBatch, column: int = 1, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with about ``limit`` bytes of text each, one row at least."""
     n = batch.num_rows

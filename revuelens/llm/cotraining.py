@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revuelens.llm.common import text_slices, utf8
+from revuelens.llm.common import seeded_sample, text_slices, utf8
 from revuelens.llm.shingles import LOWER, SPACE, find_words, mixed, word_hashes
 from revuelens.session import materialize
 
@@ -176,7 +176,10 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _confident(rows: DataFrame, models: tuple[Logistic, Logistic], taken: set[int], wanted: tuple[int, int]):
-    """The surest unlabelled rows of each view and class: (view, class, doc_id, other view)."""
+    """The surest unlabelled rows of each view and class: (view, label, doc_id, x of the other view).
+
+    Each task names its surest ids only; the views of the few chosen are fetched after.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((models, np.array(sorted(taken), dtype=np.int64)))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,21 +195,22 @@ def _confident(rows: DataFrame, models: tuple[Logistic, Logistic], taken: set[in
                     at = at[np.lexsort((ids[at], -sure[at]))][: wanted[label]]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(at), view)), pa.array(np.full(len(at), label)), pa.array(ids[at]),
-                            pa.array(sure[at]), batch.column(2 - view).take(pa.array(at)),
+                            pa.array(np.full(len(at), view)), pa.array(np.full(len(at), label)), pa.array(ids[at]), pa.array(sure[at]),
                         ],
-                        ["view", "label", "doc_id", "p", "x"],
+                        ["view", "label", "doc_id", "p"],
                     )
 
-    found = rows.select("doc_id", "t", "m").mapInArrow(
-        pick, "view long, label long, doc_id long, p double, x array<float>"
-    )
+    found = rows.select("doc_id", "t", "m").mapInArrow(pick, "view long, label long, doc_id long, p double")
     out = []
     for view in (0, 1):
         for label in (0, 1):
             top = found.filter((F.col("view") == view) & (F.col("label") == label))
             out += top.orderBy(F.desc("p"), "doc_id").limit(wanted[label]).collect()
-    return out
+    chosen = sorted({r.doc_id for r in out})
+    seen = {}
+    if chosen:
+        seen = {r.doc_id: (r.t, r.m) for r in rows.filter(F.col("doc_id").isin(chosen)).select("doc_id", "t", "m").collect()}
+    return [(r.view, r.label, r.doc_id, seen[r.doc_id][1 - r.view]) for r in out]
 
 
 def score_quality(
@@ -237,7 +241,7 @@ def score_quality(
     ).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     seen = views(docs, id_column, text, source, lang, n_chars)
     rows = materialize(seen.join(given, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "t", "m", "y"))
-    sample = rows.filter("y is not null").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(MAX_LABELLED).toArrow()
+    sample = seeded_sample(rows.filter("y is not null"), "doc_id", MAX_LABELLED, seed).toArrow()
     y = sample.column("y").to_numpy().astype(np.float64)
     if not 0 < y.sum() < len(y):
         share = F.lit((float(y.sum()) + 1) / (len(y) + 2))
@@ -263,15 +267,15 @@ def score_quality(
             calibrate(model, x[view][held] if held.any() else x[view], y[held] if held.any() else y)
         found = _confident(unlabelled, models, taken, wanted)
         said: dict[int, set[int]] = {}
-        for r in found:
-            said.setdefault(r.doc_id, set()).add(r.label)
+        for _, label_, doc_id, _ in found:
+            said.setdefault(doc_id, set()).add(label_)
         # Rows on which the views disagree teach nothing.
-        agreed = [r for r in found if len(said[r.doc_id]) == 1]
+        agreed = [r for r in found if len(said[r[2]]) == 1]
         for view in (0, 1):
-            mine = [r for r in agreed if r.view == view]
+            mine = [r for r in agreed if r[0] == view]
             if mine:
-                learnt[1 - view][0].append(np.array([r.x for r in mine], dtype=np.float64))
-                learnt[1 - view][1].append(np.array([r.label for r in mine], dtype=np.float64))
+                learnt[1 - view][0].append(np.array([r[3] for r in mine], dtype=np.float64))
+                learnt[1 - view][1].append(np.array([r[1] for r in mine], dtype=np.float64))
         taken |= set(said)
         if not agreed:
             break
