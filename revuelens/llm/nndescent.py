@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revuelens.llm.common import connected_components, groups
+from revuelens.llm.common import connected_components, groups, seeded_sample
 from revuelens.session import materialize
 
 NEIGHBOURS = 10  # list length; doubled where a list holds links only
+LONGEST = 40  # a list of so many links is counted on within its component, block by block
 TREES, BITS = 8, 48  # orders by hyperplane signs that the first graph is read from
 BLOCK = 64  # neighbours in such an order that are compared
 REVERSE = 32  # reverse neighbours that join one local comparison
@@ -50,8 +51,8 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compared(ids: np.ndarray, unit: np.ndarray, least: np.ndarray, k: int, threshold: float):
-    """Best ``k`` of each among these vectors, if better than its ``least``; and a forest of links.
+def _compared(ids: np.ndarray, unit: np.ndarray, least: np.ndarray, own: np.ndarray, threshold: float):
+    """Best ``own`` of each among these vectors, if better than its ``least``; and a forest of links.
 
     Rows (a, b, s): list entries have a similarity, forest edges come with s null.
     """
@@ -59,19 +60,22 @@ def _compared(ids: np.ndarray, unit: np.ndarray, least: np.ndarray, k: int, thre
     same = ids[:, None] == ids[None, :]
     forest = [(int(ids[x]), int(ids[y])) for x, y in _forest((similar >= threshold) & ~same | np.eye(len(ids), dtype=bool))]
     similar[same] = -2.0
-    k = min(k, len(ids) - 1)
+    k = min(int(own.max()), len(ids) - 1)
     if k < 1:
         return [], [], [], forest
     best = np.argpartition(-similar, k - 1, axis=1)[:, :k]
     value = np.take_along_axis(similar, best, axis=1)
-    keep = (value > least[:, None]) & (value > -2.0)
+    # Best first, as many as the row's own list is long.
+    order = np.argsort(-value, axis=1, kind="stable")
+    best, value = np.take_along_axis(best, order, axis=1), np.take_along_axis(value, order, axis=1)
+    keep = (value > least[:, None]) & (value > -2.0) & (np.arange(k)[None, :] < own[:, None])
     row = np.nonzero(keep)[0]
     return ids[row], ids[best[keep]], value[keep], forest
 
 
 def _emit(parts) -> Iterator[pa.RecordBatch]:
     """Buffers rows of ``_compared`` into batches."""
-    held, size = [], 0
+    held, size = [], 0  # until 20,000 rows are together
     for a, b, s, forest in parts:
         held.append((a, b, s, forest))
         size += len(a) + len(forest)
@@ -83,11 +87,16 @@ def _emit(parts) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(held) -> pa.RecordBatch:
-    a = np.concatenate([np.asarray(h[0], dtype=np.int64) for h in held] + [np.array([x for x, _ in h[3]], dtype=np.int64) for h in held])
-    b = np.concatenate([np.asarray(h[1], dtype=np.int64) for h in held] + [np.array([y for _, y in h[3]], dtype=np.int64) for h in held])
-    s = np.concatenate([np.asarray(h[2], dtype=np.float64) for h in held])
-    sims = pa.concat_arrays([pa.array(s), pa.nulls(len(a) - len(s), pa.float64())])
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), sims], ["a", "b", "s"])
+    """Entries once each, then forest edges."""
+    a, b, s = (np.concatenate([np.asarray(h[i], dtype=t) for h in held]) for i, t in ((0, np.int64), (1, np.int64), (2, np.float64)))
+    order = np.lexsort((b, a))
+    a, b, s = a[order], b[order], s[order]
+    fresh = np.ones(len(a), dtype=bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    edges = np.array(sorted({e for h in held for e in h[3]}), dtype=np.int64).reshape(-1, 2)
+    sims = pa.concat_arrays([pa.array(s[fresh]), pa.nulls(len(edges), pa.float64())])
+    ids = (pa.array(np.concatenate([x[fresh], e])) for x, e in ((a, edges[:, 0]), (b, edges[:, 1])))
+    return pa.RecordBatch.from_arrays([*ids, sims], ["a", "b", "s"])
 
 
 def first_graph(vectors: DataFrame, threshold: float, k: int, seed: int, trees: int = TREES) -> DataFrame:
@@ -117,7 +126,7 @@ def first_graph(vectors: DataFrame, threshold: float, k: int, seed: int, trees:
                 ids = group.column("id").to_numpy()
                 for at in range(0, len(ids), BLOCK):
                     unit = _matrix(group.column("v").slice(at, BLOCK))
-                    yield _compared(ids[at : at + BLOCK], unit, np.full(len(unit), -2.0), k, threshold)
+                    yield _compared(ids[at : at + BLOCK], unit, np.full(len(unit), -2.0), np.full(len(unit), k), threshold)
 
         yield from _emit(parts())
 
@@ -167,8 +176,8 @@ def refine(lists: DataFrame, vectors: DataFrame, lengths: DataFrame, threshold:
             for group in groups(batches, 2):
                 ids = group.column("id").to_numpy()
                 if len(ids) > 1:
-                    most = int(group.column("own").to_numpy().max())
-                    yield _compared(ids, _matrix(group.column("v")), group.column("least").to_numpy(), most, threshold)
+                    least, own = group.column("least").to_numpy(), group.column("own").to_numpy()
+                    yield _compared(ids, _matrix(group.column("v")), least, own, threshold)
 
         yield from _emit(parts())
 
@@ -178,14 +187,15 @@ def refine(lists: DataFrame, vectors: DataFrame, lengths: DataFrame, threshold:
 def list_lengths(lists: DataFrame, threshold: float) -> DataFrame:
     """Per id its list length for the next round and the similarity that a new entry must beat.
 
-    A list that holds links only may miss some: it is doubled.
+    A list that holds links only may miss some: it is doubled, and further links are
+    all that it takes. At ``LONGEST`` it stays; ``link_counts`` counts what it lacks.
     """
     state = lists.groupBy("a").agg(F.max("k").alias("k"), F.count("*").alias("n"), F.min("s").alias("least"))
-    saturated = (F.col("n") >= F.col("k")) & (F.col("least") >= threshold)
+    saturated = (F.col("n") >= F.col("k")) & (F.col("least") >= threshold) & (F.col("k") < LONGEST)
     return state.select(
         "a",
         F.when(saturated, F.col("k") * 2).otherwise(F.col("k")).alias("k"),
-        F.when(saturated | (F.col("n") < F.col("k")), -2.0).otherwise(F.col("least")).alias("least"),
+        F.when(saturated, F.lit(threshold - 1e-9)).when(F.col("n") < F.col("k"), -2.0).otherwise(F.col("least")).alias("least"),
     )
 
 
@@ -224,7 +234,7 @@ def link_counts(vectors: DataFrame, component: DataFrame, threshold: float) -> D
 
 def audit(vectors: DataFrame, seed: int, threshold: float) -> DataFrame:
     """True links (a, b) of a bounded seeded sample of ids, compared with all rows."""
-    chosen = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(AUDIT).select("id", "label", "dim", "v").toArrow()
+    chosen = seeded_sample(vectors, "id", AUDIT, seed).select("id", "label", "dim", "v").toArrow()
     tests = []
     keys = list(zip(chosen.column("label").to_pylist(), chosen.column("dim").to_pylist(), strict=True))
     for key in sorted(set(keys)):
