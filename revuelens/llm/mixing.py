@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revuelens.operators.ranks import number_distinct
 from revuelens.session import materialize
 
 # Fixed value: a word is a run of anything but blank and the five control white spaces.
@@ -138,10 +139,14 @@ def mix_counts(
 
 
 def cycled_weights(docs: DataFrame, source: str = "source", cycle: int = 3) -> DataFrame:
-    """Weights 1, 2, .., ``cycle`` over and over, for sources in code point order, null last."""
-    names = docs.select(F.col(source).alias("source")).distinct()
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    return names.select("source", ((place - 1) % cycle + 1).alias("weight"))
+    """Weights 1, 2, .., ``cycle`` over and over, for sources in code point order, null last.
+
+    Names are numbered by range, so any number of sources will do.
+    """
+    names = materialize(docs.select(F.col(source).alias("source")).distinct())
+    numbered = number_distinct(names, "source", "_n")
+    last = names.filter("source is null").withColumn("_n", F.lit(numbered.count()))
+    return numbered.unionByName(last).select("source", (F.col("_n") % cycle + 1).alias("weight"))
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame, seed: int, **options) -> DataFrame:
