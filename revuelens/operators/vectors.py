@@ -223,24 +223,28 @@ def _hashed_unit(dim: int):
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def hashed(rows: pa.Array) -> pa.Array:
+        known: dict[str, int] = {}
+
+        def code(term: str) -> int:
+            digest = hashlib.md5(term.encode()).digest()
+            return int.from_bytes(digest[:4]) % dim * 2 + (digest[4] < 128)
+
         out = np.zeros((len(rows), dim))
-        places: dict[str, tuple[int, int]] = {}
         for i, items in enumerate(rows.to_pylist()):
-            items = items or []
-            for term in (*items, *(f"{a} {b}" for a, b in pairwise(items))):
-                place = places.get(term)
-                if place is None:
-                    digest = hashlib.md5(term.encode()).digest()
-                    place = places[term] = int.from_bytes(digest[:4]) % dim, 1 if digest[4] < 128 else -1
-                out[i, place[0]] += place[1]
-            if len(places) > 500_000:
-                places.clear()
+            if not items:
+                continue
+            # Words come again within a batch, pairs seldom do.
+            known.update((w, code(w)) for w in set(items).difference(known))
+            codes = [known[w] for w in items] + [code(f"{a} {b}") for a, b in pairwise(items)]
+            counts = np.bincount(codes, minlength=2 * dim)
+            out[i] = counts[1::2] - counts[::2]
         length = np.sqrt((out * out).sum(axis=1, keepdims=True))
         unit = (out / np.where(length > 0, length, 1.0)).astype(np.float32)
         ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dim)
         return pa.ListArray.from_arrays(ends, pa.array(unit.ravel()))
 
-    return hashed
+    # Else a filter that an explode of the vector implies would run it a second time.
+    return hashed.asNondeterministic()
 
 
 def _encode_with(df: DataFrame, columns: dict[str, str], id_column: str, encoder) -> DataFrame:
