@@ -13,13 +13,13 @@ from revuelens.llm.common import connected_components, groups, seeded_sample
 from revuelens.session import materialize
 
 NEIGHBOURS = 10  # list length; doubled where a list holds links only
-LONGEST = 40  # a list of so many links is counted on within its component, block by block
+LONGEST = 40  # a list of so many links is no longer doubled; what it lacks is compared block by block
 TREES, BITS = 8, 48  # orders by hyperplane signs that the first graph is read from
 BLOCK = 64  # neighbours in such an order that are compared
 REVERSE = 32  # reverse neighbours that join one local comparison
-ROUNDS = 4
 STILL = 0.01  # share of list places changed in a round that counts as standing still
 COUNT_BLOCK = 256
+CENTRES = 512  # centres of blocks that meet those of as many others
 AUDIT = 512  # vectors compared with all rows to measure recall, at most
 RECALL = 0.97
 _PAIR = "a long, b long, s double"
@@ -188,7 +188,7 @@ def list_lengths(lists: DataFrame, threshold: float) -> DataFrame:
     """Per id its list length for the next round and the similarity that a new entry must beat.
 
     A list that holds links only may miss some: it is doubled, and further links are
-    all that it takes. At ``LONGEST`` it stays; ``link_counts`` counts what it lacks.
+    all that it takes. At ``LONGEST`` it stays; ``links_across`` finds what it lacks.
     """
     state = lists.groupBy("a").agg(F.max("k").alias("k"), F.count("*").alias("n"), F.min("s").alias("least"))
     saturated = (F.col("n") >= F.col("k")) & (F.col("least") >= threshold) & (F.col("k") < LONGEST)
@@ -199,6 +199,108 @@ def list_lengths(lists: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def saturated_ids(lists: DataFrame, threshold: float) -> DataFrame:
+    """``id`` of the lists that are full and hold links only, so that they may lack some."""
+    state = lists.groupBy("a").agg(F.max("k").alias("k"), F.count("*").alias("n"), F.min("s").alias("least"))
+    return state.filter((F.col("n") >= F.col("k")) & (F.col("least") >= threshold)).select(F.col("a").alias("id"))
+
+
+def links_across(vectors: DataFrame, component: DataFrame, threshold: float, by_component: bool) -> DataFrame:
+    """Edges (a, b): a forest of all links between vectors of different components.
+
+    Every vector of ``vectors`` is compared with all others of its label and length, block
+    against block, unless their angles to the centres of the blocks rule a link out.
+    Blocks hold vectors with alike signs, of one component if ``by_component``.
+    """
+    kind = vectors.schema["v"].dataType.simpleString()
+    own = vectors.join(component, "id", "left").select(
+        "label", "dim", F.coalesce("component", "id").alias("component"), "id", "v"
+    )
+    near = F.col("component") if by_component else F.lit(0).cast("long")
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim in np.unique(batch.column(1).to_numpy()).tolist():
+                rows = batch.filter(pa.array(batch.column(1).to_numpy() == dim))
+                planes = np.random.default_rng([0, dim]).standard_normal((dim, BITS))
+                code = (_matrix(rows.column(5)) @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(code)], [*rows.schema.names, "code"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 3):
+            for at in range(0, len(group), COUNT_BLOCK):
+                block = group.slice(at, COUNT_BLOCK)
+                name = pa.array(np.full(len(block), block.column("id")[0].as_py(), dtype=np.int64))
+                for part in block.select(["label", "dim", "component", "id", "v"]).append_column("block", name).combine_chunks().to_batches():
+                    yield part
+
+    columns = f"component long, id long, v {kind}"
+    order = ["label", "dim", "near", "code", "id"]
+    coded = own.select("label", "dim", near.alias("near"), "component", "id", "v").mapInArrow(
+        signs, f"label long, dim long, near long, {columns}, code long"
+    )
+    blocks = materialize(
+        coded.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, f"label long, dim long, {columns}, block long")
+    )
+
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 1):
+            unit, of = _matrix(group.column("v")), group.column("component").to_numpy()
+            mean = unit.sum(axis=0)
+            length = np.sqrt(mean @ mean)
+            mean = mean / length if length > 0 else unit[0]
+            radius = float(np.arccos(np.clip((unit @ mean).min(), -1.0, 1.0)))
+            row = ([group.column(c)[0].as_py()] for c in ("label", "dim", "block"))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x, pa.int64()) for x in (*row, [int(of.min())], [int(of.max())])), pa.array([radius]), pa.array([mean.tolist()], pa.list_(pa.float64()))],
+                ["label", "dim", "block", "low", "high", "radius", "v"],
+            )
+
+    centres = materialize(
+        blocks.select("block", "label", "dim", "component", "v").repartition("block").sortWithinPartitions("block").mapInArrow(
+            centre, "label long, dim long, block long, low long, high long, radius double, v array<double>"
+        )
+    )
+    cells = centres.groupBy("label", "dim").agg(F.ceil(F.count("*") / CENTRES).cast("long").alias("cells"))
+    placed = centres.join(cells, ["label", "dim"]).withColumn("cell", F.pmod(F.xxhash64("block"), "cells"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).select(
+        "label", "dim", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"),
+        "cell", "block", "low", "high", "radius", "v",
+    )
+    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 4):
+            i, j, cell, block, low, high, radius = (
+                group.column(c).to_numpy() for c in ("i", "j", "cell", "block", "low", "high", "radius")
+            )
+            unit = _matrix(group.column("v"))
+            first, second = np.flatnonzero(cell == i[0]), np.flatnonzero(cell == j[0])
+            angle = np.arccos(np.clip(unit[first] @ unit[second].T, -1.0, 1.0))
+            close = angle <= radius[first][:, None] + radius[second][None, :] + reach
+            # Blocks of one and the same component have nothing to find.
+            close &= (np.minimum(low[first][:, None], low[second][None, :]) != np.maximum(high[first][:, None], high[second][None, :]))
+            if i[0] == j[0]:
+                close = np.triu(close)
+            x, y = np.nonzero(close)
+            yield pa.RecordBatch.from_arrays([pa.array(block[first[x]]), pa.array(block[second[y]])], ["x", "y"])
+
+    keys = ["label", "dim", "i", "j"]
+    pairs = met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(pair, "x long, y long")
+    sides = materialize(pairs).select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    rows = sides.join(blocks.select("block", "component", "id", "v"), "block").select("x", "y", "component", "id", "v")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 2):
+            ids, of, unit = group.column("id").to_numpy(), group.column("component").to_numpy(), _matrix(group.column("v"))
+            linked = (unit @ unit.T >= threshold) & (of[:, None] != of[None, :])
+            edges = np.array(_forest(linked | np.eye(len(ids), dtype=bool)), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[edges[:, 0]]), pa.array(ids[edges[:, 1]])], ["a", "b"])
+
+    found = rows.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(compare, "a long, b long")
+    return materialize(found.distinct())
+
+
 def link_counts(vectors: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
     """Links of each id within its component, counted block against block.
 
@@ -256,6 +358,11 @@ def audit(vectors: DataFrame, seed: int, threshold: float) -> DataFrame:
     return vectors.select("id", "label", "dim", "v").mapInArrow(compare, "a long, b long")
 
 
+def _joined(component: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components that ``edges`` tie together as well."""
+    return connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(edges))
+
+
 def near_duplicates(
     rows: DataFrame,
     threshold: float = 0.93,
@@ -270,7 +377,8 @@ def near_duplicates(
     Vectors of one label (and one length) are compared by cosine in double precision.
     A first graph is refined in rounds, lists that hold links only being doubled, until
     a round changes next to nothing. Every comparison also reports which of its vectors
-    are linked, so components rest on all pairs ever compared. Recall is then
+    are linked, so components rest on all pairs ever compared. Vectors whose lists still
+    hold links only are then compared across components. Recall is
     measured on a sample against all rows; below ``RECALL`` the search goes on
     with more orders and longer lists. Links are finally counted within components.
 
@@ -302,7 +410,7 @@ def near_duplicates(
         links = found.filter("s is null") if links is None else links.unionByName(found.filter("s is null"))
         entries = found if entries is None else entries.unionByName(found)
         lists = materialize(best_lists(entries, None, k))
-        for _ in range(ROUNDS):
+        while True:
             lengths = materialize(list_lengths(lists, threshold))
             better = materialize(refine(lists, vectors, lengths, threshold, k))
             links = links.unionByName(better.filter("s is null"))
@@ -314,7 +422,12 @@ def near_duplicates(
             if new <= STILL * total:
                 break
         edges = links.select("a", "b").unionByName(lists.filter(F.col("s") >= threshold).select("a", "b"))
-        component = connected_components(edges)
+        component = materialize(connected_components(edges))
+        crowded = vectors.join(saturated_ids(lists, threshold), "id", "left_semi")
+        more = links_across(crowded, component, threshold, True)
+        if more.count():
+            links = links.unionByName(more.withColumn("s", F.lit(None).cast("double")))
+            component = materialize(_joined(component, more))
         truth = materialize(audit(vectors, seed, threshold))
         of = component.select(F.col("id").alias("a"), F.col("component").alias("ca"))
         other = component.select(F.col("id").alias("b"), F.col("component").alias("cb"))
@@ -324,7 +437,6 @@ def near_duplicates(
         if got >= RECALL * wanted:
             break
         entries, k = lists.select("a", "b", "s"), 2 * k
-    component = materialize(component)
     counts = link_counts(vectors, component, threshold)
     names = component.join(counts, "id", "left")
     out = rows.select(F.col(id_column).alias("vec_id"), usable.alias("_usable"))

@@ -69,3 +69,18 @@ def test_forest_ties_what_is_linked():
         linked[a, b] = linked[b, a] = True
     edges = _forest(linked)
     assert len(edges) == 3 and {frozenset(e) for e in edges} <= {frozenset(e) for e in ((0, 2), (2, 4), (0, 4), (1, 5))}
+
+
+def answers(frame):
+    return {(x.vec_id, x.n_links, x.component_id) for x in frame.collect()}
+
+
+def test_dense_neighbourhoods_joined_by_one_weak_link(spark):
+    r = np.random.default_rng(8)
+    at = lambda degrees: np.array([math.cos(math.radians(degrees)), math.sin(math.radians(degrees))] + [0.0] * 14)
+    near = lambda degrees: (at(degrees) + r.normal(size=16) * 0.003).astype(np.float32).tolist()
+    rows = [(i, near(0.0), 1) for i in range(500)] + [(1000 + i, near(25.8), 1) for i in range(500)]
+    rows += [(600, at(2.5).tolist(), 1), (1600, at(23.3).tolist(), 1)]
+    want = brute(rows, 0.93)
+    assert {c for _, _, c in want} == {0}
+    assert answers(near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5))) == want
