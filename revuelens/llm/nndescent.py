@@ -104,6 +104,8 @@ def first_graph(vectors: DataFrame, threshold: float, k: int, seed: int, trees:
 
     Vectors that share many leading signs stand together in an order; a block of
     ``BLOCK`` of them is compared. Orders are sorted by range, whatever a label's size.
+    The blocks of each tree begin at another offset, so that vectors whose codes are
+    equal in all trees do not meet the same others every time.
     """
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +126,11 @@ def first_graph(vectors: DataFrame, threshold: float, k: int, seed: int, trees:
         def parts():
             for group in groups(batches, 3):
                 ids = group.column("id").to_numpy()
-                for at in range(0, len(ids), BLOCK):
-                    unit = _matrix(group.column("v").slice(at, BLOCK))
-                    yield _compared(ids[at : at + BLOCK], unit, np.full(len(unit), -2.0), np.full(len(unit), k), threshold)
+                lead = group.column("tree")[0].as_py() * BLOCK // trees
+                for start in range(lead - BLOCK if lead else 0, len(ids), BLOCK):
+                    at, stop = max(0, start), start + BLOCK
+                    unit = _matrix(group.column("v").slice(at, stop - at))
+                    yield _compared(ids[at:stop], unit, np.full(len(unit), -2.0), np.full(len(unit), k), threshold)
 
         yield from _emit(parts())
 
@@ -306,6 +310,7 @@ def link_counts(vectors: DataFrame, component: DataFrame, threshold: float) -> D
 
     This enlarges the lists of a saturated neighbourhood to the whole component
     without writing its pairs: a comparison of two blocks returns one number a row.
+    A linked vector counts with the ``size`` of its class.
     """
     sizes = component.groupBy("component").agg(F.ceil(F.count("*") / COUNT_BLOCK).cast("long").alias("blocks"))
     placed = component.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
@@ -313,21 +318,21 @@ def link_counts(vectors: DataFrame, component: DataFrame, threshold: float) -> D
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block"
     )
-    rows = pairs.join(vectors.select("id", "v"), "id").select("component", "i", "j", "id", "block", "v")
+    rows = pairs.join(vectors.select("id", "size", "v"), "id").select("component", "i", "j", "id", "block", "size", "v")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
             ids, block = group.column("id").to_numpy(), group.column("block").to_numpy()
-            unit = _matrix(group.column("v"))
+            unit, size = _matrix(group.column("v")), group.column("size").to_numpy()
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
             linked = unit[first] @ unit[second].T >= threshold
             if i == j:
                 np.fill_diagonal(linked, False)
-                found, n = ids[first], linked.sum(axis=1)
+                found, n = ids[first], linked @ size[first]
             else:
                 found = np.concatenate([ids[first], ids[second]])
-                n = np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
+                n = np.concatenate([linked @ size[second], size[first] @ linked])
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], ["id", "n"])
 
     met = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
@@ -375,6 +380,7 @@ def near_duplicates(
     """Per row ``vec_id``, ``n_links``, ``component_id``, ``kept``.
 
     Vectors of one label (and one length) are compared by cosine in double precision.
+    Equal vectors are one class, searched for by one of them.
     A first graph is refined in rounds, lists that hold links only being doubled, until
     a round changes next to nothing. Every comparison also reports which of its vectors
     are linked, so components rest on all pairs ever compared. Vectors whose lists still
@@ -398,11 +404,14 @@ def near_duplicates(
     narrow = rows.filter(usable).select(
         F.col(id_column).cast("long").alias("id"), F.col(label).cast("long").alias("label"), value.alias("v")
     )
-    vectors = materialize(
+    single = materialize(
         narrow.groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select(
             "id", "r.label", F.size("r.v").cast("long").alias("dim"), "r.v"
         )
     )
+    vectors = materialize(
+        single.groupBy("label", "dim", "v").agg(F.min("id").alias("id"), F.count("*").alias("size")).select("id", "label", "dim", "v", "size")
+    )
     links = None
     entries = None
     for attempt in range(3):
@@ -438,7 +447,15 @@ def near_duplicates(
             break
         entries, k = lists.select("a", "b", "s"), 2 * k
     counts = link_counts(vectors, component, threshold)
-    names = component.join(counts, "id", "left")
+    classes = vectors.select("id", "size").join(component, "id", "left").join(counts, "id", "left").select(
+        F.col("id").alias("first"),
+        F.coalesce("component", "id").alias("component"),
+        # The others of its class are linked with it.
+        (F.coalesce("n_links", F.lit(0)) + (F.col("size") - 1 if threshold <= 1 else F.lit(0))).alias("n_links"),
+    )
+    several = vectors.filter("size > 1").select("label", "v", F.col("id").alias("first"))
+    of = materialize(single.join(several, ["label", "v"], "left").select("id", F.coalesce("first", "id").alias("first")))
+    names = of.join(classes, "first").select("id", "component", "n_links")
     out = rows.select(F.col(id_column).alias("vec_id"), usable.alias("_usable"))
     joined = out.join(names, (F.col("vec_id") == F.col("id")) & F.col("_usable"), "left")
     return joined.select(

@@ -84,3 +84,11 @@ def test_dense_neighbourhoods_joined_by_one_weak_link(spark):
     want = brute(rows, 0.93)
     assert {c for _, _, c in want} == {0}
     assert answers(near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5))) == want
+
+
+def test_one_group_of_copies_and_nothing_else(spark):
+    r = np.random.default_rng(9)
+    v, w = (r.normal(size=8).astype(np.float32) for _ in range(2))
+    rows = [(i, v.tolist(), 1) for i in range(700)] + [(1000 + i, (w * 2.0 ** (i % 90 - 45)).tolist(), 2) for i in range(300)]
+    want = {(i, 699, 0) for i in range(700)} | {(1000 + i, 299, 1000) for i in range(300)}
+    assert answers(near_duplicates(spark.createDataFrame(rows, SCHEMA))) == want
