@@ -363,6 +363,23 @@ def audit(vectors: DataFrame, seed: int, threshold: float) -> DataFrame:
     return vectors.select("id", "label", "dim", "v").mapInArrow(compare, "a long, b long")
 
 
+def recall(truth: DataFrame, component: DataFrame) -> float:
+    """Share of the true links of a sampled id that lie within its component: the least mean of any stratum.
+
+    Ids are weighed alike, and apart for each power of two of their number of links, so that a
+    large group does not hide what small ones lack.
+    """
+    of = component.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    other = component.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    each = (
+        truth.join(of, "a", "left").join(other, "b", "left").groupBy("a")
+        .agg(F.count("*").alias("n"), F.avg(F.when(F.col("ca") == F.col("cb"), 1.0).otherwise(0.0)).alias("r"))
+    )
+    strata = each.groupBy(F.floor(F.log2("n")).alias("stratum")).agg(F.avg("r").alias("r"))
+    least = strata.agg(F.min("r")).first()[0]
+    return 1.0 if least is None else least
+
+
 def _joined(component: DataFrame, edges: DataFrame) -> DataFrame:
     """Components that ``edges`` tie together as well."""
     return connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(edges))
@@ -385,8 +402,9 @@ def near_duplicates(
     a round changes next to nothing. Every comparison also reports which of its vectors
     are linked, so components rest on all pairs ever compared. Vectors whose lists still
     hold links only are then compared across components. Recall is
-    measured on a sample against all rows; below ``RECALL`` the search goes on
-    with more orders and longer lists. Links are finally counted within components.
+    measured on a sample against all rows, apart for each order of the number of links;
+    below ``RECALL`` in any the search goes on with more orders and longer lists, and at
+    last compares all. Links are finally counted within components.
 
     Null, zero or empty vectors, vectors with null or non-finite components, and null labels
     link with nothing; a null id keeps a null component. An id that repeats is one
@@ -437,15 +455,11 @@ def near_duplicates(
         if more.count():
             links = links.unionByName(more.withColumn("s", F.lit(None).cast("double")))
             component = materialize(_joined(component, more))
-        truth = materialize(audit(vectors, seed, threshold))
-        of = component.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-        other = component.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        wanted, got = (
-            truth.join(of, "a", "left").join(other, "b", "left").agg(F.count("*"), F.count(F.when(F.col("ca") == F.col("cb"), 1))).first()
-        )
-        if got >= RECALL * wanted:
+        if recall(audit(vectors, seed, threshold), component) >= RECALL:
             break
         entries, k = lists.select("a", "b", "s"), 2 * k
+    else:
+        component = materialize(_joined(component, links_across(vectors, component, threshold, False)))
     counts = link_counts(vectors, component, threshold)
     classes = vectors.select("id", "size").join(component, "id", "left").join(counts, "id", "left").select(
         F.col("id").alias("first"),

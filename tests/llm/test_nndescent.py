@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from revuelens.llm import nndescent
 from revuelens.llm.nndescent import _forest, near_duplicates
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -92,3 +93,22 @@ def test_one_group_of_copies_and_nothing_else(spark):
     rows = [(i, v.tolist(), 1) for i in range(700)] + [(1000 + i, (w * 2.0 ** (i % 90 - 45)).tolist(), 2) for i in range(300)]
     want = {(i, 699, 0) for i in range(700)} | {(1000 + i, 299, 1000) for i in range(300)}
     assert answers(near_duplicates(spark.createDataFrame(rows, SCHEMA))) == want
+
+
+def test_search_that_finds_too_little_is_followed_by_an_exact_one(spark, monkeypatch):
+    first = nndescent.first_graph
+    monkeypatch.setattr(nndescent, "first_graph", lambda *a: first(*a).filter("a < 300 and b < 300"))
+    r = np.random.default_rng(10)
+    base = r.normal(size=16) * 3
+    rows = [(i, (base + r.normal(size=16) * 0.3).astype(np.float32).tolist(), 1) for i in range(300)]
+    for i in range(150):
+        v = r.normal(size=16)
+        rows += [(1000 + 2 * i + j, (v + r.normal(size=16) * 0.03).astype(np.float32).tolist(), 1) for j in range(2)]
+    assert answers(near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows, 0.93)
+
+
+def test_recall_of_small_groups_is_not_hidden(spark):
+    truth = spark.createDataFrame([(i, 100 + j) for i in range(3) for j in range(64)] + [(7, 8), (8, 7)], "a long, b long")
+    found = spark.createDataFrame([(i, 0) for i in [*range(3), *range(100, 164)]], "id long, component long")
+    assert nndescent.recall(truth, found) == 0.0
+    assert nndescent.recall(truth.filter("a < 3"), found) == 1.0 and nndescent.recall(truth.limit(0), found) == 1.0
