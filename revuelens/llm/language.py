@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,9 @@ from revuelens.session import materialize
 
 BUCKETS = 4096  # hashed byte trigrams
 ROWS_AT_ONCE = 512
-MIN_SHARE = 0.0005  # of the rows that declare a language; rarer codes are no candidates
+CELLS = 1 << 22  # of languages by buckets, or by rows, in one array of a task
+HELD_BACK = 2048.0  # trigrams that a language's counts are held back by
+FLOOR = 0.01  # share of the overall distribution below which no language falls
 FULL_TEXT = 200  # trigrams whose evidence counts in full; a longer text counts as this many
 SMOOTHING = 20.0  # rows that a parent's distribution weighs
 MIN_CONFIDENCE = 0.5
@@ -51,57 +52,84 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, min(ROWS_AT_ONCE, stop - at))
 
 
-def fit_text_model(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Candidate languages and their log-probability of each trigram bucket.
+def fit_text_model(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Candidate languages, their trigram counts by bucket, and the floor of each bucket.
 
     ``rows`` has ``_id``, ``_text`` and ``_declared``. All rows that declare a
-    language are counted; a task sums its rows first, and what comes to the driver is
-    one count per language and bucket.
+    language are counted and every code is a candidate; a task sums its rows first, and
+    what comes to the driver is one count per language and bucket that occurs.
     """
-    declared = rows.filter("_declared is not null").groupBy("_declared").agg(F.count("*").alias("n"))
-    total = declared.agg(F.sum("n")).first()[0] or 0
     # A code has two or three letters, so this list is bounded.
-    known = sorted(r[0] for r in declared.filter(F.col("n") >= MIN_SHARE * total).collect())
+    known = sorted(r[0] for r in rows.filter("_declared is not null").select("_declared").distinct().collect())
     place = {code: i for i, code in enumerate(known)}
+    n_cells = len(place) * BUCKETS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(place) * BUCKETS, dtype=np.int64)
+        def summed(sums: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums)], ["cell", "n"])
+
+        sums = np.zeros(n_cells if n_cells <= CELLS else 0, dtype=np.int64)
         for batch in batches:
             for piece in _pieces(batch):
                 bucket, row = trigrams(piece.column(1))
                 own = np.array([place[c] for c in piece.column(2).to_pylist()], dtype=np.int64)
-                sums += np.bincount(own[row] * BUCKETS + bucket, minlength=len(sums))
+                cell = own[row] * BUCKETS + bucket
+                if len(sums):
+                    sums += np.bincount(cell, minlength=len(sums))
+                else:
+                    at, n = np.unique(cell, return_counts=True)
+                    yield summed(n, at)
         at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["cell", "n"])
+        yield summed(sums[at], at)
 
-    counts = np.zeros((max(1, len(known)), BUCKETS))
+    counts = np.zeros((len(known), BUCKETS), dtype=np.float32)
     if known:
-        summed = rows.filter(F.col("_declared").isin(known)).mapInArrow(count, "cell long, n long")
-        for cell, n in summed.groupBy("cell").agg(F.sum("n")).collect():
-            counts[cell // BUCKETS, cell % BUCKETS] = n
-    return known, np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
+        cells = rows.filter("_declared is not null").mapInArrow(count, "cell long, n long")
+        found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        at = found.column("cell").to_numpy()
+        counts[at // BUCKETS, at % BUCKETS] = found.column("n").to_numpy()
+    overall = counts.sum(axis=0, dtype=np.float64) + 0.5
+    return known, counts, FLOOR * overall / overall.sum()
+
 
+def score_texts(rows: DataFrame, known: list[str], counts: np.ndarray, floor: np.ndarray) -> DataFrame:
+    """``rows`` without the text, with ``_grams`` and the log-likelihoods ``_ev``, less that of the floor.
 
-def score_texts(rows: DataFrame, known: list[str], model: np.ndarray) -> DataFrame:
-    """``rows`` without the text, with ``_grams`` and the log-likelihoods ``_ev``."""
-    shared = rows.sparkSession.sparkContext.broadcast(model.T.astype(np.float32))
+    A trigram has the probability n / (total + HELD_BACK) + floor, so a code that few
+    rows declare explains little beside the others. A row's own trigrams are taken out
+    of the language that it declares.
+    """
+    totals = counts.sum(axis=1, dtype=np.float64)
+    shared = rows.sparkSession.sparkContext.broadcast((counts, totals, floor))
     others = [c for c in rows.columns if c != "_text"]
+    declared_at = rows.columns.index("_declared")
     n_languages = len(known)
+    place = {code: i for i, code in enumerate(known)}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sizes, least = shared.value
+        model = np.empty((BUCKETS, n_languages), dtype=np.float32)
+        for i in range(n_languages):
+            model[:, i] = np.log1p(held[i] / ((sizes[i] + HELD_BACK) * least))
         for batch in batches:
             for piece in _pieces(batch):
                 bucket, row = trigrams(piece.column(1))
                 n = piece.num_rows
-                counts = np.bincount(row * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
-                grams = counts.sum(axis=1)
-                weight = np.minimum(1.0, FULL_TEXT / np.maximum(grams, 1))
-                evidence = (counts.astype(np.float32) @ shared.value) * weight[:, None]
-                flat = pa.array(evidence[:, :n_languages].astype(np.float64).ravel())
+                own = np.bincount(row * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
+                grams = own.sum(axis=1)
+                evidence = (own.astype(np.float32) @ model).astype(np.float64)
+                lang = np.array([place.get(c, -1) for c in piece.column(declared_at).to_pylist()], dtype=np.int64)
+                at, b = np.nonzero(own * (lang >= 0)[:, None])
+                of, mine = lang[at], own[at, b]
+                rest = np.maximum(held[of, b] - mine, 0.0) / ((np.maximum(sizes[of] - grams[at], 0.0) + HELD_BACK) * least[b])
+                without = np.bincount(at, mine * np.log1p(rest), minlength=n)
+                named = np.flatnonzero(lang >= 0)
+                evidence[named, lang[named]] = without[named]
+                evidence *= np.minimum(1.0, FULL_TEXT / np.maximum(grams, 1))[:, None]
                 ends = pa.array(np.arange(n + 1, dtype=np.int32) * n_languages)
                 columns = [piece.column(c) for c in others]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(grams, pa.int64()), pa.ListArray.from_arrays(ends, flat)],
+                    [*columns, pa.array(grams, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(evidence.ravel()))],
                     [*others, "_grams", "_ev"],
                 )
 
@@ -109,22 +137,11 @@ def score_texts(rows: DataFrame, known: list[str], model: np.ndarray) -> DataFra
     return rows.mapInArrow(score, f"{kept}, _grams long, _ev array<double>")
 
 
-def _votes(scored: DataFrame, key: str, n_languages: int) -> DataFrame:
-    """Per value of ``key`` how many of its texts speak for each language."""
-    each = [F.count(F.when(F.col("_top") == i, 1)) for i in range(n_languages)]
-    return (
-        scored.filter(F.col(key).isNotNull() & (F.col("_top") >= 0))
-        .groupBy(F.col(key).alias(f"{key}_key"))
-        .agg(F.array(*each).alias(f"{key}_votes"))
-    )
-
-
-def _add(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
-
-
-def _floats(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def _votes(scored: DataFrame, key: str) -> DataFrame:
+    """Per value of ``key`` the languages that its texts speak for, and how many do."""
+    each = scored.filter(F.col(key).isNotNull() & (F.col("_top") >= 0)).groupBy(key, "_top").agg(F.count("*").alias("n"))
+    listed = each.groupBy(F.col(key).alias(f"{key}_key")).agg(F.collect_list(F.struct("_top", "n")).alias("l"))
+    return listed.select(f"{key}_key", F.col("l._top").alias(f"{key}_langs"), F.col("l.n").alias(f"{key}_votes"))
 
 
 def identify(
@@ -138,7 +155,8 @@ def identify(
 ) -> DataFrame:
     """``doc_id``, ``lang``, ``confidence``, ``text_lang``, ``declared_lang``, ``n_grams``, ``kept``.
 
-    Text likelihoods are trigram counts of all rows by declared language. The
+    Text likelihoods are trigram counts of all rows by declared language; every code
+    that a row declares is a candidate, and the row's own trigrams are taken out. The
     language each text alone speaks for is counted per declared code, per address suffix and
     per level of ``hosts`` (widest first, e.g. domain, host); a level's distribution is
     smoothed by that of the level above, the widest by all rows, and a row's own
@@ -160,7 +178,7 @@ def identify(
         (column(suffix).cast("string") if suffix is not None else absent).alias("_suffix"),
         *[column(h).cast("string").alias(name) for h, name in zip(hosts, levels, strict=True)],
     )
-    known, model = fit_text_model(rows)
+    known, counts, floor = fit_text_model(rows)
     n = len(known)
     if not n:
         return rows.select(
@@ -168,64 +186,74 @@ def identify(
             F.col("_declared").alias("declared_lang"), F.lit(0).cast("long").alias("n_grams"), F.lit(False).alias("kept"),
         )
     top = F.when(F.col("_grams") > 0, F.array_position("_ev", F.array_max("_ev")).cast("int") - 1).otherwise(-1)
-    scored = materialize(score_texts(rows, known, model).withColumn("_top", top))
-    overall = scored.filter("_top >= 0").agg(*[F.count(F.when(F.col("_top") == i, 1)) for i in range(n)]).first()
-    everything = sum(overall) or 1
-    prior = [(overall[i] + SMOOTHING / n) / (everything + SMOOTHING) for i in range(n)]
-
+    scored = materialize(score_texts(rows, known, counts, floor).withColumn("_top", top))
+    overall = np.zeros(n)
+    for place, votes in scored.filter("_top >= 0").groupBy("_top").agg(F.count("*")).collect():
+        overall[place] = votes
+    keys = [k for k, given in (("_declared", declared is not None), ("_suffix", suffix is not None)) if given]
     joined = scored
-    for key in ("_declared", "_suffix", *levels):
-        if key == "_declared" and declared is None or key == "_suffix" and suffix is None:
-            continue
-        joined = joined.join(_votes(scored, key, n), F.col(key) == F.col(f"{key}_key"), "left").drop(f"{key}_key")
-    own = F.array(*[F.when(F.col("_top") == i, 1.0).otherwise(0.0) for i in range(n)])
-
-    def votes(key: str) -> Column:
-        """Votes of the row's value without its own; nulls give none."""
-        others = F.zip_with(F.col(f"{key}_votes"), own, lambda x, y: F.greatest(x - y, F.lit(0.0)))
-        return F.coalesce(others, _floats([0.0] * n))
-
-    def likelihood(key: str) -> Column:
-        """log P(value | language), each language smoothed by the value's share of all rows."""
-        counts = votes(key)
-        sized = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        share = (sized + 1.0) / float(everything + 1)
-        totals = _floats([float(v) for v in overall])
-        found = F.zip_with(counts, totals, lambda x, t: F.log((x + SMOOTHING * share) / (t + SMOOTHING)))
-        return F.when(F.col(key).isNull(), _floats([0.0] * n)).otherwise(found)
-
-    def smoothed(counts: Column, above: Column) -> Column:
-        sized = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(counts, above, lambda x, p: (x + SMOOTHING * p) / (sized + SMOOTHING))
-
-    parts = [F.col("_ev")]
-    if declared is not None:
-        parts.append(likelihood("_declared"))
-    if suffix is not None:
-        parts.append(likelihood("_suffix"))
-    shares = _floats(prior)
-    steps = joined
-    for i, key in enumerate(levels):
-        above = F.col(f"_prior{i - 1}") if i else shares
-        steps = steps.withColumn(f"_prior{i}", smoothed(votes(key), above))
-    last = F.col(f"_prior{len(levels) - 1}") if levels else shares
-    parts.append(F.transform(last, lambda p: F.log(p)))
-    fused = steps.withColumn("_sum", reduce(_add, parts)).withColumn("_max", F.array_max("_sum"))
-    named = F.array(*[F.lit(c) for c in known])
-    confidence = 1.0 / F.aggregate(F.col("_sum"), F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_max")))
-    evident = reduce(
-        lambda a, b: a | b, [F.col("_grams") > 0, *[F.col(k).isNotNull() for k in ("_declared", "_suffix", *levels)]]
-    )
-    out = fused.select(
-        F.col("_id").alias("doc_id"),
-        F.element_at(named, F.array_position("_sum", F.col("_max")).cast("int")).alias("lang"),
-        confidence.alias("confidence"),
-        F.when(F.col("_top") >= 0, F.element_at(named, F.col("_top") + 1)).alias("text_lang"),
-        F.col("_declared").alias("declared_lang"),
-        F.col("_grams").alias("n_grams"),
-        evident.alias("_evident"),
+    for key in (*keys, *levels):
+        joined = joined.join(_votes(scored, key), F.col(key) == F.col(f"{key}_key"), "left").drop(f"{key}_key")
+    fused = joined.mapInArrow(
+        _fusion(known, overall, keys, levels, min_confidence),
+        f"doc_id {rows.schema['_id'].dataType.simpleString()}, lang string, confidence double, text_lang string, "
+        "declared_lang string, n_grams long, kept boolean",
     )
-    return out.withColumn("kept", F.col("_evident") & (F.col("confidence") >= min_confidence)).drop("_evident")
+    return fused.select("doc_id", "lang", "confidence", "text_lang", "declared_lang", "n_grams", "kept")
+
+
+def _fusion(known: list[str], overall: np.ndarray, keys: list[str], levels: list[str], min_confidence: float):
+    """The posterior of each row, from its text and the votes of its values."""
+    n, everything = len(known), overall.sum() or 1.0
+    prior = (overall + SMOOTHING / n) / (everything + SMOOTHING)
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, CELLS // (4 * n))
+            for at in range(0, batch.num_rows, step):
+                yield piece(batch.slice(at, step))
+
+    def piece(rows: pa.RecordBatch) -> pa.RecordBatch:
+        m = rows.num_rows
+        top, grams = rows.column("_top").to_numpy(), rows.column("_grams").to_numpy()
+        total = rows.column("_ev").flatten().to_numpy().reshape(m, n).copy()
+        told = np.flatnonzero(top >= 0)
+
+        def votes(key: str) -> np.ndarray:
+            """Votes of the row's value without its own; nulls give none."""
+            listed = rows.column(f"{key}_votes")
+            row = np.repeat(np.arange(m), listed.value_lengths().fill_null(0).to_numpy())
+            out = np.zeros((m, n))
+            out[row, rows.column(f"{key}_langs").flatten().to_numpy()] = listed.flatten().to_numpy()
+            out[told, top[told]] = np.maximum(out[told, top[told]] - 1.0, 0.0)
+            return out
+
+        evident = grams > 0
+        for key in keys:
+            # log P(value | language), each language smoothed by the value's share of all rows.
+            counts, has = votes(key), rows.column(key).is_valid().to_numpy(zero_copy_only=False)
+            share = (counts.sum(axis=1, keepdims=True) + 1.0) / (everything + 1)
+            total += np.log((counts + SMOOTHING * share) / (overall + SMOOTHING)) * has[:, None]
+            evident |= has
+        shares = np.broadcast_to(prior, (m, n))
+        for key in levels:
+            counts = votes(key)
+            shares = (counts + SMOOTHING * shares) / (counts.sum(axis=1, keepdims=True) + SMOOTHING)
+            evident |= rows.column(key).is_valid().to_numpy(zero_copy_only=False)
+        total += np.log(shares)
+        best = total.argmax(axis=1)
+        confidence = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        names = pa.array(known, pa.string())
+        return pa.RecordBatch.from_arrays(
+            [
+                rows.column("_id"), names.take(pa.array(best)), pa.array(confidence),
+                names.take(pa.array(np.maximum(top, 0), mask=top < 0)), rows.column("_declared"), rows.column("_grams"),
+                pa.array(evident & (confidence >= min_confidence)),
+            ],
+            ["doc_id", "lang", "confidence", "text_lang", "declared_lang", "n_grams", "kept"],
+        )
+
+    return fuse
 
 
 # Markup that holds no text, and any other tag.

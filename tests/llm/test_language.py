@@ -90,3 +90,20 @@ def test_empty_and_undeclared(spark):
     assert identify(empty, declared="lang", hosts=["source"]).count() == 0
     undeclared = spark.createDataFrame([(1, "the and", None, "s", "")], SCHEMA)
     assert [(x.lang, x.kept) for x in identify(undeclared, declared="lang").collect()] == [(None, False)]
+
+
+def test_rare_language_is_named_and_rare_mistakes_are_not(spark, rows):
+    r = random.Random(6)
+    words = "sztuka przez książka wszystko dlaczego który jednak żadnych więcej człowiek zawsze dziękuję".split()
+    many = [(i, say(r, l, 20), l, "s", l) for i in range(12_000) for l in [("en", "de", "fr")[i % 3]]]
+    rare = [(20_000 + i, " ".join(r.choice(words) for _ in range(25)), "pl", "s", "pl") for i in range(4)]
+    wrong = [(30_000 + i, say(r, "en", 25), code, "s", "en") for i, code in enumerate(["zz", "qq", "qq", "pl"])]
+    got = {x.doc_id: x for x in identify(spark.createDataFrame(many + rare + wrong, SCHEMA), declared="lang", hosts=["source"]).collect()}
+    assert all(got[x[0]].lang == x[4] and got[x[0]].kept for x in rare + wrong)
+    assert sum(got[x[0]].lang == x[4] for x in many) >= 0.999 * len(many)
+
+
+def test_thousands_of_codes(spark):
+    codes = [a + b + c for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghijkl"]
+    docs = spark.createDataFrame([(i, "the and that with", c, "s", "") for i, c in enumerate(codes)], SCHEMA)
+    assert identify(docs, declared="lang", hosts=["source"]).count() == len(codes)
