@@ -3,7 +3,8 @@
 The index holds blocks of test items, bounded in size, one after the other; the corpus
 is never indexed or shuffled. Per block of items, passages whose block maxima cannot
 reach the threshold are left out at once, block-max WAND retrieves every item above
-it for the others, and overlaps with the item's question and answer decide.
+it for the others, and overlaps with the item's question and answer decide, or with the
+whole item where no answer is given.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from revuelens.session import materialize
 
 K1, B = 1.2, 0.75
 BLOCK, PART = 8, 2  # items per block of maxima, and per part of a block
+RUN = 8  # words that hardly stand together by chance, common as they may be
 ITEM_BYTES = 1 << 19  # words of test items in one broadcast index, as hashes
 SLICE_BYTES = 1 << 20
 LEAK = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>"
@@ -52,6 +54,11 @@ def split_item(text: str) -> tuple[str, str]:
     return (found[1], found[2]) if found else (text, "")
 
 
+def gives_answer(text: str) -> bool:
+    """Whether the answer is marked; a last sentence is only taken for one."""
+    return _MARKED.fullmatch(text.strip()) is not None
+
+
 def _hashes(texts: list[str]) -> list[np.ndarray]:
     data, bounds = utf8(pa.array(texts, pa.string()))
     data = _WORDS[data]
@@ -69,7 +76,7 @@ def _grams(words: np.ndarray, n: int = 3) -> set[tuple[int, ...]]:
 @dataclass
 class Settings:
     threshold: float = 0.5  # share of the item's score with itself
-    overlap: float = 0.6  # share of the question's and of the answer's word triples
+    overlap: float = 0.6  # share of the question's and of the answer's word triples; of all where no answer is given
     passage: int = 0  # words of a passage; 0: twice the longest item
 
 
@@ -80,16 +87,21 @@ class ItemIndex:
     """
 
     def __init__(self, items, n_items: int, mean_length: float, frequency: dict[int, int], settings: Settings):
-        """``items``: (id, question words, answer words) as hashes; the rest is over all items."""
+        """``items``: (id, question words, answer words, answer given) with words as hashes; the rest is over all items."""
         self.settings = settings
         items = sorted(items, key=lambda x: (len(x[1]) + len(x[2]), x[0]))
         self.ids = [x[0] for x in items]
         self.questions = [_grams(x[1]) for x in items]
         self.answers = [_grams(x[2]) for x in items]
+        self.wholes = [None if x[3] else _grams(np.concatenate([x[1], x[2]])) for x in items]
+        # Per triple what its words weigh, and longer runs: triples of common words alone prove nothing.
+        idf = {t: math.log1p((n_items - n + 0.5) / (n + 0.5)) for t, n in frequency.items()}
+        self.weights = [{g: sum(idf[t] for t in g) for g in w or ()} for w in self.wholes]
+        self.runs = [None if x[3] else _grams(np.concatenate([x[1], x[2]]), RUN) for x in items]
         self.longest = max((len(x[1]) + len(x[2]) for x in items), default=1)
         self.stride = max(8, (settings.passage + 1) // 2 or self.longest)
         postings: dict[int, list[tuple[int, float]]] = {}
-        for k, (_, question, answer) in enumerate(items):
+        for k, (_, question, answer, _) in enumerate(items):
             terms, counts = np.unique(np.concatenate([question, answer]), return_counts=True)
             norm = K1 * (1 - B + B * (len(question) + len(answer)) / mean_length)
             known = [frequency[t] for t in terms.tolist()]
@@ -210,10 +222,21 @@ class ItemIndex:
                     grams = {n: _grams(passage, n) for n in (1, 2, 3)}
                 question = self._share(self.questions[item], grams)
                 answer = self._share(self.answers[item], grams) if self.answers[item] else question
-                if min(question, answer) >= self.settings.overlap:
+                if min(question, answer) >= self.settings.overlap or self._holds_whole(item, passage, grams):
                     found[doc][item] = max(found[doc].get(item, (0.0, 0.0, 0.0)), (score, question, answer))
         return [[(self.ids[k], *v) for k, v in sorted(x.items())] for x in found]
 
+    def _holds_whole(self, item: int, passage: np.ndarray, grams: dict[int, set]) -> bool:
+        """Whether an item without a given answer overlaps as a whole, and not by common words alone."""
+        whole, aim = self.wholes[item], self.settings.overlap
+        if not whole or self._share(whole, grams) < aim:
+            return False
+        weights, runs = self.weights[item], self.runs[item]
+        have = grams[len(next(iter(whole)))]
+        if sum(w for g, w in weights.items() if g in have) >= aim * sum(weights.values()):
+            return True
+        return self._share(runs, {n: _grams(passage, n) for n in {len(next(iter(runs)))}}) >= aim
+
     def _reachable(self, term: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Passages with a block, and a part of it, whose maxima add up to the threshold."""
         aim = self.settings.threshold - 1e-9
@@ -252,12 +275,16 @@ def build_indexes(items: DataFrame, settings: Settings, id_column: str = "item_i
             ]
             if parts:
                 columns = [[x.view(np.int64) for x in _hashes([p[k] for p in parts])] for k in (0, 1)]
+                given = [
+                    a is not None or gives_answer(t)
+                    for t, a in zip(batch.column(1).fill_null("").to_pylist(), batch.column(2).to_pylist(), strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *[pa.array(c, pa.list_(pa.int64())) for c in columns]], ["id", "q", "a"]
+                    [batch.column(0), *[pa.array(c, pa.list_(pa.int64())) for c in columns], pa.array(given)], ["id", "q", "a", "given"]
                 )
 
     words = materialize(
-        narrow.filter("id is not null").mapInArrow(cut, "id long, q array<long>, a array<long>").filter("size(q) + size(a) > 0")
+        narrow.filter("id is not null").mapInArrow(cut, "id long, q array<long>, a array<long>, given boolean").filter("size(q) + size(a) > 0")
     )
     both = F.concat("q", "a")
     n_items, mean_length = words.agg(F.count("*"), F.avg(F.size(both))).first()
@@ -272,7 +299,7 @@ def build_indexes(items: DataFrame, settings: Settings, id_column: str = "item_i
         mine = block.select(F.explode(F.array_distinct(both)).alias("w")).distinct().join(counts, "w")
         frequency = {w & (2**64 - 1): n for w, n in mine.toPandas().itertuples(index=False)}
         rows = [
-            (r.id, np.array(r.q, dtype=np.int64).view(np.uint64), np.array(r.a, dtype=np.int64).view(np.uint64))
+            (r.id, np.array(r.q, dtype=np.int64).view(np.uint64), np.array(r.a, dtype=np.int64).view(np.uint64), r.given)
             for r in block.collect()
         ]
         if rows:

@@ -89,3 +89,14 @@ def test_odd_items(spark):
     given = spark.createDataFrame([(1, "what is it", "forty two")], ITEM + ", answer string")
     assert [r.doc_id for r in find_leaks(docs, given).collect()] == [1]
     assert split_item("Who? Me.") == ("Who? ", "Me.") and split_item("one") == ("one", "")
+
+
+def test_plain_passage_without_its_last_sentence(spark):
+    body = "rivers carry silt to the delta where farmers plant rice in early spring and harvest late"
+    tests = [(1, f"{body}. Nobody knows."), (2, "Who wrote the long poem about seven winters in the north? Answer: one Ada Quill Marsh")]
+    docs = [(1, f"lead {body} tail"), (2, f"{body}. Everybody sleeps."), (3, "who wrote the long poem about seven winters in the north"), (4, body[:30])]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    given = spark.createDataFrame([(3, body, "nobody knows it")], ITEM + ", answer string")
+    assert {(r.doc_id, r.item_id) for r in find_leaks(docs, spark.createDataFrame(tests, ITEM)).collect()} == {(1, 1), (2, 1)}
+    assert find_leaks(docs, given).count() == 0
+    assert {r.doc_id for r in drop_contaminated(docs, spark.createDataFrame(tests, ITEM)).collect()} == {3, 4}
