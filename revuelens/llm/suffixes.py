@@ -77,14 +77,13 @@ def _text_parts(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.n
 
 
 def _row_hash(texts: pa.Array) -> np.ndarray:
-    """15 bits that tell rows of one id apart; equal rows may share all they get."""
-    data, bounds = utf8(texts)
-    hashes = span_hashes(prefix_sums(data), bounds[:-1], bounds[1:])
-    return (hashes >> np.uint64(49)).astype(np.int64)
+    """128-bit digests that tell rows of one id apart; equal rows may share all they get."""
+    digests = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts.to_pylist()]
+    return np.array(digests, dtype=object)
 
 
 def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``doc``, ``place``, ``gram``, ``context``; ``place`` packs row hash, first window, windows, way to the anchor."""
+    """``doc``, ``tag``, ``place``, ``gram``, ``context``; ``place`` packs first window, windows, way to the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,18 +93,21 @@ def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 tag = _row_hash(piece.column(1))
                 for data, bounds, offset in _text_parts(piece.column(1), length):
                     row, first, n, away, grams, context = anchor_runs(data, bounds, length, gram)
-                    place = (((tag[row] << 32) | (first + offset)) << 16) | (n << 8) | away
+                    place = ((first + offset) << 16) | (n << 8) | away
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (ids[row], place, grams.view(np.int64), context.view(np.int64))],
-                        ["doc", "place", "gram", "context"],
-                    )
+                        [
+                            pa.array(ids[row]), pa.array(tag[row], pa.binary()),
+                            *[pa.array(x) for x in (place, grams.view(np.int64), context.view(np.int64))],
+                        ],
+                        ["doc", "tag", "place", "gram", "context"],
+                    )
 
-    return docs.mapInArrow(run, "doc long, place long, gram long, context long")
+    return docs.mapInArrow(run, "doc long, tag binary, place long, gram long, context long")
 
 
 def _unpacked(place):
-    """Row hash, first window, windows, way to the anchor."""
-    return place >> 48, (place >> 16) & 0xFFFFFFFF, (place >> 8) & 0xFF, place & 0xFF
+    """First window, windows, way to the anchor."""
+    return place >> 16, (place >> 8) & 0xFF, place & 0xFF
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -131,13 +133,13 @@ def _result(raw: bytes, spans: np.ndarray) -> tuple[int, int, int, str]:
 
 _STATE = pa.schema(
     [
-        ("doc", pa.int64()), ("tag", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
+        ("doc", pa.int64()), ("tag", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
         ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("packed", pa.binary()), ("known", pa.list_(pa.int64())),
         ("first", pa.int64()), ("n", pa.int64()), ("away", pa.int64()), ("single", pa.bool_()), ("bytes", pa.binary()),
     ]
 )
 _STATE_DDL = (
-    "doc long, tag long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, packed binary, "
+    "doc long, tag binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, packed binary, "
     "known array<long>, first long, n long, away long, single boolean, bytes binary"
 )
 
@@ -156,7 +158,7 @@ def _look_up(docs: DataFrame, lists: DataFrame, length: int) -> DataFrame:
                 piece = batch.slice(start, stop - start)
                 packed = [squeeze.compress((t or "").encode()) for t in piece.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(_row_hash(piece.column(1))), pa.array(packed, pa.binary())],
+                    [piece.column(0), pa.array(_row_hash(piece.column(1)), pa.binary()), pa.array(packed, pa.binary())],
                     ["doc", "tag", "packed"],
                 )
 
@@ -166,11 +168,11 @@ def _look_up(docs: DataFrame, lists: DataFrame, length: int) -> DataFrame:
             rows, size = [], 0
             for doc, tag, packed, repeated, contested in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = expand.decompress(packed)
-                _, first, n, _ = _unpacked(np.array(repeated or [], dtype=np.int64))
+                first, n, _ = _unpacked(np.array(repeated or [], dtype=np.int64))
                 spans = _merged(np.stack([first, first + n - 1 + length], axis=1))
                 waiting = False
                 for item in contested or []:
-                    _, first, n, away = _unpacked(item["place"])
+                    first, n, away = _unpacked(item["place"])
                     waiting |= item["single"]
                     piece = raw[first : first + n - 1 + length]
                     rows.append((doc, tag, *[None] * 6, first, n, away, item["single"], piece))
@@ -186,7 +188,7 @@ def _look_up(docs: DataFrame, lists: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield _state(rows)
 
-    packed = docs.mapInArrow(pack, "doc long, tag long, packed binary")
+    packed = docs.mapInArrow(pack, "doc long, tag binary, packed binary")
     joined = packed.join(lists.hint("shuffle_hash"), ["doc", "tag"], "left")
     return joined.select("doc", "tag", "packed", "repeated", "contested").mapInArrow(finish, _STATE_DDL)
 
@@ -277,8 +279,8 @@ def compare_windows(contexts: list[bytes], away: np.ndarray, n: np.ndarray, leng
     return found, number, right_end, left_end
 
 
-_CONTEXT = [("doc", pa.int64()), ("tag", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("away", pa.int64()), ("single", pa.bool_()), ("bytes", pa.binary())]
-_CONTEXT_DDL = "doc long, tag long, first long, n long, away long, single boolean, bytes binary"
+_CONTEXT = [("doc", pa.int64()), ("tag", pa.binary()), ("first", pa.int64()), ("n", pa.int64()), ("away", pa.int64()), ("single", pa.bool_()), ("bytes", pa.binary())]
+_CONTEXT_DDL = "doc long, tag binary, first long, n long, away long, single boolean, bytes binary"
 _FOUND = pa.schema([*_CONTEXT, ("a", pa.int64()), ("b", pa.int64()), ("open", pa.binary()), ("known", pa.binary()), ("h", pa.binary())])
 _FOUND_DDL = f"{_CONTEXT_DDL}, a long, b long, open binary, known binary, h binary"
 
@@ -291,9 +293,8 @@ class _Bucket:
         self.rows = pa.Table.from_batches(held) if held else None
         if self.rows is None:
             return
-        self.doc, self.tag, self.first, self.n, self.away = (
-            self.rows.column(c).to_numpy() for c in ("doc", "tag", "first", "n", "away")
-        )
+        self.doc, self.first, self.n, self.away = (self.rows.column(c).to_numpy() for c in ("doc", "first", "n", "away"))
+        self.tag = self.rows.column("tag").to_pylist()
         self.single = self.rows.column("single").to_numpy(zero_copy_only=False)
         self.contexts = self.rows.column("bytes").to_pylist()
         self.length, self.width = length, length - gram + 1
@@ -308,7 +309,7 @@ class _Bucket:
         for i in np.flatnonzero(self.single & windows.any(axis=1)).tolist():
             start = np.sort(self.first[i] + self.away[i] - np.flatnonzero(windows[i]))
             for a, b in _merged(np.stack([start, start + self.length], axis=1)).tolist():
-                out.append({"doc": int(self.doc[i]), "tag": int(self.tag[i]), "a": a, "b": b})
+                out.append({"doc": int(self.doc[i]), "tag": self.tag[i], "a": a, "b": b})
         return out
 
 
@@ -365,7 +366,7 @@ def _across_boundaries(opened: DataFrame, length: int, gram: int) -> DataFrame:
             start = int(bucket.first[i]) + at
             digest = hashlib.blake2b(bucket.contexts[i][at : at + length], digest_size=16).digest()
             doc = None if known[i, before] else int(bucket.doc[i])
-            out.append({"doc": doc, "tag": int(bucket.tag[i]), "a": start, "b": start + length, "h": digest})
+            out.append({"doc": doc, "tag": bucket.tag[i], "a": start, "b": start + length, "h": digest})
         yield from _found(out)
 
     left, right = _by_right()[::-1]
@@ -396,16 +397,15 @@ def remove_repeats(
     common = materialize(runs.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram"))
     hits = materialize(runs.join(common, "gram"))
     contexts = materialize(
-        hits.groupBy("gram", "context").agg(F.count("*").alias("k"), F.min(F.struct("doc", "place")).alias("one"))
+        hits.groupBy("gram", "context").agg(F.count("*").alias("k"), F.min(F.struct("doc", "tag", "place")).alias("one"))
     )
     several = materialize(contexts.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"))
     contested = contexts.join(several, "gram").select(
-        "one.doc", F.col("one.place").alias("place"), (F.col("k") == 1).alias("single")
+        "one.doc", F.col("one.tag").alias("tag"), F.col("one.place").alias("place"), (F.col("k") == 1).alias("single")
     )
-    repeated = hits.join(contexts.filter("k > 1").select("gram", "context"), ["gram", "context"]).select("doc", "place")
-    tag = F.shiftright("place", 48).alias("tag")
-    both = repeated.select("doc", tag, "place", F.lit(None).cast("boolean").alias("single")).unionByName(
-        contested.select("doc", tag, "place", "single")
+    repeated = hits.join(contexts.filter("k > 1").select("gram", "context"), ["gram", "context"]).select("doc", "tag", "place")
+    both = repeated.select("doc", "tag", "place", F.lit(None).cast("boolean").alias("single")).unionByName(
+        contested.select("doc", "tag", "place", "single")
     )
     lists = both.groupBy("doc", "tag").agg(
         F.collect_list(F.when(F.col("single").isNull(), F.col("place"))).alias("repeated"),

@@ -107,3 +107,12 @@ def test_empty_table_and_settings(spark):
     assert remove_repeats(empty).count() == 0
     with pytest.raises(ValueError):
         remove_repeats(empty, length=400, gram=50)
+
+
+def test_many_rows_without_an_id(spark):
+    """So many that a short digest would take some of them for the same row."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    shared = [" ".join(word() for _ in range(9)) for _ in range(8)]
+    rows = [(None, " ".join([word() for _ in range(r.randrange(3, 12))] + [r.choice(shared)] + [word(), word()])) for _ in range(1500)]
+    assert result(spark, rows, 24, 9) == brute(rows, 24)
