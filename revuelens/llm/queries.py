@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revuelens.llm import cotraining, decontamination, language, minhash, mixing, nndescent, oracle, pii, suffixes, token_files, warc
+from revuelens.llm import (
+    cotraining,
+    decontamination,
+    language,
+    merkle,
+    minhash,
+    mixing,
+    nndescent,
+    oracle,
+    pii,
+    spelling,
+    suffixes,
+    token_files,
+    warc,
+)
 from revuelens.llm.common import table
 
 SEED = 17
@@ -86,6 +100,24 @@ def op10_repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    checked = merkle.verify_against(docs, {"text": merkle.without_line_ends()})
+    return checked.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.digest(merkle.proof(F.col("steps"))).alias("proof_sha256"),
+        "folded_root",
+        "verified",
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf, "documents"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
@@ -101,6 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_language": op9_language,
     "op10_repeated_substrings": op10_repeated_substrings,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_spelling_variants": op13_spelling_variants,
     "language_of_pages": language_of_pages,
     "pipeline": pipeline,
 }
@@ -110,4 +144,6 @@ ORACLES: dict[str, str] = {
     "op1_mix_sources": oracle.mix_sources(SEED),
     "op3_minhash": oracle.near_duplicates(3, 85),
     "op6_nn_descent": oracle.nearest_embeddings(0.93),
+    "op12_merkle_manifest": oracle.merkle_manifest(),
+    "op13_spelling_variants": oracle.spelling_variants(),
 }
