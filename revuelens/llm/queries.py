@@ -18,6 +18,7 @@ from revuelens.llm import (
     mixing,
     nndescent,
     oracle,
+    pieces,
     pii,
     spelling,
     suffixes,
@@ -28,6 +29,8 @@ from revuelens.llm.common import table
 
 SEED = 17
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+PIECES_END = 2
 
 
 def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,6 +103,16 @@ def op10_repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    both_ways = pieces.encode_and_decode(table(spark, sf, "documents"), public_tokenizers.path(PIECES), PIECES_END)
+    return both_ways.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(pieces.id_line("ids").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     checked = merkle.verify_against(docs, {"text": merkle.without_line_ends()})
@@ -133,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_language": op9_language,
     "op10_repeated_substrings": op10_repeated_substrings,
+    "op11_pieces": op11_pieces,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_spelling_variants": op13_spelling_variants,
     "language_of_pages": language_of_pages,
