@@ -6,17 +6,23 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from revuelens.functions.vectors import cosine
+from revuelens.operators.vectors import attach_embeddings, attach_latents
 from revuelens.plans import fixtures as fx
 from revuelens.plans.catalog import query
 from revuelens.schema import RAW
 from revuelens.session import work_dir
 from revuelens.sources.reviews import scan_reviews
 from revuelens.sources.tables import (
+    read_bucketed,
     read_embeddings,
+    read_latents,
     read_split,
     read_table,
+    write_bucketed,
     write_csv,
     write_embeddings,
+    write_latents,
     write_report,
     write_splits,
     write_table,
@@ -101,6 +107,57 @@ def _(spark, sf):
     )
 
 
+@query(
+    "bucketed_embeddings",
+    """select review_id, r.product_category, r.star_rating, round(list_cosine_similarity(body_emb, head_emb), 6) as cosine
+    from reviews r join vectors v using (review_id)""",
+    ("reviews", "vectors"),
+)
+def _(spark, sf):
+    """Reviews and vectors stored in buckets of their id, joined where they lie."""
+    stored, vectors_at = _new_path(spark), _new_path(spark)
+    write_bucketed(fx.reviews(spark, sf), stored, "review_id")
+    write_embeddings(fx.review_vectors(spark, sf), vectors_at)
+    joined = attach_embeddings(read_bucketed(spark, stored), read_embeddings(spark, vectors_at))
+    return joined.select(
+        "review_id", "product_category", "star_rating", cosine(F.col("body_emb"), F.col("head_emb")).alias("cosine")
+    )
+
+
+@query(
+    "bucketed_split",
+    """select review_id, p.split, p.star_rating, round(list_sum(body_emb), 6) as body_sum
+    from prepared p join vectors v using (review_id) where p.split = 'train'""",
+    ("prepared", "vectors"),
+)
+def _(spark, sf):
+    """One split of the prepared table with its vectors; only the folders of that split are read."""
+    from revuelens.plans.queries_prepare import prepared
+
+    splits_at, vectors_at = _new_path(spark), _new_path(spark)
+    write_splits(prepared(spark, sf), splits_at)
+    write_embeddings(fx.review_vectors(spark, sf), vectors_at)
+    joined = attach_embeddings(read_split(spark, splits_at, "train"), read_embeddings(spark, vectors_at))
+    total = F.aggregate("body_emb", F.lit(0.0), lambda t, x: t + x)
+    return joined.select("review_id", "split", "star_rating", total.alias("body_sum"))
+
+
+@query(
+    "bucketed_latents",
+    """select review_id, r.star_rating, round(list_sum(v.latent), 6) as latent_sum
+    from reviews r join (select review_id, body_emb[1:8] as latent from vectors) v using (review_id)""",
+    ("reviews", "vectors"),
+)
+def _(spark, sf):
+    """Latents, here the first eight elements, stored and joined in the same way."""
+    stored, latents_at = _new_path(spark), _new_path(spark)
+    write_bucketed(fx.reviews(spark, sf).select("review_id", "star_rating"), stored, "review_id")
+    write_latents(fx.review_vectors(spark, sf).select("review_id", F.slice("body_emb", 1, 8).alias("latent")), latents_at)
+    joined = attach_latents(read_bucketed(spark, stored), read_latents(spark, latents_at))
+    total = F.aggregate("latent", F.lit(0.0), lambda t, x: t + x)
+    return joined.select("review_id", "star_rating", total.alias("latent_sum"))
+
+
 _LINE_COLUMNS = ["review_id", "product_category", "star_rating", "helpful_votes"]
 
 

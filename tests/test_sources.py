@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from revuelens.operators.vectors import attach_embeddings, attach_latents
 from revuelens.schema import RAW
 from revuelens.session import drop_stored, materialize
 from revuelens.sources import reviews, tables
@@ -121,3 +122,59 @@ def test_row_stage_runs_on_a_stream(spark, folder):
     query.awaitTermination(60)
     rows = spark.table("cleaned").collect()
     assert [(r["review_id"], r["clean_body"], r["review_body_words"]) for r in rows] == [("s1", "a nice book", 3)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+VECTORS = "review_id long, body_emb array<float>, head_emb array<float>"
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, folder, no_broadcast):
+    rows = spark.range(500).selectExpr("id as review_id", "if(id % 5 = 0, 'val', 'train') as split", "id % 7 as v")
+    vectors = spark.createDataFrame([(i, [float(i)], [0.5]) for i in range(0, 600, 3)], VECTORS)
+    tables.write_splits(rows, folder + "/splits", buckets=6)
+    tables.write_embeddings(vectors, folder + "/emb", buckets=6)
+    tables.write_latents(vectors.select("review_id", F.col("body_emb").alias("latent")), folder + "/latents", buckets=6)
+    train = tables.read_split(spark, folder + "/splits", "train")
+    joined = attach_latents(
+        attach_embeddings(train, tables.read_embeddings(spark, folder + "/emb")), tables.read_latents(spark, folder + "/latents")
+    )
+    assert "Exchange" not in _plan(joined) and "PartitionFilters: [isnotnull(split" in _plan(joined)
+    got = {(r.review_id, r.v, r.body_emb[0], r.latent[0]) for r in joined.collect()}
+    assert got == {(i, i % 7, float(i), float(i)) for i in range(0, 500, 3) if i % 5}
+    # The same tables as plain folders are moved.
+    assert "Exchange" in _plan(spark.read.parquet(folder + "/splits").join(spark.read.parquet(folder + "/emb"), "review_id"))
+
+
+def test_another_number_of_buckets_still_joins_right(spark, folder, no_broadcast):
+    rows = spark.range(50).selectExpr("id as review_id", "id * 2 as v")
+    tables.write_bucketed(rows, folder + "/a", "review_id", 3)
+    tables.write_bucketed(rows.filter("review_id > 9"), folder + "/b", "review_id", 4)
+    both = tables.read_bucketed(spark, folder + "/a").join(tables.read_bucketed(spark, folder + "/b"), "review_id")
+    assert both.count() == 40
+
+
+def test_bucketed_tables_grow_and_are_replaced(spark, folder, no_broadcast):
+    path = folder + "/it's"
+    first = spark.createDataFrame([("a", 1), (None, 2)], "review_id string, v int")
+    tables.write_bucketed(first, path, "review_id", 4)
+    tables.write_bucketed(spark.createDataFrame([("a", 3)], "review_id string, v int"), path, "review_id", mode="append")
+    table = tables.read_bucketed(spark, path)
+    assert sorted(r.v for r in table.collect()) == [1, 2, 3]
+    assert "Exchange" not in _plan(table.join(tables.read_bucketed(spark, path).withColumnRenamed("v", "w"), "review_id"))
+    with pytest.raises(Exception):
+        tables.write_bucketed(first, path, "review_id", 4)
+    tables.write_bucketed(first.limit(0), path, "review_id", 2, mode="overwrite")
+    assert tables.read_bucketed(spark, path).count() == 0
+    with pytest.raises(ValueError):
+        tables.read_bucketed(spark, folder + "/none")
