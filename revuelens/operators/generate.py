@@ -8,24 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from revuelens.functions.scalars import hex_uniform, seeded_hash
 from revuelens.functions.text import target
+from revuelens.operators.cells import build_cells, search_cells
 from revuelens.operators.density import sample_values
-from revuelens.operators.joins import null_safe_join
 from revuelens.operators.models import LATENT_KEYS, LatentModel, decode, sample_latent, score_realism
 from revuelens.session import materialize
 
-BLOCK = 2048  # requests and reviews that meet in one matrix product
-
 
 @dataclass
 class ReviewModels:
@@ -46,75 +40,17 @@ def nearest_in_stratum(
 ) -> DataFrame:
     """For each request the review of its stratum with the highest cosine.
 
-    Both sides have ``keys`` and ``vector``; the smaller id wins a tie. A stratum of
-    any size is cut into hashed blocks on both sides; a pair of blocks meets in one
-    matrix product that returns a single candidate per request. Null keys match each
-    other. A request with a null or zero vector, or whose stratum has no review with a
-    usable one, comes back with a null review and similarity.
+    Both sides have ``keys`` and ``vector``; the smaller id wins a tie. The reviews are laid out
+    in cells, and a request meets only the cells that its best find does not rule out (see
+    ``operators.cells``). Null keys match each other. A request whose vector is null, zero or
+    not finite, or whose stratum has no review with a usable one, comes back with a null
+    review and similarity.
     """
-    keys = list(keys)
-    named = [f"_key{i}" for i in range(len(keys))]
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        """Blocks that the stratum falls into, at least one."""
-        counted = df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias(name))
-        return counted.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], name)
-
-    usable = F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)
-    wanted = requests.select(request_id, *keys, vector).filter(usable)
-    pool = reviews.select(id_column, *keys, vector).filter(usable)
-    counts = null_safe_join(blocks(wanted, "_n_left"), blocks(pool, "_n_right"), named)
-
-    def dealt(df: DataFrame, own: str, other: str, ids: str, mine: str, theirs: str, side: str) -> DataFrame:
-        """Every row in its block, once for each block of the other side; keys are named by side."""
-        matches = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named, strict=True)]
-        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
-        return df.join(counts, reduce(lambda a, b: a & b, matches)).select(
-            *[F.col(n).alias(side + n) for n in named],
-            F.pmod(F.xxhash64(ids), own).alias(side + mine),
-            each.alias(side + theirs),
-            ids,
-            F.col(vector).alias("_v"),
-        )
-
-    left = dealt(wanted, "_n_left", "_n_right", request_id, "_i", "_j", "_l")
-    right = dealt(pool, "_n_right", "_n_left", id_column, "_j", "_i", "_r")
-    schema = T.StructType(
-        [
-            T.StructField(request_id, requests.schema[request_id].dataType),
-            T.StructField(id_column, reviews.schema[id_column].dataType),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
-
-    def meet(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or given.empty:
-            return pd.DataFrame({f.name: [] for f in schema})
-        given = given.sort_values(id_column)
-        similar = _unit_rows(asked["_v"]) @ _unit_rows(given["_v"]).T
-        at = similar.argmax(axis=1)
-        return pd.DataFrame(
-            {
-                request_id: asked[request_id].to_numpy(),
-                id_column: given[id_column].to_numpy()[at],
-                "similarity": similar[np.arange(len(asked)), at],
-            }
-        )
-
-    left_key, right_key = ([side + n for n in (*named, "_i", "_j")] for side in ("_l", "_r"))
-    found = left.groupBy(*left_key).cogroup(right.groupBy(*right_key)).applyInPandas(meet, schema)
-    # The largest similarity first, then the smallest id.
-    best = F.min(F.struct((-F.col("similarity")).alias("d"), F.col(id_column).alias("id")))
-    matched = found.groupBy(request_id).agg(best.alias("_b")).select(
-        F.col(request_id).alias("_request"), F.col("_b.id").alias(id_column), (-F.col("_b.d")).alias("similarity")
-    )
+    cells = build_cells(reviews, vector, keys, id_column)
+    matched = search_cells(cells, requests, vector, request_id).drop("compared")
     everyone = requests.select(request_id)
-    return everyone.join(matched, F.col(request_id) == F.col("_request"), "left").drop("_request")
-
-
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    rows = np.stack(vectors.to_numpy()).astype("float64")
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    named = matched.withColumnRenamed(request_id, "_request")
+    return everyone.join(named, F.col(request_id) == F.col("_request"), "left").drop("_request")
 
 
 def sample_records(requests: DataFrame, models: ReviewModels, seed: int) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from revuelens.operators import generate, metrics, models, vectors
+from revuelens.operators import cells, generate, metrics, models, vectors
 from revuelens.session import materialize
 
 
@@ -53,7 +53,8 @@ def test_frechet_distance_of_a_shift(planted):
 
 @pytest.mark.parametrize("block", [2048, 7])
 def test_nearest_equals_brute_force_in_any_blocks(planted, block, monkeypatch):
-    monkeypatch.setattr(generate, "BLOCK", block)
+    monkeypatch.setattr(cells, "BLOCK", block)
+    monkeypatch.setattr(cells, "CELL", 20 if block == 7 else block)
     requests = planted.filter("review_id < 40").select(
         F.col("review_id").cast("string").alias("request_id"),
         *models.LATENT_KEYS,
@@ -71,6 +72,38 @@ def test_nearest_equals_brute_force_in_any_blocks(planted, block, monkeypatch):
     assert {r["request_id"]: pytest.approx(r["similarity"], abs=1e-9) for r in found} == best
 
 
+def test_cells_rule_out_most_pairs(spark, monkeypatch):
+    """Clustered vectors with copies and scaled copies: the brute-force answer from a small part of the pairs."""
+    monkeypatch.setattr(cells, "CELL", 64)
+    monkeypatch.setattr(cells, "BLOCK", 100)
+    draw = np.random.default_rng(3)
+    middles = draw.normal(size=(40, 12))
+    points = middles[draw.integers(40, size=6000)] + 0.05 * draw.normal(size=(6000, 12))
+    points[5000:5200] = points[0]
+    points[5200:5400] = points[1] * np.arange(1, 201)[:, None]
+    rows = [(i, "hot" if i % 3 else None, p.tolist()) for i, p in enumerate(points)]
+    pool = spark.createDataFrame(rows, "review_id long, s string, v array<double>")
+    asked = middles[draw.integers(40, size=150)] + 0.05 * draw.normal(size=(150, 12))
+    requests = spark.createDataFrame(
+        [(i, "hot" if i % 2 else None, p.tolist()) for i, p in enumerate(asked)], "request_id int, s string, v array<double>"
+    )
+    index = cells.build_cells(pool, "v", ["s"])
+    assert len(index.levels) > 1
+    # Only vectors that no centre can part stay together beyond the limit.
+    sizes = index.vectors.groupBy("_node").count()
+    assert len(index.levels) < 6 and sizes.filter("count > 64").count() <= 2
+    got = {r["request_id"]: r for r in cells.search_cells(index, requests, "v").collect()}
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    n_pairs = 0
+    for i, q in enumerate(asked):
+        members = [k for k in range(6000) if (k % 3 != 0) == (i % 2 == 1)]
+        n_pairs += len(members)
+        similar = unit[members] @ (q / np.linalg.norm(q))
+        assert got[i]["similarity"] == pytest.approx(similar.max(), abs=1e-9)
+        assert similar[members.index(got[i]["review_id"])] == pytest.approx(similar.max(), abs=1e-9)
+    assert sum(r["compared"] for r in got.values()) < 0.15 * n_pairs
+
+
 def test_every_request_is_answered(spark):
     requests = spark.createDataFrame(
         [(1, 0, 1, [1.0, 0.0]), (2, 0, 1, [0.0, 0.0]), (3, 0, 1, None), (4, 9, 9, [1.0, 1.0]), (5, None, 1, [1.0, 0.0])],
