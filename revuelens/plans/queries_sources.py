@@ -170,16 +170,18 @@ def _line_files(spark, sf) -> list[str]:
     second = F.concat(votes(), F.lit("\t"), i.cast("string"))
     out = []
     for part, header, line in ((0, "\t".join(_LINE_COLUMNS), first), (1, "helpful_votes\treview_id", second)):
-        path = _new_path(spark)
-        named = spark.createDataFrame([(header,)], "value string")
-        lines = rows.filter(i % 2 == part).select(i.alias("k"), line.alias("value"))
-        # One file each with its header on top: these are small test inputs of a scan.
-        ordered = named.withColumn("k", F.lit(-1)).unionByName(lines).coalesce(1).sortWithinPartitions("k")
-        ordered.select("value").write.text(path)
-        out.append(path)
+        out.append(_write_lines(rows.filter(i % 2 == part).select(line.alias(header))))
     return out
 
 
+def _write_lines(lines) -> str:
+    """Lines as they are, in as many files as there are tasks, the column's name on top of each."""
+    path = _new_path(lines.sparkSession)
+    raw = dict(sep="\x01", quote="", escape="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    lines.write.options(header=True, **raw).csv(path)
+    return path
+
+
 def votes():
     return F.coalesce(F.col("helpful_votes").cast("string"), F.lit(""))
 
@@ -196,19 +198,19 @@ def _(spark, sf):
     return scan_reviews(spark, [*_line_files(spark, sf), _new_path(spark)], _LINE_COLUMNS)
 
 
-def _ragged(spark, sf):
-    path = _new_path(spark)
+def _ragged(spark, sf, too_long=None):
+    """Keys and lines: short ones, ones with a field too many, quoted ones, ones with a word for a number."""
     i = F.col("review_id")
-    last = F.when(i % 5 == 1, "").when(i % 5 == 2, F.concat(F.lit("\t"), votes(), F.lit("\tmore"))).otherwise(
-        F.concat(F.lit("\t"), votes())
-    )
+    too_long = F.concat(F.lit("\t"), votes(), F.lit("\tmore")) if too_long is None else too_long
+    last = F.when(i % 5 == 1, "").when(i % 5 == 2, too_long).otherwise(F.concat(F.lit("\t"), votes()))
     quoted = F.when(i % 5 == 3, F.concat(F.lit('"'), F.col("product_category"), F.lit(' ""q"""'))).otherwise(F.col("product_category"))
     rating = F.when(i % 5 == 4, "five").otherwise(F.coalesce(F.col("star_rating").cast("string"), F.lit("")))
     line = F.concat(i.cast("string"), F.lit("\t"), quoted, F.lit("\t"), rating, last)
-    rows = fx.reviews(spark, sf).select(i.alias("k"), line.alias("value"))
-    header = spark.createDataFrame([(-1, "\t".join(_LINE_COLUMNS))], "k long, value string")
-    header.unionByName(rows).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
-    return path
+    return fx.reviews(spark, sf).select(i.alias("k"), line.alias("\t".join(_LINE_COLUMNS)))
+
+
+def _ragged_files(spark, sf, too_long=None) -> str:
+    return _write_lines(_ragged(spark, sf, too_long).drop("k"))
 
 
 _RAGGED_SQL = """select cast(review_id as varchar) as review_id,
@@ -221,7 +223,23 @@ _RAGGED_SQL = """select cast(review_id as varchar) as review_id,
 @query("scan_malformed_lines", _RAGGED_SQL, ("reviews",))
 def _(spark, sf):
     """Long lines go, short ones are padded, quotes are undone, a word in a number column is null."""
-    return scan_reviews(spark, [_ragged(spark, sf)], _LINE_COLUMNS)
+    return scan_reviews(spark, [_ragged_files(spark, sf)], _LINE_COLUMNS)
+
+
+@query("scan_trailing_tab", _RAGGED_SQL, ("reviews",))
+def _(spark, sf):
+    """A line whose only extra field is empty is too long as well."""
+    return scan_reviews(spark, [_ragged_files(spark, sf, F.concat(F.lit("\t"), votes(), F.lit("\t")))], _LINE_COLUMNS)
+
+
+@query(
+    "scan_cut_lines",
+    _RAGGED_SQL.replace(" where review_id % 5 <> 2", ""),
+    ("reviews",),
+)
+def _(spark, sf):
+    """Long lines kept to the width of the header."""
+    return scan_reviews(spark, [_ragged_files(spark, sf)], _LINE_COLUMNS, long_lines="cut")
 
 
 @query(
@@ -231,8 +249,12 @@ def _(spark, sf):
     ("reviews",),
 )
 def _(spark, sf):
-    """The cap per file is the feature: the first 50 good lines."""
-    return scan_reviews(spark, [_ragged(spark, sf)], ["review_id"], max_rows_per_file=50)
+    """The cap per file is the feature: the first 50 good lines of one file in the order of ids, which one task writes."""
+    path, rows = _new_path(spark), _ragged(spark, sf)
+    header = spark.createDataFrame([(-1, rows.columns[1])], "k long, value string")
+    ordered = header.unionByName(rows.toDF("k", "value")).coalesce(1).sortWithinPartitions("k")
+    ordered.select("value").write.text(path)
+    return scan_reviews(spark, [path], ["review_id"], max_rows_per_file=50)
 
 
 @query(

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revuelens.schema import RAW
+from revuelens.sources.lines import MISSING, ReviewLines, file_uri
 
 _TYPES = {f.name: f.dataType for f in RAW.fields}
 
@@ -48,62 +47,42 @@ def scan_reviews(
     max_rows_per_file: int | None = None,
     layout: Sequence[str] | None = None,
     multi_line: bool = False,
+    long_lines: str = "drop",
+    missing: Sequence[str] = MISSING,
 ) -> DataFrame:
     """Wanted columns of review files, by header name, as one table.
 
-    Paths that do not exist are skipped and absent columns are null. Lines with
-    too many fields are dropped; short lines are padded with null. The driver reads the
-    first line of each file, and files with the same header are one scan, however
-    many they are; ``layout`` declares the header of all files and saves that.
-    ``max_rows_per_file`` keeps the first rows of each file in file order.
-    ``multi_line`` allows line breaks inside quotes but keeps a file from being
-    split among tasks.
+    Paths that do not exist are skipped and absent columns are null. Short lines are
+    padded with null. ``long_lines`` says what becomes of lines with more fields than the
+    header, the extra one empty or not: ``drop``, or ``cut`` to the header's width, which is what
+    pandas does when columns are chosen. Texts in ``missing`` are null. A word in a number
+    column is null. The driver reads the first line of each file; ``layout`` declares the
+    header of all files and saves that. ``max_rows_per_file`` keeps the first rows of each file,
+    of which only the head is read. ``multi_line`` allows line breaks inside quotes but keeps a
+    file from being split among tasks; so do compression and a cap.
     """
-    files = _files(spark, paths)
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for file in files:
-        names = tuple(layout if layout is not None else _header(spark, file))
-        layouts.setdefault(names, []).append(file.getPath().toString())
-    if not layouts:
-        return spark.createDataFrame([], T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in columns]))
-    tables = [
-        _scan(spark, group, list(names), columns, multi_line, max_rows_per_file) for names, group in layouts.items()
-    ]
-    return reduce(DataFrame.unionByName, tables)
-
-
-def _scan(
-    spark: SparkSession,
-    paths: list[str],
-    layout: list[str],
-    columns: Sequence[str],
-    multi_line: bool,
-    max_rows: int | None,
-) -> DataFrame:
-    fields = [T.StructField(c, _TYPES.get(c, T.StringType())) for c in layout]
-    # A field past the last one catches lines that are too long, empty or not.
-    schema = T.StructType([*fields, T.StructField("_extra", T.StringType())])
-    rows = (
-        spark.read.schema(schema)
-        .options(sep="\t", header=True, quote='"', escape='"', multiLine=multi_line)
-        .csv(paths)
-    )
-    rows = rows.filter(F.col("_extra").isNull())
-    if max_rows is not None:
-        rows = _first_rows(rows, max_rows)
-    return rows.select(
-        *[
-            F.col(c) if c in layout else F.lit(None).cast(_TYPES.get(c, T.StringType())).alias(c)
-            for c in columns
-        ]
-    )
-
-
-def _first_rows(rows: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` rows of each file: at most ``n`` of each block, then of those in block order."""
-    block = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
-    placed = rows.select("*", *block, F.monotonically_increasing_id().alias("_row"))
-    of_block = W.partitionBy("_file", "_start").orderBy("_row")
-    of_file = W.partitionBy("_file").orderBy("_start", "_row")
-    cut = placed.withColumn("_n", F.row_number().over(of_block)).filter(F.col("_n") <= n)
-    return cut.withColumn("_n", F.row_number().over(of_file)).filter(F.col("_n") <= n)
+    if long_lines not in ("drop", "cut"):
+        raise ValueError("long_lines is drop or cut")
+    files = []
+    for file in _files(spark, paths):
+        names = list(layout) if layout is not None else _header(spark, file)
+        files.append((file_uri(file.getPath().toString()), file.getLen(), names))
+    schema = T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in columns])
+    if not files:
+        return spark.createDataFrame([], schema)
+    settings = {
+        "files": files,
+        "max_rows": max_rows_per_file,
+        "multi_line": multi_line,
+        "drop_long": long_lines == "drop",
+        "missing": list(missing),
+        "range_bytes": _range_bytes(spark, sum(size for _, size, _ in files)),
+    }
+    spark.dataSource.register(ReviewLines)
+    return spark.read.format(ReviewLines.name()).schema(schema).option("settings", json.dumps(settings)).load()
+
+
+def _range_bytes(spark: SparkSession, total: int) -> int:
+    """As Spark sizes the partitions of a file scan: within its limit, and enough to fill the cores."""
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(1 << 16, min(most, -(-total // spark.sparkContext.defaultParallelism)))

@@ -1,15 +1,19 @@
 """Review files in and stored tables out."""
 
+import gzip
+import io
 import json
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from revuelens.operators.vectors import attach_embeddings, attach_latents
 from revuelens.schema import RAW
 from revuelens.session import drop_stored, materialize
-from revuelens.sources import reviews, tables
+from revuelens.sources import lines, reviews, tables
 from revuelens.streaming import clean_stream
 
 HEADER = "review_id\tproduct_category\tstar_rating\treview_headline\treview_body\thelpful_votes\ttotal_votes"
@@ -95,13 +99,97 @@ def test_materialized_table_is_pruned(spark):
     assert stored.count() == 5 and "ReadSchema: struct<id:bigint>" in plan
 
 
-def test_many_files_are_one_scan_per_header(spark, folder):
+def test_many_files_are_one_scan(spark, folder):
     for i in range(12):
         names = "review_id\tstar_rating" if i % 2 else "star_rating\treview_id"
         Path(folder, f"f{i}.tsv").write_text(names + "\n" + ("r\t1\n" if i % 2 else "1\tr\n"), encoding="utf-8")
     table = reviews.scan_reviews(spark, [folder + "/f*.tsv"], ["review_id", "star_rating"])
     assert [tuple(r) for r in table.distinct().collect()] == [("r", 1)] and table.count() == 12
-    assert table._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 2
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("RelationV2") == 1
+    assert table.rdd.getNumPartitions() < 12
+
+
+def _pandas(text, columns, **options):
+    frame = pd.read_csv(io.StringIO(text), sep="\t", on_bad_lines="skip", dtype=str, **options)[columns]
+    return frame.astype(object).where(frame.notna(), None).values.tolist()
+
+
+RAGGED = [
+    "1\t2\t3\t4", "5\t6", "7\t8\t9\t10\textra", "11\t12\t13\t14\t", '15\t"q\tt"\t17\t18', '19\t"un"x\t3\t4',
+    '20\tmid"quote\t3\t4', "", "  ", '22\t"say ""hi"""\t3\t4', "23\tNA\tnull\t4", "24\tx\t\t", "\t y\tü\t漢字", " \t \t \t ",
+    "  lead\ttail  \t'a'\tN/A", "\t\t\t", "25\tcr\t1\t2\r", "26\t#N/A\tNone\tnan",
+]
+
+
+@pytest.mark.parametrize("range_bytes", [5, 37, 1 << 20])
+@pytest.mark.parametrize("end", ["\n", ""])
+def test_ragged_lines_as_pandas_reads_them(spark, folder, monkeypatch, range_bytes, end):
+    text = "\n".join(["a\tb\tc\td", *RAGGED * 3]) + end
+    path = Path(folder, "r.tsv")
+    path.write_bytes(text.encode())
+    monkeypatch.setattr(reviews, "_range_bytes", lambda *_: range_bytes)
+    monkeypatch.setattr(lines, "BLOCK", 16)
+    names = ["a", "b", "c", "d"]
+    for columns, long_lines, options in (
+        (names, "drop", {}),
+        (names, "cut", {"usecols": lambda c: True}),
+        (["d", "a"], "cut", {"usecols": lambda c: c in ("a", "d")}),
+        (["d", "a"], "drop", {}),
+    ):
+        rows = reviews.scan_reviews(spark, [str(path)], columns, long_lines=long_lines).collect()
+        assert [list(r) for r in rows] == _pandas(text, columns, **options)
+
+
+def test_line_breaks_in_quotes_compression_and_ends_of_line(spark, folder):
+    text = 'a\tb\r\n1\t"two\r\nlines"\r\n\r\n2\t"tab\there"\textra\r\n3\tplain\r\n'
+    Path(folder, "m.tsv").write_bytes(text.encode())
+    rows = reviews.scan_reviews(spark, [folder + "/m.tsv"], ["a", "b"], multi_line=True)
+    assert [list(r) for r in rows.collect()] == _pandas(text, ["a", "b"])
+    plain = "a\tb\r\n1\tx\r\n2\ty\r3\tz"
+    Path(folder, "p.tsv.gz").write_bytes(gzip.compress(plain.encode()))
+    Path(folder, "p.tsv").write_bytes(plain.encode())
+    for name in ("p.tsv", "p.tsv.gz"):
+        rows = reviews.scan_reviews(spark, [f"{folder}/{name}"], ["b", "a", "none"])
+        assert [tuple(r) for r in rows.collect()] == [("x", "1", None), ("y", "2", None), ("z", "3", None)]
+    for name, text in (("e.tsv", ""), ("h.tsv", "a\tb"), ("b.tsv", "a\tb\n\n \n")):
+        Path(folder, name).write_text(text, encoding="utf-8")
+        assert reviews.scan_reviews(spark, [f"{folder}/{name}"], ["a"]).count() == 0
+
+
+def test_numbers_are_whole_or_null(spark, folder):
+    cells = ["4", "4.0", " 4 ", "+4", "4e1", "4.5", "x", "1,000", "99999999999", "-7", "", "NA", "٣", "--1"]
+    Path(folder, "n.tsv").write_text("star_rating\treview_id\n" + "".join(f"{c}\t{i}\n" for i, c in enumerate(cells)), encoding="utf-8")
+    rows = reviews.scan_reviews(spark, [folder + "/n.tsv"], ["review_id", "star_rating"]).collect()
+    assert [r.star_rating for r in rows] == [4, 4, 4, 4, 40, None, None, None, None, -7, None, None, None, None]
+
+
+def test_a_cap_reads_the_head_only(folder, monkeypatch):
+    path = Path(folder, "large.tsv")
+    path.write_text("a\tb\n" + "".join(f"{i}\t{'x' * 90}\n" for i in range(50_000)), encoding="utf-8")
+    read, opened = [], lines._open
+
+    class Counted:
+        def __init__(self, source):
+            self.source = source
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.source.close()
+
+        def read(self, n):
+            read.append(len(raw := self.source.read(n)))
+            return raw
+
+    monkeypatch.setattr(lines, "_open", lambda p: Counted(opened(p)))
+    settings = {"files": [(str(path), path.stat().st_size, ["a", "b"])], "max_rows": 300, "multi_line": False,
+                "drop_long": True, "missing": [""], "range_bytes": 1 << 20}
+    reader = lines.LineReader(StructType.fromDDL("b string, a int"), settings)
+    (part,) = reader.partitions()
+    batches = list(reader.read(part))
+    assert sum(b.num_rows for b in batches) == 300 and batches[-1].column(1)[-1].as_py() == 299
+    assert sum(read) <= 1 << 16
 
 
 def test_stored_tables_can_be_dropped(spark):
