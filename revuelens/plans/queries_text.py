@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from revuelens.functions.text import clean_words
 from revuelens.functions.text import prompt as prompt_text
-from revuelens.operators import char_lm, metrics, profile, text
+from revuelens.operators import char_lm, heavy, metrics, profile, text
 from revuelens.plans import fixtures as fx
 from revuelens.plans import oracle as o
 from revuelens.plans.catalog import query
@@ -58,6 +58,28 @@ def _(spark, sf):
     )
 
 
+@query(
+    "frequent_bigrams_by_rating",
+    _top_sql(_grams_sql(2), "star_rating", 20),
+    ("filtered",),
+)
+def _(spark, sf):
+    """The same rows from merged summaries and an exact count of what may be among them."""
+    return heavy.frequent_ngrams(fx.filtered(spark, sf), "review_body", 2, 20, ["star_rating"], fx.STOP_WORDS)
+
+
+@query(
+    "frequent_vocabulary",
+    f"""select term as word, cast(row_number() over (order by n desc, term) + 1 as int) as word_id, n from (
+        select term, count(*) as n from (select unnest({o.words("lower(review_body)")}) as term from filtered) group by 1)
+    qualify word_id <= 5001""",
+    ("filtered",),
+)
+def _(spark, sf):
+    """The 5,000 most frequent words."""
+    return heavy.frequent_vocabulary(fx.filtered(spark, sf), "review_body", 5000)
+
+
 @query(
     "top_words_by_rating",
     _top_sql(
