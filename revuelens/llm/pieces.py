@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from revuelens.llm.common import text_slices
 
 MARKER = "▁"
-TABLE_BYTES = 8 << 20  # of text that one table serves
+TABLE_BYTES = 2 << 20  # of text that one table serves
 PART = 1 << 20  # code points of a long text that are cut at a time
 RUN = 4000  # chunks that the library works on at a time
 _CHUNK = re.compile(r"\n[^ \n]*| +[^ \n]*")
@@ -48,6 +48,18 @@ def _gather(values: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> np.nda
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[codes] - (ends - sizes), sizes)]
 
 
+def _joined(
+    ids: np.ndarray, bounds: np.ndarray, codes: np.ndarray, edges: np.ndarray, end_id: int | None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids joined back by the places of their chunks, an end after each text where given; and the texts' bounds."""
+    joined = _gather(ids, bounds, codes)
+    ends = np.append(0, np.cumsum((bounds[1:] - bounds[:-1])[codes]))[edges]
+    if end_id is not None:
+        joined = np.insert(joined, ends[1:], end_id)
+        ends = ends + np.arange(len(ends))
+    return joined, ends
+
+
 class Pieces:
     """A vocabulary whose pieces keep to the chunks; any other is refused."""
 
@@ -88,10 +100,10 @@ class Pieces:
             out += [f"\n{t}" if c.startswith(fence) else t for c, t in zip(run, texts, strict=True)]
         return out
 
-    def encode(self, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, end to end, and each text's bounds, by one table of chunks."""
+    def cut(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The table of distinct chunks, the place in it of every chunk, and each text's bounds in those."""
         table: dict[str, int] = {}
-        codes: list[np.ndarray] = []
+        codes = [np.zeros(0, np.int32)]
         counts = np.zeros(len(texts) + 1, dtype=np.int64)
         for row, text in enumerate(texts):
             if not text:
@@ -102,15 +114,23 @@ class Pieces:
                     table[w] = len(table)
                 codes.append(np.fromiter(map(table.__getitem__, words), np.int32, len(words)))
                 counts[row + 1] += len(words)
-        ids, bounds = self.segment(list(table))
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-        joined = _gather(ids, bounds, flat)
-        sizes = np.append(0, np.cumsum((bounds[1:] - bounds[:-1])[flat]))
-        ends = sizes[np.cumsum(counts)]
-        if end_id is not None:
-            joined = np.insert(joined, ends[1:], end_id)
-            ends = ends + np.arange(len(ends))
-        return joined, ends
+        return list(table), np.concatenate(codes), np.cumsum(counts)
+
+    def encode(self, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and each text's bounds, by one table of chunks."""
+        table, codes, edges = self.cut(texts)
+        return _joined(*self.segment(table), codes, edges, end_id)
+
+    def round_trip(self, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """``encode``, and the texts that the ids stand for: each chunk's ids are decoded once."""
+        table, codes, edges = self.cut(texts)
+        ids, bounds = self.segment(table)
+        raw, spots = ids.tobytes(), (bounds * ids.itemsize).tolist()
+        known = self.texts_of([raw[a:b] for a, b in zip(spots[:-1], spots[1:], strict=True)])
+        parts, at = list(map(known.__getitem__, codes.tolist())), edges.tolist()
+        # The first chunk has the marker that is put in front of a text.
+        decoded = ["".join(parts[a:b])[1:] for a, b in zip(at[:-1], at[1:], strict=True)]
+        return *_joined(ids, bounds, codes, edges, end_id), decoded
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """Texts of rows of ids, by one table of chunks of ids."""
@@ -180,9 +200,26 @@ def decode_ids(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     return encoded.mapInArrow(decode, f"{kinds}, decoded string")
 
 
-def encode_and_decode(docs: DataFrame, model: str, end_id: int, **columns: str) -> DataFrame:
-    """The round trip: id, ``ids`` with the end, and ``decoded``."""
-    return decode_ids(encode_texts(docs, model, end_id, **columns), model)
+def encode_and_decode(
+    docs: DataFrame, model: str, end_id: int | None, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``id_column``, ``ids`` with the end, and ``decoded``, the text of those ids, from one table of chunks.
+
+    The rows of ``decode_ids`` over ``encode_texts``, worked out in one pass.
+    """
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(model)
+        for batch in batches:
+            for start, stop in text_slices(batch, limit=TABLE_BYTES):
+                rows = batch.slice(start, stop - start)
+                ids, bounds, decoded = pieces.round_trip(rows.column(1).to_pylist(), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                columns = [rows.column(0), lists, pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [id_column, "ids", "decoded"])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    return docs.select(id_column, text).mapInArrow(both, f"`{id_column}` {kind}, ids array<int>, decoded string")
 
 
 def id_line(ids: str = "ids") -> Column:

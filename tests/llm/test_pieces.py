@@ -31,6 +31,9 @@ def test_same_as_the_library(model, monkeypatch, part):
     got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
     assert got == [[*model.encode(t or ""), 2] for t in texts]
     assert own.decode(ids, bounds) == [model.decode(x) for x in got]
+    again, edges, decoded = own.round_trip(texts, 2)
+    assert again.tolist() == ids.tolist() and edges.tolist() == bounds.tolist()
+    assert decoded == [model.decode(x) for x in got]
     assert own.encode([], 2)[1].tolist() == [0] and own.decode(np.zeros(0, np.int32), np.zeros(1, np.int64)) == []
 
 
@@ -49,6 +52,8 @@ def test_query_shape(spark, model, monkeypatch):
     assert sorted(map(str, ((r.doc_id, list(r.ids), r.decoded) for r in found))) == sorted(
         str((i, ids, model.decode(ids))) for i, ids in want
     )
+    twice = pieces.decode_ids(pieces.encode_texts(docs, PATH, 2), PATH).collect()
+    assert sorted(map(str, twice)) == sorted(map(str, found))
     line = pieces.encode_texts(docs, PATH).select(pieces.id_line().alias("line")).collect()
     assert sorted(r.line for r in line) == sorted(" ".join(map(str, ids[:-1])) for _, ids in want)
     assert pieces.encode_and_decode(docs.limit(0), PATH, 2).count() == 0
