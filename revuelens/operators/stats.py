@@ -6,53 +6,49 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revuelens.functions.scalars import clip_upper
 from revuelens.operators.ranks import cumulative_counts
 
 
+def gamma_ratio(z: Column) -> Column:
+    """Gamma(z + 1/2) / Gamma(z) for z > 0: twenty steps up, then the series in 1/z."""
+    up = z + 20.0
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(19)), F.lit(1.0), lambda p, k: p * (z + k) / (z + k + 0.5))
+    # Coefficients of the series.
+    series = 1 - 1 / (8 * up) + 1 / (128 * up**2) + 5 / (1024 * up**3) - 21 / (32768 * up**4)
+    return steps * F.sqrt(up) * series
+
+
 def student_two_sided(t: Column, dof: Column) -> Column:
-    """P(|T| >= |t|) for whole degrees of freedom, by the finite trigonometric series.
+    """P(|T| >= |t|), by one formula for all degrees of freedom from 1 on.
 
-    Beyond 2,000 degrees a normal approximation takes over.
+    With u = sqrt(v) sinh(y / sqrt(v)) the density beyond t becomes cosh(y / sqrt(v)) ** -v, which
+    falls at least as fast as the hyperbolic secant and is smooth at a scale of one whatever
+    v is, so Simpson's rule over a fixed range has the same small error everywhere.
     """
     v = dof.cast("double")
-    theta = F.atan(F.abs(t) / F.sqrt(v))
-    odd = F.pmod(dof, F.lit(2)) == 1
-    # Each term of the series is the one before, times cos^2 and a ratio of whole numbers.
-    first = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
-    steps = F.floor((dof - F.when(odd, 3).otherwise(2)) / 2).cast("int")
-    begin = F.struct(first.alias("term"), first.alias("total"))
-    low = F.when(odd, 1.0).otherwise(0.0)
-
-    def add(state: Column, k: Column) -> Column:
-        term = state["term"] * F.pow(F.cos(theta), 2) * (2 * k - 1 + low) / (2 * k + low)
-        return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
-
-    total = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), F.least(steps, F.lit(1000)))).otherwise(F.array().cast("array<int>")), begin, add)["total"]
-    inside = F.when(odd & (dof == 1), 2 * theta / F.pi()).when(
-        odd, 2 / F.pi() * (theta + F.sin(theta) * total)
-    ).otherwise(F.sin(theta) * total)
-    a = F.abs(t)
-    normal = a * (1 - 1 / (4 * v)) / F.sqrt(1 + a * a / (2 * v))
-    exact = F.greatest(F.lit(0.0), 1 - inside)
-    return F.when(dof > 2000, upper_normal(normal) * 2).otherwise(exact)
-
-
-def upper_normal(z: Column) -> Column:
-    """P(N >= z) for z >= 0: a continued fraction above 3, the power series below."""
-    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    tail = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), z, lambda s, k: z + k / s)
-    begin = F.struct(z.alias("term"), z.alias("total"))
-
-    def add(state: Column, k: Column) -> Column:
-        term = state["term"] * z * z / (2 * k + 1)
-        return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
-
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), begin, add)["total"]
-    return F.when(z > 3, density / tail).otherwise(0.5 - density * series)
+    root = F.sqrt(v)
+    begin = root * F.asinh(F.abs(t) / root)
+    # Range and number of steps.
+    width, n = 40.0, 4000
+    step = width / n
+
+    def height(k: Column) -> Column:
+        half = F.sinh((begin + k * step) / (2 * root))
+        return F.exp(-v * F.log1p(2 * half * half))
+
+    def add(total: Column, k: Column) -> Column:
+        weight = F.when((k == 0) | (k == n), 1.0).when(k % 2 == 1, 4.0).otherwise(2.0)
+        return total + weight * height(k)
+
+    area = F.aggregate(F.sequence(F.lit(0), F.lit(n)), F.lit(0.0), add) * step / 3
+    return F.least(F.lit(1.0), 2 * gamma_ratio(v / 2) / F.sqrt(v * math.pi) * area)
 
 
 def pearson_p(r: Column, n: Column) -> Column:
@@ -118,22 +114,70 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFr
     )
 
 
+EXACT_UP_TO = 10_000  # rows of the larger sample up to which p is exact
+
+
+def walk_leaves(n: int, m: int, reach: int) -> float:
+    """Chance that a random order of ``n`` and ``m`` rows has a gap |x m - y n| of ``reach`` at least.
+
+    Orders are lattice paths; all are equally likely. The mass that is still inside moves one
+    row at a time, and what leaves is summed up, so a small chance keeps its digits.
+    """
+    if reach <= 0:
+        return 1.0
+    inside = np.zeros(n + 1)
+    inside[0], out = 1.0, 0.0
+    low, high = 0, 0  # places that hold mass
+    for t in range(1, n + m + 1):
+        left = n + m - t + 1
+        x = np.arange(max(low, t - m), min(high + 1, n) + 1)
+        if not len(x):
+            return 1.0
+        before = t - 1 - x
+        stay = np.where((before >= 0) & (x <= high) & (x >= low), inside[x] * (m - before) / left, 0.0)
+        come = np.where((x >= 1) & (x - 1 <= high) & (x - 1 >= low), inside[x - 1] * (n - x + 1) / left, 0.0)
+        mass = stay + come
+        gone = np.abs(x * m - (t - x) * n) >= reach
+        out += float(mass[gone].sum())
+        mass[gone] = 0.0
+        held = np.flatnonzero(~gone)
+        if not len(held):
+            return min(1.0, out)
+        inside[x] = mass
+        low, high = int(x[held[0]]), int(x[held[-1]])
+    return min(1.0, out)
+
+
 def ks_two_sample(df: DataFrame, value: str, first: Column) -> DataFrame:
-    """Largest gap of two empirical distributions, and its asymptotic p-value."""
+    """Largest gap of two empirical distributions, and its p-value.
+
+    Up to ``EXACT_UP_TO`` rows in the larger sample p is exact, by a count of paths in the one
+    result row; beyond that it is the limit's. Null without rows in both samples.
+    """
     ranked = cumulative_counts(_two_sample_counts(df, value, first), [], ["a", "b"])
-    gap = F.abs(F.col("cum_a") / F.col("total_a") - F.col("cum_b") / F.col("total_b"))
+    gap = F.abs(F.col("cum_a") * F.col("total_b") - F.col("cum_b") * F.col("total_a"))
     row = ranked.agg(
-        F.max(gap).alias("statistic"),
+        F.max(F.abs(F.try_divide("cum_a", "total_a") - F.try_divide("cum_b", "total_b"))).alias("statistic"),
         F.max("total_a").alias("n_first"),
         F.max("total_b").alias("n_second"),
+        F.max(F.when(F.greatest("total_a", "total_b") <= EXACT_UP_TO, gap)).alias("_reach"),
     )
+
+    @F.arrow_udf(T.DoubleType())
+    def exact(n: pa.Array, m: pa.Array, reach: pa.Array) -> pa.Array:
+        rows = zip(n.to_pylist(), m.to_pylist(), reach.to_pylist(), strict=True)
+        return pa.array([None if h is None or not a or not b else walk_leaves(a, b, h) for a, b, h in rows], pa.float64())
+
     n, m = F.col("n_first").cast("double"), F.col("n_second").cast("double")
-    scaled = F.pow(F.col("statistic"), 2) * n * m / (n + m)
+    scaled = F.try_divide(F.pow(F.col("statistic"), 2) * n * m, n + m)
 
     def term(total, k):
         return total + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * scaled)
 
     series = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.lit(0.0), term)
     # The alternating series does not settle near zero, where p is 1.
-    p = F.when(scaled < 0.04, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
-    return row.withColumn("p_value", p)
+    limit = F.when(scaled < 0.04, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+    small = F.greatest("n_first", "n_second") <= EXACT_UP_TO
+    counted = row.withColumn("_exact", exact("n_first", "n_second", "_reach"))
+    p = F.when((F.col("n_first") > 0) & (F.col("n_second") > 0), F.when(small, F.col("_exact")).otherwise(limit))
+    return counted.withColumn("p_value", p).drop("_reach", "_exact")

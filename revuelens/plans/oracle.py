@@ -191,4 +191,4 @@ def with_ctes(body: str, *names: str) -> str:
     for name in names:
         add(name)
     parts = ",\n".join(f"{name} as ({CTES[name][1]})" for name in order)
-    return f"with {parts}\n{body}" if parts else body
+    return f"with recursive {parts}\n{body}" if parts else body

@@ -367,7 +367,16 @@ def _(spark, sf):
     return stats.length_helpfulness_corr(fx.review_facts(spark, sf), clip=300).drop("p_value")
 
 
-@query("length_helpfulness_p_value")
+@query(
+    "length_helpfulness_p_value",
+    """, c as (select corr(x, y) as r, count(*) as n from (select cast(least(review_body_words, 500) as double) as x,
+        helpfulness_ratio as y from measured) where x is not null and y is not null),
+    t as (select *, r * sqrt((n - 2) / (1 - r * r)) as t, n - 2 as v from c),
+    a as (select *, atan(abs(t) / sqrt(v)) as low, exp(lgamma((v + 1) / cast(2 as double)) - lgamma(v / cast(2 as double))) / sqrt(pi()) as scale from t),
+    s as (select sum(pow(cos(low + (k + 0.5) * (pi() / 2 - low) / 200000), v - 1)) as heights from a, range(200000) g(k))
+    select round(r, 6) as r, n as n_pairs, round(2 * scale * heights * (pi() / 2 - low) / 200000, 6) as p_value from a, s""",
+    ("measured",),
+)
 def _(spark, sf):
     return stats.length_helpfulness_corr(fx.measured(spark, sf))
 
@@ -454,13 +463,46 @@ def _(spark, sf):
     return stats.ks_two_sample(fx.review_facts(spark, sf), "helpfulness_ratio", first).drop("p_value")
 
 
-@query("ks_p_value")
+_KS_LIMIT_SQL = (
+    _KS_SQL.replace("\n    select round(max(abs(", ",\n    d as (select max(abs(").replace(" / m)), 6) as", " / m)) as")
+    + """),
+    l as (select *, statistic * statistic * n_first / cast(n_first + n_second as double) * n_second as x from d)
+    select round(statistic, 6) as statistic, n_first, n_second, round(case when x < 0.04 then 1.0 else greatest(0.0, least(1.0,
+        (select sum(case when k % 2 = 1 then 2.0 else -2.0 end * exp(-2.0 * k * k * x)) from range(1, 201) g(k)))) end, 6) as p_value from l"""
+)
+
+
+@query(
+    "ks_p_value",
+    _KS_LIMIT_SQL.format(value="helpfulness_ratio", first="verified_purchase = 'Y'", source="facts"),
+    ("facts",),
+)
 def _(spark, sf):
     return stats.ks_two_sample(
         fx.review_facts(spark, sf), "helpfulness_ratio", F.col("verified_purchase") == "Y"
     )
 
 
+@query(
+    "ks_exact_p",
+    """, c as (select helpfulness_ratio as v, count(*) filter (star_rating = 5) as p, count(*) filter (star_rating <> 5) as q
+        from measured where helpfulness_ratio is not null group by 1),
+    r as (select sum(p) over (order by v) as a, sum(q) over (order by v) as b, sum(p) over () as n, sum(q) over () as m from c),
+    g as (select max(abs(a * m - b * n)) as reach, max(n) as n, max(m) as m from r),
+    walk as (select 0 as t, 0 as x, cast(1 as double) as mass union all
+        select t, x, sum(mass) as mass from (
+            select t + 1 as t, x + s as x, mass * (case when s = 1 then n - x else m - (t - x) end) / (n + m - t) as mass
+            from walk, g, (values (0), (1)) steps(s) where case when s = 1 then x < n else t - x < m end), g
+        where abs(x * g.m - (t - x) * g.n) < reach group by t, x)
+    select round(reach / cast(n * m as double), 6) as statistic, cast(n as bigint) as n_first, cast(m as bigint) as n_second,
+    round(1 - coalesce((select sum(mass) from walk where t = n + m), 0), 6) as p_value from g""",
+    ("measured",),
+)
+def _(spark, sf):
+    """Samples small enough for a count of paths."""
+    return stats.ks_two_sample(fx.measured(spark, sf), "helpfulness_ratio", F.col("star_rating") == 5)
+
+
 @query(
     "confusion_matrix",
     """, c as (select label, prediction, count(*) as n from predictions group by 1, 2)

@@ -1,5 +1,6 @@
 """Edge cases, invariants and independence of the data layout."""
 
+import itertools
 import math
 import statistics
 
@@ -243,12 +244,42 @@ def test_auc_and_ks_with_ties(spark):
     wins = [1.0 if a > b else 0.5 if a == b else 0.0 for a, x in pairs if x for b, y in pairs if not y]
     assert stats.roc_auc(rows).first()["auc"] == pytest.approx(statistics.mean(wins))
     ks = stats.ks_two_sample(rows, "score", F.col("label") == 1).first()
-    assert ks["statistic"] == pytest.approx(2 / 3) and 0 <= ks["p_value"] <= 1
+    assert ks["statistic"] == pytest.approx(2 / 3) and ks["p_value"] == pytest.approx(_share_of_orders(3, 3, 6))
     same = stats.ks_two_sample(spark.range(100).withColumn("f", F.col("id") % 2 == 0), "id", F.col("f")).first()
     assert same["p_value"] == pytest.approx(1, abs=1e-6)
     assert stats.roc_auc(rows.filter("label = 1")).first()["auc"] is None
 
 
+def _share_of_orders(n, m, reach):
+    """Share of all orders of two samples whose largest gap, times both sizes, is at least ``reach``."""
+    hits = total = 0
+    for picked in itertools.combinations(range(n + m), n):
+        x = most = 0
+        for t in range(n + m):
+            x += t in picked
+            most = max(most, abs(x * m - (t + 1 - x) * n))
+        total, hits = total + 1, hits + (most >= reach)
+    return hits / total
+
+
+def test_exact_p_by_counting_all_orders(spark):
+    for n, m in ((1, 1), (1, 6), (4, 4), (5, 7), (7, 3), (6, 8)):
+        for reach in range(n * m + 1):
+            assert stats.walk_leaves(n, m, reach) == pytest.approx(_share_of_orders(n, m, reach), abs=1e-12), (n, m, reach)
+    # Far out the chance is small and still right: all of one sample first, two orders in all.
+    assert stats.walk_leaves(40, 60, 2400) == pytest.approx(2 / math.comb(100, 40), rel=1e-9)
+    assert stats.walk_leaves(2000, 2000, 2000 * 80) == pytest.approx(2 * math.exp(-2 * 1.6), rel=0.05)
+    none = stats.ks_two_sample(spark.range(5).withColumn("f", F.lit(True)), "id", F.col("f")).first()
+    assert none["p_value"] is None and none["n_second"] == 0
+
+
+def test_p_is_the_limits_beyond_the_exact_sizes(spark, monkeypatch):
+    rows = spark.range(1200).select((F.col("id") * 7 % 1201).alias("v"), (F.col("id") % 3 == 0).alias("f"))
+    exact = stats.ks_two_sample(rows, "v", F.col("f")).first()["p_value"]
+    monkeypatch.setattr(stats, "EXACT_UP_TO", 10)
+    assert stats.ks_two_sample(rows, "v", F.col("f")).first()["p_value"] == pytest.approx(exact, abs=0.03)
+
+
 def test_student_p_values(spark):
     def integrated(t, v):
         """The density summed beyond t, by the midpoint rule in a bounded variable."""
@@ -260,7 +291,10 @@ def test_student_p_values(spark):
     points = [(t, v) for v in (1, 2, 3, 4, 5, 10, 99, 100, 2000, 2001, 50_000) for t in (0.0, 0.3, 1.0, 2.2, 4.5)]
     rows = spark.createDataFrame(points, "t double, v int")
     for r in rows.withColumn("p", stats.student_two_sided(F.col("t"), F.col("v"))).collect():
-        assert r["p"] == pytest.approx(integrated(r["t"], r["v"]), abs=2e-6), r
+        assert r["p"] == pytest.approx(integrated(r["t"], r["v"]), abs=1e-7), r
+    far = spark.createDataFrame([(t, 4_000_000_000) for t in (0.3, 1.0, 4.5)], "t double, v long")
+    for r in far.withColumn("p", stats.student_two_sided(F.col("t"), F.col("v"))).collect():
+        assert r["p"] == pytest.approx(math.erfc(r["t"] / math.sqrt(2)), rel=1e-6)
     # A tabulated point.
     assert integrated(2.228139, 10) == pytest.approx(0.05, abs=1e-6)
 
