@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revuelens.llm.common import utf8
+from revuelens.llm.common import release, utf8
 from revuelens.llm.shingles import LOWER, find_words, word_hashes
 from revuelens.session import materialize
 
@@ -321,6 +321,7 @@ def leaks(text: str, indexes) -> Column:
                 stop = max(start + 1, int(np.searchsorted(sizes, sizes[start] + SLICE_BYTES, side="right")) - 1)
                 out += shared.value.search(*utf8(texts.slice(start, stop - start)))
                 start = stop
+            release()
             names = ("item_id", "score", "question_overlap", "answer_overlap")
             return pa.array([[dict(zip(names, x, strict=True)) for x in row] for row in out], _LEAK_TYPE)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revuelens.llm.common import text_slices, utf8
+from revuelens.llm.common import lean, text_slices, utf8
 from revuelens.llm.shingles import LOWER
 from revuelens.session import materialize
 
@@ -84,7 +84,7 @@ def fit_text_model(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     counts = np.zeros((len(known), BUCKETS), dtype=np.float32)
     if known:
-        cells = rows.filter("_declared is not null").mapInArrow(count, "cell long, n long")
+        cells = rows.filter("_declared is not null").mapInArrow(lean(count), "cell long, n long")
         found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         at = found.column("cell").to_numpy()
         counts[at // BUCKETS, at % BUCKETS] = found.column("n").to_numpy()
@@ -134,7 +134,7 @@ def score_texts(rows: DataFrame, known: list[str], counts: np.ndarray, floor: np
                 )
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
-    return rows.mapInArrow(score, f"{kept}, _grams long, _ev array<double>")
+    return rows.mapInArrow(lean(score), f"{kept}, _grams long, _ev array<double>")
 
 
 def _votes(scored: DataFrame, key: str) -> DataFrame:
@@ -195,7 +195,7 @@ def identify(
     for key in (*keys, *levels):
         joined = joined.join(_votes(scored, key), F.col(key) == F.col(f"{key}_key"), "left").drop(f"{key}_key")
     fused = joined.mapInArrow(
-        _fusion(known, overall, keys, levels, min_confidence),
+        lean(_fusion(known, overall, keys, levels, min_confidence)),
         f"doc_id {rows.schema['_id'].dataType.simpleString()}, lang string, confidence double, text_lang string, "
         "declared_lang string, n_grams long, kept boolean",
     )

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revuelens.llm.common import connected_components, text_slices, utf8
+from revuelens.llm.common import connected_components, lean, text_slices, utf8
 from revuelens.llm.shingles import set_digests, shingle_sets
 from revuelens.session import materialize
 
@@ -47,7 +47,7 @@ def signatures(docs: DataFrame, length: int, id_column: str, text: str, size: in
                 )
 
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch array<long>")
+    return narrow.mapInArrow(lean(run), "doc_id long, n long, d1 long, d2 long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, length: int) -> DataFrame:
@@ -61,7 +61,7 @@ def full_sets(docs: DataFrame, length: int) -> DataFrame:
                 items = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int64()))
                 yield pa.RecordBatch.from_arrays([piece.column(0), items], ["rep", "items"])
 
-    return docs.mapInArrow(run, "rep long, items array<long>")
+    return docs.mapInArrow(lean(run), "rep long, items array<long>")
 
 
 def _sketch_prefix(n: Column, percent: int) -> Column:

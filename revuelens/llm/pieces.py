@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revuelens.llm.common import text_slices
+from revuelens.llm.common import lean, text_slices
 
 MARKER = "▁"
 TABLE_BYTES = 2 << 20  # of text that one table serves
@@ -171,7 +171,7 @@ def encode_texts(
                 yield pa.RecordBatch.from_arrays([rows.column(0), lists], [id_column, "ids"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text).mapInArrow(encode, f"`{id_column}` {kind}, ids array<int>")
+    return docs.select(id_column, text).mapInArrow(lean(encode), f"`{id_column}` {kind}, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
@@ -197,7 +197,7 @@ def decode_ids(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
                 start = stop
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(decode, f"{kinds}, decoded string")
+    return encoded.mapInArrow(lean(decode), f"{kinds}, decoded string")
 
 
 def encode_and_decode(
@@ -219,7 +219,7 @@ def encode_and_decode(
                 yield pa.RecordBatch.from_arrays(columns, [id_column, "ids", "decoded"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text).mapInArrow(both, f"`{id_column}` {kind}, ids array<int>, decoded string")
+    return docs.select(id_column, text).mapInArrow(lean(both), f"`{id_column}` {kind}, ids array<int>, decoded string")
 
 
 def id_line(ids: str = "ids") -> Column:

@@ -18,14 +18,18 @@ _PLACES = np.random.default_rng(20240501).integers(1 << 62, size=(64, 2), dtype=
 _powers: dict[int, np.ndarray] = {}
 
 
+KEPT_POWERS = (1 << 20) + 1024  # a slice of texts and a little more
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest asked for is kept."""
+    """base**0 .. base**(n-1) modulo 2**64; those of a slice are kept, a longer text makes its own."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 21), base, dtype=np.uint64)
+        have = np.full(max(n, KEPT_POWERS), base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[int(base)] = have
+        if len(have) == KEPT_POWERS:
+            _powers[int(base)] = have
     return have[:n]
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revuelens.llm.common import lean
 from revuelens.session import materialize
 
 # Letters of a word, and which occurrences are misspelt on purpose.
@@ -83,7 +84,7 @@ def count_words(docs: DataFrame, min_length: int, misspelt_every: int, id_column
             yield _counts(found)
 
     rows = docs.select(F.col(id_column).cast("string").alias("_id"), F.col(text).alias("_text"))
-    partial = rows.mapInArrow(counted, "word string, n long")
+    partial = rows.mapInArrow(lean(counted), "word string, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 

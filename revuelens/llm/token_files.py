@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from revuelens.llm.common import lean
 from revuelens.session import materialize, work_dir
 
 # Magic numbers of the seekable format.
 SKIPPABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_BYTES = 1 << 19
-CACHED_WORDS = 700_000
+# Bytes of remembered words, of each kind, in a task, and of those that a worker process keeps for the next.
+CACHED_BYTES, KEPT_BYTES = 40 << 20, 8 << 20
+WORD_BYTES = 150  # of a remembered word beside its letters and ids
 RUN_WORDS = 4000
 # How a byte-level vocabulary writes a blank and a newline.
 BLANK, NEWLINE = "\u0120", "\u010a"
@@ -52,6 +55,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.held = {id(self.inner): 0, id(self.first): 0}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         vocabulary = self.tokenizer.get_vocab()
@@ -82,7 +86,24 @@ class WordEncoder:
             skip = step * self.width
             for w, x, y in zip(run, at_byte[:-1], at_byte[1:], strict=True):
                 known[w] = raw[x + skip : y]
-        return new if len(known) > CACHED_WORDS else []
+        size = sum(_bytes_of(w, known[w]) for w in new)
+        if self.held[id(known)] + size > CACHED_BYTES:
+            return new
+        self.held[id(known)] += size
+        return []
+
+    def forget(self) -> None:
+        """Keep the words met first, which are the frequent ones, up to ``KEPT_BYTES``."""
+        for known in (self.inner, self.first):
+            kept, size = [], 0
+            for w, ids in known.items():
+                size += _bytes_of(w, ids)
+                if size > KEPT_BYTES:
+                    break
+                kept.append((w, ids))
+            known.clear()
+            known.update(kept)
+            self.held[id(known)] = sum(_bytes_of(w, ids) for w, ids in kept)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of the encoder's width."""
@@ -98,7 +119,7 @@ class WordEncoder:
                 first.add(words[0])
                 inner.update(words[1:])
             cut.append(lines)
-        # A full cache keeps what it has, the words met early being the frequent ones.
+        # A full cache keeps what it has; words beyond it are forgotten with their texts.
         passing = [(self.inner, self._learn(self.inner, inner, " ")), (self.first, self._learn(self.first, first, ""))]
         whole = iter(self._encode([t for t, lines in zip(texts, cut, strict=True) if lines is None]))
         out, get = [], self.inner.__getitem__
@@ -114,11 +135,15 @@ class WordEncoder:
         return out
 
 
+def _bytes_of(word: str, ids: bytes) -> int:
+    return WORD_BYTES + 2 * len(word) + len(ids)
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process, kept between tasks."""
+    """One encoder per worker process; what it remembers between tasks is bounded."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
@@ -245,6 +270,7 @@ def write_tokens(
                 texts = [t or "" for t in piece.column(1).to_pylist()]
                 for doc_id, encoded in zip(ids, bpe.encode(texts), strict=True):
                     writer.add(doc_id, encoded + end)
+        bpe.forget()
         if writer is not None:
             writer.close()
             sink.close()
@@ -262,7 +288,7 @@ def write_tokens(
 
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     ordered = narrow.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
-    return materialize(ordered.mapInArrow(write, "part int, path string, n_docs long, n_tokens long"))
+    return materialize(ordered.mapInArrow(lean(write), "part int, path string, n_docs long, n_tokens long"))
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -290,7 +316,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                         yield _batch(rows)
 
     spread = placed.repartition(max(1, files.count()))
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
