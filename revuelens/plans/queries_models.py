@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revuelens.functions.vectors import seeded_normals
-from revuelens.operators import generate, metrics, models, profile, stats, vectors
+from revuelens.operators import generate, latent, metrics, models, profile, stats, vectors
 from revuelens.operators.density import fit_conditional_density
 from revuelens.operators.sampling import request_grid, stratified_split
 from revuelens.plans import fixtures as fx
@@ -111,6 +111,36 @@ def _(spark, sf):
     return vectors.reconstruction_cosine(rebuilt(spark, sf))
 
 
+def judged(spark, sf):
+    """A model of the train rows, and the test rows with their posterior."""
+    rows = stored_vectors(spark, sf)
+    model = latent.fit_probabilistic(part(rows, "train"), LATENT, fx.VECTOR_WIDTH, CATEGORIES, fx.SEED)
+    return model, latent.posterior(model, part(rows, "test"))
+
+
+@query("latent_posterior")
+def _(spark, sf):
+    """Size of each test row's latent vector, its divergence from the prior and the row's likelihood."""
+    model, rows = judged(spark, sf)
+    norm = F.sqrt(F.aggregate("latent", F.lit(0.0), lambda t, x: t + x * x))
+    scored = latent.log_likelihood(model, rows)
+    return scored.select("review_id", *KEYS, norm.alias("latent_norm"), "latent_kl", "log_likelihood")
+
+
+@query("posterior_reconstruction")
+def _(spark, sf):
+    model, rows = judged(spark, sf)
+    return vectors.reconstruction_error(latent.rebuild(model, rows), ["star_rating"])
+
+
+@query("posterior_samples")
+def _(spark, sf):
+    """How far vectors drawn from each test row's posterior lie from the row's own."""
+    model, rows = judged(spark, sf)
+    drawn = latent.expected_vectors(model, latent.sample_posterior(model, rows, fx.SEED), body="body_rec", head="head_rec")
+    return vectors.reconstruction_error(drawn, ["category_encoded"])
+
+
 @query("latent_centroid_distances")
 def _(spark, sf):
     cents = vectors.centroids(encoded(spark, sf), ["category_encoded"], "latent")

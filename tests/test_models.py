@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from revuelens.operators import cells, generate, metrics, models, vectors
+from revuelens.operators import cells, generate, latent, metrics, models, vectors
 from revuelens.session import materialize
 
 
@@ -40,6 +40,61 @@ def test_full_rank_latent_rebuilds_the_vectors(planted):
     assert vectors.reconstruction_cosine(rebuilt).first()["body_mean"] > 0.97
 
 
+def _moments(n, d, k, noise, seed=1):
+    draw = np.random.default_rng(seed)
+    weights = draw.normal(size=(d, k)) * 2
+    rows = draw.normal(size=(n, k)) @ weights.T + np.sqrt(noise) * draw.normal(size=(n, d)) + 5
+    return rows, np.cov(rows.T)
+
+
+def test_noise_variance_is_found_and_likelihood_is_highest():
+    rows, moments = _moments(20_000, 10, 3, 0.25)
+    weights, noise, rounds = latent.expectation_maximisation(moments, 3)
+    assert noise == pytest.approx(0.25, rel=0.02) and rounds < 2000
+    # The known solution: the mean of the eigenvalues left out, and a model that has the covariance.
+    values = np.linalg.eigvalsh(moments)
+    assert noise == pytest.approx(values[:7].mean(), rel=1e-4)
+    assert np.abs(weights @ weights.T + noise * np.eye(10) - moments).max() < 0.1
+    best = latent.mean_log_likelihood(moments, weights, noise)
+    for other in (weights * 1.05, weights[:, ::-1] * [1, 0.9, 1]):
+        assert latent.mean_log_likelihood(moments, other, noise) < best
+    assert latent.mean_log_likelihood(moments, weights, noise * 1.1) < best
+
+
+def test_posterior_rebuilds_held_out_rows_like_principal_axes(spark):
+    rows, _ = _moments(1500, 12, 3, 0.1)
+    table = materialize(
+        spark.createDataFrame(
+            [(i, i % 2, 1 + i % 5, r[:6].tolist(), r[6:].tolist()) for i, r in enumerate(rows)] + [(9999, 0, 1, None, [0.0] * 6)],
+            "review_id long, category_encoded int, star_rating int, body_emb array<float>, head_emb array<float>",
+        )
+    )
+    train, test = table.filter("review_id < 1200"), table.filter("review_id between 1200 and 1499")
+    model = latent.fit_probabilistic(train, 3, 6, 2)
+    assert model.noise == pytest.approx(0.1, abs=0.05)
+    judged = latent.posterior(model, test)
+    ours = vectors.reconstruction_error(latent.rebuild(model, judged), []).first()["mse"]
+    linear = models.fit_latent(train, 3, 6, 2)
+    theirs = vectors.reconstruction_error(models.decode(linear, models.encode(linear, test)), []).first()["mse"]
+    assert ours <= theirs * 1.01
+    # The posterior by the book, and draws with its covariance.
+    row = judged.filter("review_id = 1300").first()
+    joint = np.array([*row.body_emb, *row.head_emb, 1, 0, 1, 0, 0, 0, 0], dtype=float)
+    gain = model.weights.T @ np.linalg.inv(model.weights @ model.weights.T + model.noise * np.eye(19))
+    assert np.allclose(row.latent, gain @ (joint - model.mean), atol=1e-6)
+    many = spark.range(4000).select(F.col("id").alias("review_id"), F.array(*[F.lit(0.0)] * 3).alias("latent"))
+    drawn = np.array([r[0] for r in latent.sample_posterior(model, many, 7).select("latent_sample").collect()])
+    assert np.allclose(np.cov(drawn.T), model.covariance, atol=0.15 * model.covariance.max())
+    assert latent.sample_posterior(model, many, 7).select("latent_sample").first()[0] == drawn[0].tolist()
+    scored = latent.log_likelihood(model, table.filter("review_id in (1300, 9999)")).collect()
+    spread = model.weights @ model.weights.T + model.noise * np.eye(19)
+    gap = joint - model.mean
+    by_hand = -0.5 * (19 * np.log(2 * np.pi) + np.linalg.slogdet(spread)[1] + gap @ np.linalg.solve(spread, gap))
+    assert {r.review_id: r.log_likelihood for r in scored} == {1300: pytest.approx(by_hand), 9999: None}
+    empty = latent.posterior(model, table.filter("review_id = 9999")).first()
+    assert empty.latent is None and empty.latent_kl is None
+
+
 def test_projection_is_centred(planted):
     pc1, pc2 = vectors.project_2d(planted).agg(F.avg("pc1"), F.avg("pc2")).first()
     assert abs(pc1) < 1e-9 and abs(pc2) < 1e-9
