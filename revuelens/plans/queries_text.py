@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from revuelens.functions.text import clean_words
 from revuelens.functions.text import prompt as prompt_text
-from revuelens.operators import char_lm, heavy, metrics, profile, text
+from revuelens.operators import char_lm, heavy, kneser_ney, metrics, profile, text
 from revuelens.plans import fixtures as fx
 from revuelens.plans import oracle as o
 from revuelens.plans.catalog import query
@@ -365,3 +365,59 @@ def _(spark, sf):
         (1 + F.col("conv_id") % 5).cast("int").alias("star_rating"), "text"
     )
     return char_lm.char_perplexity(held_out, model, "text", size, 3)
+
+
+# Grams of each order: occurrences of the highest, different characters before those below.
+_KNESER_NEY = f""", o3 as (select star_rating, gram, count(*) as n from (
+        {o.grams("filtered", "review_id", "star_rating", _REVIEW_CHARS, 3, "")}) group by 1, 2),
+    o2 as (select star_rating, substring(gram, 2) as gram, count(*) as n from o3 group by 1, 2),
+    o1 as (select star_rating, substring(gram, 2) as gram, count(*) as n from o2 group by 1, 2),
+    kn as (select 3 as "order", * from o3 union all select 2, * from o2 union all select 1, * from o1),
+    rows_of as (select star_rating, "order", substring(gram, 1, "order" - 1) as context, substring(gram, "order", 1) as next, n from kn),
+    ctx as (select star_rating, "order", context, cast(sum(n) as bigint) as n, count(*) as n_types from rows_of group by 1, 2, 3)"""
+
+
+@query(
+    "fit_kneser_ney",
+    _KNESER_NEY
+    + """ select star_rating, "order", context, next, n, cast(null as bigint) as n_types from rows_of
+    union all select star_rating, "order", context, null, n, n_types from ctx""",
+    ("filtered",),
+)
+def _(spark, sf):
+    return kneser_ney.fit_kneser_ney(fx.filtered(spark, sf), "review_body", 3)
+
+
+def _order_sql(k: int, below: str) -> str:
+    return f"""coalesce((greatest(coalesce(r{k}.n, 0) - 0.75::double, 0) + 0.75::double * c{k}.n_types * {below}) / c{k}.n, {below})"""
+
+
+def _joins_sql(k: int) -> str:
+    context = f"substring(eg.gram, {4 - k}, {k - 1})"
+    return f"""left join rows_of r{k} on r{k}."order" = {k} and r{k}.star_rating = eg.star_rating and r{k}.context = {context}
+        and r{k}.next = substring(eg.gram, 3, 1)
+    left join ctx c{k} on c{k}."order" = {k} and c{k}.star_rating = eg.star_rating and c{k}.context = {context}"""
+
+
+@query(
+    "backoff_perplexity",
+    _KNESER_NEY
+    + f""", eg as (select star_rating, gram, count(*) as n from (
+        {o.grams("generated", "id", "star_rating", "string_split(text, '')", 3, "")}) group by 1, 2),
+    size as (select count(*) + 1 as size from (select distinct unnest(string_split(review_body, '')) as char from filtered)
+        where length(char) > 0),
+    p1 as (select eg.*, {_order_sql(1, "(1 / cast(size.size as double))")} as p1 from eg cross join size {_joins_sql(1)}),
+    p2 as (select eg.*, {_order_sql(2, "eg.p1")} as p2 from p1 eg {_joins_sql(2)}),
+    p3 as (select eg.*, {_order_sql(3, "eg.p2")} as p3 from p2 eg {_joins_sql(3)}),
+    l as (select star_rating, sum(n) as n_chars, sum(-ln(p3) * n) / sum(n) as loss from p3 group by 1)
+    select star_rating, cast(n_chars as bigint) as n_chars, round(loss, 6) as loss, round(exp(least(loss, 20)), 6) as perplexity from l""",
+    ("filtered", "generated"),
+)
+def _(spark, sf):
+    fitted = fx.filtered(spark, sf)
+    model = kneser_ney.fit_kneser_ney(fitted, "review_body", 3)
+    size = text.char_vocab(fitted, "review_body").count() + 1
+    held_out = fx.table(spark, sf, "conversations").select(
+        (1 + F.col("conv_id") % 5).cast("int").alias("star_rating"), "text"
+    )
+    return kneser_ney.backoff_perplexity(held_out, model, "text", size, 3)
