@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from revuelens.functions import vectors as fv
 from revuelens.functions.scalars import hex_uniform, seeded_hash
-from revuelens.operators import density, vectors
+from revuelens.operators import density, quantile_density, vectors
 from revuelens.plans import fixtures as fx
 from revuelens.plans import oracle as o
 from revuelens.plans.catalog import query
@@ -411,3 +411,75 @@ def _(spark, sf):
     uniform = hex_uniform(seeded_hash("review_id", fx.SEED, "#help"))
     drawn = density.sample_values(rows.select("review_id", *STRATA), model, STRATA, uniform)
     return drawn.withColumn("helpfulness", F.round("helpfulness", 5))
+
+
+QUANTILE_STEPS = 16
+
+
+def _quantile_sql(source: str, value: str, by: str) -> str:
+    """Pieces of each stratum, from its quantiles."""
+    n = QUANTILE_STEPS
+    return f""", vals as (select {by}, cast({value} as double) as v from {source} where {value} is not null),
+    quant as (select {by}, count(*) as n_values, quantile_cont(v, list_transform(range({n + 1}), lambda i: i / {n}.0)) as q from vals group by all),
+    each_q as (select {by}, n_values, q[{n + 1}] - q[1] as extent, unnest(q) as v, generate_subscripts(q, 1) - 1 as i from quant),
+    knots as (select {by}, n_values, extent, v, min(i) / {n}.0::double as f, max(i) / {n}.0::double as t from each_q group by all),
+    gaps as (select *, least(v - lag(v) over w, lead(v) over w - v) as gap,
+        case when extent > 0 then extent * 0.001::double else 1.0::double end as room from knots window w as (partition by {by} order by v)),
+    halves as (select *, case when t > f then least(room / 2, coalesce(gap / 4, room / 2)) else 0 end as half,
+        1 / (n_values + 2.0::double) as tail, case when extent > 0 then extent / {n} else 1.0::double end as step from gaps),
+    nexts as (select *, lead(v) over w as nv, lead(half) over w as nhalf from halves window w as (partition by {by} order by v)),
+    unnumbered as (
+        select {by}, -1 as side, v - half - step as lo, v - half as hi, tail as prob, 0.0::double as cum from nexts where f = 0
+        union all select {by}, 0, v - half, v + half, (t - f) * (1 - 2 * tail), tail + f * (1 - 2 * tail) from nexts where half > 0
+        union all select {by}, 0, v + half, nv - nhalf, 1 / {n}.0::double * (1 - 2 * tail), tail + t * (1 - 2 * tail) from nexts where nv is not null
+        union all select {by}, 1, v + half, v + half + step, tail, 1 - tail from nexts where t = 1),
+    pieces as (select *, prob / (hi - lo) as density, row_number() over (partition by {by} order by cum, lo) - 1 as piece from unnumbered)"""
+
+
+@query(
+    "fit_quantile_density",
+    _quantile_sql("facts", "total_votes", "star_rating")
+    + """ select star_rating, side, round(lo, 6) as lo, round(hi, 6) as hi, round(prob, 6) as prob, round(cum, 6) as cum,
+    round(density, 6) as density, cast(piece as int) as piece from pieces""",
+    ("facts",),
+)
+def _(spark, sf):
+    return quantile_density.fit_quantile_density(fx.review_facts(spark, sf), ["star_rating"], "total_votes", QUANTILE_STEPS)
+
+
+@query(
+    "quantile_loglik",
+    _quantile_sql("measured", "review_body_words", "star_rating")
+    + """, hit as (select m.star_rating, m.review_body_words as v, p.* exclude (star_rating), row_number() over (
+            partition by m.review_id order by p.lo desc) as rn
+        from measured m join pieces p on p.star_rating = m.star_rating and (p.lo <= m.review_body_words or p.piece = 0))
+    select star_rating, count(*) as n, round(avg(ln(density) + case when side = -1 then least((v - hi) / (hi - lo), 0)
+        when side = 1 then -(v - lo) / (hi - lo) else 0 end), 6) as mean_loglik from hit where rn = 1 group by 1""",
+    ("measured",),
+)
+def _(spark, sf):
+    """Mean log density of body lengths, whose long tail an even grid would put into one bin."""
+    rows = fx.measured(spark, sf)
+    model = quantile_density.fit_quantile_density(rows, ["star_rating"], "review_body_words", QUANTILE_STEPS)
+    scored = quantile_density.log_density(rows, model, ["star_rating"], "review_body_words")
+    return scored.groupBy("star_rating").agg(F.count("*").alias("n"), F.avg("log_density").alias("mean_loglik"))
+
+
+@query(
+    "quantile_draws",
+    _quantile_sql("filtered", "helpfulness_ratio", "product_category, star_rating")
+    + f""", req as (select review_id, product_category, star_rating,
+        greatest({o.uniform(o.digest("review_id", fx.SEED, "#help"))}, pow(2, -53)) as u from filtered),
+    hit as (select req.review_id, u, p.*, row_number() over (partition by req.review_id order by p.cum desc, p.lo desc) as rn
+        from req join pieces p on p.product_category = req.product_category and p.star_rating = req.star_rating and p.cum <= u)
+    select review_id, product_category, star_rating, round(case when side = -1 then hi + (hi - lo) * ln((u - cum) / prob)
+        when side = 1 then lo - (hi - lo) * ln(1 - (u - cum) / prob) else lo + (u - cum) / prob * (hi - lo) end, 5) as helpfulness
+    from hit where rn = 1""",
+    ("filtered",),
+)
+def _(spark, sf):
+    rows = fx.filtered(spark, sf)
+    model = quantile_density.fit_quantile_density(rows, STRATA, "helpfulness_ratio", QUANTILE_STEPS)
+    uniform = hex_uniform(seeded_hash("review_id", fx.SEED, "#help"))
+    drawn = quantile_density.draw_values(rows.select("review_id", *STRATA), model, STRATA, uniform, "helpfulness")
+    return drawn.withColumn("helpfulness", F.round("helpfulness", 5))
