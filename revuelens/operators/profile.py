@@ -40,8 +40,8 @@ def table_summary(df: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     """Rows per non-null value (or combination), largest first, and their share."""
     counts = df.na.drop(subset=list(columns)).groupBy(*columns).agg(F.count("*").alias("n"))
-    # The total is that of the few counted rows, not of another scan.
-    total = F.sum("n").over(W.partitionBy(F.lit(0)))
+    # The total is that of the counted rows, whose exchange it shares; they never meet in one task.
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("share", F.col("n") / total).orderBy(F.desc("n"), *columns)
 
 
@@ -74,12 +74,8 @@ def strata_balance(df: DataFrame) -> DataFrame:
     """Rows per category and rating, with the smallest and largest cell of all."""
     table = df.groupBy("product_category").agg(*[_rated(r).alias(f"r{r}") for r in RATINGS])
     cells = [F.col(f"r{r}") for r in RATINGS]
-    everything = W.partitionBy(F.lit(0))
-    return table.select(
-        "*",
-        F.min(F.least(*cells)).over(everything).alias("min_cell"),
-        F.max(F.greatest(*cells)).over(everything).alias("max_cell"),
-    )
+    ends = table.agg(F.array(F.min(F.least(*cells)), F.max(F.greatest(*cells)))).scalar()
+    return table.select("*", ends[0].alias("min_cell"), ends[1].alias("max_cell"))
 
 
 def crosstab_margins(df: DataFrame) -> DataFrame:
@@ -315,7 +311,7 @@ def split_report(df: DataFrame) -> DataFrame:
     """Rows per split and rating, share inside the split, and the split's percent of all."""
     cells = df.groupBy("split", "star_rating").agg(F.count("*").alias("n"))
     in_split = F.sum("n").over(W.partitionBy("split"))
-    total = F.sum("n").over(W.partitionBy(F.lit(0)))
+    total = cells.agg(F.sum("n")).scalar()
     return cells.withColumn("split_rows", in_split).select(
         "split",
         "star_rating",

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from revuelens.functions.text import (
 from revuelens.operators.joins import join_lookup
 from revuelens.operators.ranks import number_distinct
 from revuelens.operators.sampling import top_n_per_group
+from revuelens.session import materialize
 
 
 def _top_terms(df: DataFrame, by: Sequence[str], terms: Column, k: int) -> DataFrame:
@@ -106,25 +108,55 @@ def word_vocabulary(df: DataFrame, text: str, size: int) -> DataFrame:
     )
 
 
+SENT_BYTES = 32 << 20  # of a word table that goes to the tasks whole
+
+
+def _small(table: DataFrame) -> bool:
+    """Whether a word table, by its measured size, fits every task beside its work."""
+    size = table.agg(F.sum(F.octet_length(F.col(table.columns[0])) + 24)).first()[0]
+    return (size or 0) <= SENT_BYTES
+
+
+def _word_places(rows: pa.Array, words_of: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row of every word of lists of words, and its place in a word list, -1 where it has none."""
+    found = pc.index_in(rows.flatten(), value_set=words_of).fill_null(-1).to_numpy()
+    row = np.repeat(np.arange(len(rows)), rows.value_lengths().fill_null(0).to_numpy())
+    return row, found
+
+
 def token_ids(
     df: DataFrame, text: str, vocabulary: DataFrame, max_len: int, id_column: str = "review_id"
 ) -> DataFrame:
     """Padded word ids, attention mask and labels (padding ignored) of ``max_len``.
 
-    The vocabulary has a size that its maker chose, and goes to the tasks as a
-    dictionary; ids are looked up inside the row, so rows that share an id stay apart.
+    A vocabulary of a size that fits goes to the tasks, where a batch of words is looked up
+    at once; a larger one is joined by word. Rows that share an id stay apart either way.
     """
-    places = dict(vocabulary.select("word", "word_id").toArrow().to_pandas().itertuples(index=False))
-    shared = df.sparkSession.sparkContext.broadcast(places)
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def look_up(rows: pa.Array) -> pa.Array:
-        known = shared.value
-        found = [None if r is None else [known.get(w, UNKNOWN) for w in r] for r in rows.to_pylist()]
-        return pa.array(found, pa.list_(pa.int32()))
-
     first = F.slice(words(F.lower(F.col(text))), 1, max_len)
-    numbered = df.select(id_column, F.coalesce(look_up(first), F.array().cast("array<int>")).alias("_ids"))
+    listed = vocabulary.select("word", F.col("word_id").cast("int").alias("word_id"))
+    if _small(listed):
+        known = listed.toArrow()
+        shared = df.sparkSession.sparkContext.broadcast(
+            (known.column("word").combine_chunks(), np.append(known.column("word_id").to_numpy(), UNKNOWN).astype(np.int32))
+        )
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def look_up(rows: pa.Array) -> pa.Array:
+            words_of, ids = shared.value
+            row, place = _word_places(rows, words_of)
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(rows))))
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[place], pa.int32()))
+
+        numbered = df.select(id_column, look_up(first).alias("_ids"))
+    else:
+        rows = materialize(df.select(id_column, first.alias("_words"), F.monotonically_increasing_id().alias("_row")))
+        each = rows.select("_row", F.posexplode("_words").alias("_at", "word"))
+        found = each.join(listed, "word", "left").groupBy("_row").agg(
+            F.sort_array(F.collect_list(F.struct("_at", F.coalesce("word_id", F.lit(UNKNOWN)).alias("id")))).alias("_l")
+        )
+        numbered = rows.join(found, "_row", "left").select(
+            id_column, F.coalesce(F.col("_l.id"), F.array().cast("array<int>")).alias("_ids")
+        )
     used = F.size("_ids")
     fill = F.lit(max_len) - used
     return numbered.select(
@@ -191,20 +223,31 @@ def lexicon_sentiment(
 ) -> DataFrame:
     """Sum of word valences per text, and that sum squashed to (-1, 1).
 
-    ``lexicon`` has columns ``word`` and ``valence``; a word list does not grow with
-    the texts, so it goes to the tasks whole. Each row is scored on its own, a null
-    text as one without listed words. Negation and emphasis are not modelled.
+    ``lexicon`` has columns ``word`` and ``valence``. One of a size that fits goes to the tasks,
+    where a batch of words is looked up at once; a larger one is joined by word. Each row is
+    scored on its own, a null text as one without listed words. Negation and emphasis are not
+    modelled.
     """
-    listed = lexicon.filter(F.col("word").isNotNull()).groupBy("word").agg(F.sum("valence").alias("v"))
-    shared = df.sparkSession.sparkContext.broadcast({w: v or 0.0 for w, v in listed.toArrow().to_pandas().itertuples(index=False)})
-
-    @F.arrow_udf(T.DoubleType())
-    def total(rows: pa.Array) -> pa.Array:
-        known = shared.value
-        return pa.array([float(sum(known[w] for w in r or () if w in known)) for r in rows.to_pylist()], pa.float64())
-
+    listed = lexicon.filter(F.col("word").isNotNull()).groupBy("word").agg(F.coalesce(F.sum("valence"), F.lit(0.0)).alias("v"))
     lowered = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"[^{SPACE}.,!?;:\"()]+"), 0)
-    scored = df.select(id_column, *keep, total(lowered).alias("valence"))
+    if _small(listed):
+        known = listed.toArrow()
+        shared = df.sparkSession.sparkContext.broadcast(
+            (known.column("word").combine_chunks(), np.append(known.column("v").to_numpy(), 0.0).astype(np.float64))
+        )
+
+        @F.arrow_udf(T.DoubleType())
+        def total(rows: pa.Array) -> pa.Array:
+            words_of, valences = shared.value
+            row, place = _word_places(rows, words_of)
+            return pa.array(np.bincount(row, weights=valences[place], minlength=len(rows)))
+
+        scored = df.select(id_column, *keep, total(lowered).alias("valence"))
+    else:
+        rows = materialize(df.select(id_column, *keep, lowered.alias("_words"), F.monotonically_increasing_id().alias("_row")))
+        each = rows.select("_row", F.explode("_words").alias("word"))
+        sums = each.join(listed, "word").groupBy("_row").agg(F.sum("v").alias("_v"))
+        scored = rows.join(sums, "_row", "left").select(id_column, *keep, F.coalesce("_v", F.lit(0.0)).alias("valence"))
     # Fixed value: 15 normalises the sum.
     v = F.col("valence")
     return scored.withColumn("compound", v / F.sqrt(v * v + 15.0))

@@ -179,9 +179,12 @@ def test_distance_matrix_has_no_limit(spark):
     assert len(rows) == 3600 and all(r["distance"] == abs(r["group_a"] - r["group_b"]) for r in rows)
 
 
-def test_rows_that_share_an_id_stay_apart(spark):
+@pytest.mark.parametrize("sent", [32 << 20, 0])
+def test_rows_that_share_an_id_stay_apart(spark, monkeypatch, sent):
     from revuelens.operators import text
 
+    monkeypatch.setattr(text, "SENT_BYTES", sent)
+
     rows = spark.createDataFrame([(1, "good good"), (1, "bad"), (None, "good"), (None, None)], "review_id long, t string")
     words = spark.createDataFrame([("good", 1.0), ("bad", -2.0), ("good", 0.5), (None, 9.0)], "word string, valence double")
     got = text.lexicon_sentiment(rows, "t", words).collect()

@@ -166,9 +166,13 @@ def test_nan_and_infinity_have_no_bin(spark):
 def test_counts_come_from_one_scan(spark, folder):
     spark.createDataFrame([(1, "train"), (5, "val")], "star_rating int, split string").write.parquet(folder + "/t")
     rows = spark.read.parquet(folder + "/t")
-    tables = (profile.value_counts(rows, "split"), profile.rating_share(rows), profile.split_report(rows))
-    for table in tables:
-        assert table._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 1
+    shares = profile.rating_share(rows)
+    assert shares._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 1
+    # The total reads the exchange of the counts; no window gathers all groups in one task.
+    for table in (profile.value_counts(rows, "split"), profile.split_report(rows), profile.strata_balance(rows.withColumn("product_category", F.col("split")))):
+        table.collect()
+        final = table._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in table._jdf.queryExecution().executedPlan().toString(), final
 
 
 def test_impute_median_then_default(spark):
