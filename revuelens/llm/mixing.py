@@ -23,10 +23,11 @@ def word_size(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _bucket(id_column: str, seed: int) -> Column:
-    """Seeded place of a document in [0, 4096); a null id has one of its own."""
+def _bucket(id_column: str, text: str, seed: int) -> Column:
+    """Seeded place of a document in [0, 4096), by its id and text; a null id has a name of its own."""
     name = F.coalesce(F.col(id_column).cast("string"), F.lit("null"))
-    digest = F.md5(F.concat(name, F.lit(f"#{seed}#mix")))
+    body = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(name, F.lit("#"), body, F.lit(f"#{seed}#mix")))
     return F.conv(F.substring(digest, 1, BUCKET_DIGITS), 16, 10).cast("int")
 
 
@@ -76,7 +77,7 @@ def plan_mix(
     """
     buckets = materialize(
         docs.select(
-            F.col(source).alias("source"), _bucket(id_column, seed).alias("bucket"), word_size(text).alias("size")
+            F.col(source).alias("source"), _bucket(id_column, text, seed).alias("bucket"), word_size(text).alias("size")
         )
         .groupBy("source", "bucket")
         .agg(F.sum("size").alias("size"))
@@ -121,11 +122,12 @@ def mix_counts(
 
     The plan has one row per source; Spark sends it to the documents while its
     measured size is within the session's broadcast limit and otherwise joins by
-    source, splitting a hot one. Columns of these names are overwritten. Rows with the same id share a draw; a
+    source, splitting a hot one. Columns of these names are overwritten. Rows that agree in id and
+    text share a draw, all others draw on their own, whether or not ids are null or repeat; a
     null source is a source; null and empty texts have size 0 and take nothing.
     """
     added = ["source_size", "target", "repeats", "taken"]
-    sized = docs.drop(*added).withColumn("size", word_size(text)).withColumn("_mix_bucket", _bucket(id_column, seed))
+    sized = docs.drop(*added).withColumn("size", word_size(text)).withColumn("_mix_bucket", _bucket(id_column, text, seed))
     renamed = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "source_size", "target", "whole", "cut")])
     joined = sized.join(renamed, F.col(source).eqNullSafe(F.col("_mix_source")), "left")
     repeats = F.col("_mix_whole") + F.when(F.col("_mix_bucket") < F.col("_mix_cut"), 1).otherwise(0)

@@ -9,7 +9,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 def mix_sources(seed: int, epochs: int = 3) -> str:
     """The water level is that of the first source, by cap per weight, that stays below its cap."""
     return f"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) as size,
-        cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || '#{seed}#mix'), 1, 3) as bigint) as bucket
+        cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || '#' || md5(coalesce(text, '')) || '#{seed}#mix'), 1, 3) as bigint) as bucket
         from documents),
     s as (select source, cast(sum(size) as bigint) as ss,
         (row_number() over (order by source asc nulls last) - 1) % 3 + 1 as weight from d group by source),

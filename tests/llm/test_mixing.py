@@ -60,3 +60,15 @@ def test_all_sources_clamped_and_weightless(spark):
     weights = spark.createDataFrame([("x", 1.0)], "source string, weight double")
     got = {r.source: (r.target, r.taken) for r in mix_sources(docs, weights, 1, total=1000).collect()}
     assert got == {"x": (6.0, 6), "y": (0.0, 0)}
+
+
+def test_targets_are_met_without_ids_and_with_repeated_ones(spark):
+    rows = [(i if i % 2 else None if i % 4 else 7, f"w{i} " * (1 + i % 4), f"s{i % 2}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mix_sources(docs, cycled_weights(docs), 3).collect()
+    taken, target = collections.Counter(), {}
+    for r in mixed:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 20
