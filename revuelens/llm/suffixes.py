@@ -407,9 +407,10 @@ def remove_repeats(
     both = repeated.select("doc", "tag", "place", F.lit(None).cast("boolean").alias("single")).unionByName(
         contested.select("doc", "tag", "place", "single")
     )
+    # Rows of one id and one text have one name and the same places, which are listed once.
     lists = both.groupBy("doc", "tag").agg(
-        F.collect_list(F.when(F.col("single").isNull(), F.col("place"))).alias("repeated"),
-        F.collect_list(F.when(F.col("single").isNotNull(), F.struct("place", "single"))).alias("contested"),
+        F.collect_set(F.when(F.col("single").isNull(), F.col("place"))).alias("repeated"),
+        F.collect_set(F.when(F.col("single").isNotNull(), F.struct("place", "single"))).alias("contested"),
     )
     state = materialize(_look_up(narrow, lists, length))
     decided = state.filter("kept_sha256 is not null").select("doc", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -424,7 +425,7 @@ def remove_repeats(
     across = edge.join(edge.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"), "h").filter("doc is not null")
     parts = [sorted_out.filter("a is not null"), again.filter("h is null"), across]
     spans = reduce(DataFrame.unionByName, [p.select("doc", "tag", "a", "b") for p in parts])
-    per_doc = spans.groupBy("doc", "tag").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("more"))
+    per_doc = spans.groupBy("doc", "tag").agg(F.flatten(F.collect_set(F.array("a", "b"))).alias("more"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()

@@ -109,6 +109,21 @@ def test_empty_table_and_settings(spark):
         remove_repeats(empty, length=400, gram=50)
 
 
+def test_equal_rows_list_their_places_once(spark):
+    """Rows of one id and one text: the list of a name does not grow with their number."""
+    import time
+
+    text = " ".join(f"word{i}" for i in range(300))
+    took = []
+    for n in (100, 800):
+        docs = spark.createDataFrame([(None, text)] * n + [(1, text[:900])], "doc_id long, text string").repartition(4)
+        start = time.time()
+        got = {(r.doc_id, r.n_bytes, r.n_removed) for r in remove_repeats(docs).collect()}
+        took.append(time.time() - start)
+        assert got == {(None, len(text), len(text)), (1, 900, 900)}
+    assert took[1] < 4 * took[0] + 5
+
+
 def test_many_rows_without_an_id(spark):
     """So many that a short digest would take some of them for the same row."""
     r = random.Random(7)
