@@ -407,8 +407,9 @@ def near_duplicates(
     last compares all. Links are finally counted within components.
 
     Null, zero or empty vectors, vectors with null or non-finite components, and null labels
-    link with nothing; a null id keeps a null component. An id that repeats is one
-    vector, the least of its rows. Ties in a list go to any.
+    link with nothing; a null id keeps a null component. Every row is a vector of its own,
+    whether or not its id repeats; a component is named by the smallest id of its rows. Ties in
+    a list go to any.
     """
     value = F.col(vector)
     usable = (
@@ -419,17 +420,23 @@ def near_duplicates(
         & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists(value, lambda x: x != 0)
     )
-    narrow = rows.filter(usable).select(
-        F.col(id_column).cast("long").alias("id"), F.col(label).cast("long").alias("label"), value.alias("v")
-    )
-    single = materialize(
-        narrow.groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select(
-            "id", "r.label", F.size("r.v").cast("long").alias("dim"), "r.v"
+    # Rows are told apart by a number that is stored with them; ids only name the result.
+    numbered = materialize(
+        rows.select(
+            F.col(id_column).alias("vec_id"),
+            usable.alias("usable"),
+            F.when(usable, F.col(label).cast("long")).alias("label"),
+            F.when(usable, value).alias("v"),
+            F.monotonically_increasing_id().alias("id"),
         )
     )
-    vectors = materialize(
-        single.groupBy("label", "dim", "v").agg(F.min("id").alias("id"), F.count("*").alias("size")).select("id", "label", "dim", "v", "size")
+    single = numbered.filter("usable").select(
+        "id", "label", F.size("v").cast("long").alias("dim"), "v", F.col("vec_id").cast("long").alias("name")
+    )
+    distinct = materialize(
+        single.groupBy("label", "dim", "v").agg(F.min("id").alias("id"), F.count("*").alias("size"), F.min("name").alias("name"))
     )
+    vectors = distinct.select("id", "label", "dim", "v", "size")
     links = None
     entries = None
     for attempt in range(3):
@@ -461,19 +468,22 @@ def near_duplicates(
     else:
         component = materialize(_joined(component, links_across(vectors, component, threshold, False)))
     counts = link_counts(vectors, component, threshold)
-    classes = vectors.select("id", "size").join(component, "id", "left").join(counts, "id", "left").select(
-        F.col("id").alias("first"),
-        F.coalesce("component", "id").alias("component"),
-        # The others of its class are linked with it.
-        (F.coalesce("n_links", F.lit(0)) + (F.col("size") - 1 if threshold <= 1 else F.lit(0))).alias("n_links"),
+    classes = materialize(
+        distinct.select("id", "size", "name").join(component, "id", "left").join(counts, "id", "left").select(
+            F.col("id").alias("first"),
+            F.coalesce("component", "id").alias("component"),
+            "name",
+            # The others of its class are linked with it.
+            (F.coalesce("n_links", F.lit(0)) + (F.col("size") - 1 if threshold <= 1 else F.lit(0))).alias("n_links"),
+        )
     )
-    several = vectors.filter("size > 1").select("label", "v", F.col("id").alias("first"))
+    called = classes.groupBy("component").agg(F.min("name").alias("component_id"))
+    several = distinct.filter("size > 1").select("label", "v", F.col("id").alias("first"))
     of = materialize(single.join(several, ["label", "v"], "left").select("id", F.coalesce("first", "id").alias("first")))
-    names = of.join(classes, "first").select("id", "component", "n_links")
-    out = rows.select(F.col(id_column).alias("vec_id"), usable.alias("_usable"))
-    joined = out.join(names, (F.col("vec_id") == F.col("id")) & F.col("_usable"), "left")
+    names = of.join(classes, "first").join(called, "component").select("id", "component_id", "n_links")
+    joined = numbered.select("vec_id", "id").join(names, "id", "left")
     return joined.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", F.col("vec_id")).cast("long").alias("component_id"),
+        F.coalesce("component_id", F.col("vec_id")).cast("long").alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -60,10 +60,17 @@ def test_repeated_null_and_no_rows(spark):
     v = [1.0, 2.0]
     docs = spark.createDataFrame([(None, v, 1), (1, v, 1), (1, v, 1), (2, v, 1)], SCHEMA)
     got = sorted(((x.vec_id, x.n_links, x.component_id, x.kept) for x in near_duplicates(docs).collect()), key=str)
-    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True)]
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 0, None, True)]
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_keep_their_own_links(spark):
+    v, w = [1.0, 0.0], [0.0, 1.0]
+    docs = spark.createDataFrame([(1, v, 1), (1, w, 1), (2, w, 1), (3, v, 1), (1, w, 2)], SCHEMA)
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in near_duplicates(docs).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def test_forest_ties_what_is_linked():
     linked = np.eye(6, dtype=bool)
     for a, b in ((0, 2), (2, 4), (1, 5), (4, 0)):
