@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from revuelens.functions import vectors as fv
 from revuelens.functions.scalars import hex_uniform, seeded_hash
-from revuelens.operators import density, quantile_density, vectors
+from revuelens.operators import density, quantile_density, vectors, word_vectors
+from revuelens.operators.text import word_vocabulary
 from revuelens.plans import fixtures as fx
 from revuelens.plans import oracle as o
 from revuelens.plans.catalog import query
@@ -483,3 +484,31 @@ def _(spark, sf):
     uniform = hex_uniform(seeded_hash("review_id", fx.SEED, "#help"))
     drawn = quantile_density.draw_values(rows.select("review_id", *STRATA), model, STRATA, uniform, "helpfulness")
     return drawn.withColumn("helpfulness", F.round("helpfulness", 5))
+
+
+@query(
+    "co_occurrences",
+    f""", wv as (select term as word, row_number() over (order by n desc, term) + 1 as word_id from (
+        select term, count(*) as n from (select unnest({o.words("lower(review_body)")}) as term from filtered)
+        group by 1 order by n desc, term limit 300)),
+    w as (select review_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from (
+        select review_id, {o.words("lower(review_body)")} as ws from filtered)),
+    k as (select review_id, word_id, pos from w join wv using (word)),
+    p as (select a.word_id as x, b.word_id as y from k a join k b on a.review_id = b.review_id and b.pos > a.pos and b.pos <= a.pos + 4)
+    select cast(i as int) as i, cast(j as int) as j, count(*) as n from (
+        select x as i, y as j from p union all select y, x from p) group by 1, 2""",
+    ("filtered",),
+)
+def _(spark, sf):
+    rows = fx.filtered(spark, sf)
+    return word_vectors.co_occurrences(rows, "review_body", word_vocabulary(rows, "review_body", 300))
+
+
+@query("learned_text_vectors")
+def _(spark, sf):
+    """Reviews embedded by word vectors learned from them: how well headline and body agree, by rating."""
+    rows = fx.filtered(spark, sf)
+    found = word_vectors.learn_word_vectors(rows, "review_body", word_vocabulary(rows, "review_body", 2000), 32, seed=fx.SEED)
+    columns = {"review_body": BODY, "review_headline": HEAD}
+    embedded = vectors.embed_text(rows, columns, 32, encoder=word_vectors.encoder(found))
+    return vectors.coherence(embedded.join(rows.select("review_id", "star_rating"), "review_id"), ["star_rating"])
