@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revuelens.llm.common import release, utf8
-from revuelens.llm.shingles import LOWER, find_words, word_hashes
+from revuelens.llm.shingles import LONG, LOWER, find_words, word_hashes, word_parts
 from revuelens.session import materialize
 
 K1, B = 1.2, 0.75
@@ -185,7 +185,20 @@ class ItemIndex:
                     move(c, item)
 
     def search(self, data: np.ndarray, bounds: np.ndarray) -> list[list[tuple[int, float, float, float]]]:
-        """Verified (item id, best score, question overlap, answer overlap) of each row."""
+        """Verified (item id, best score, question overlap, answer overlap) of each row.
+
+        A long text, which comes alone, is searched in parts that begin where passages do
+        and share a stride, so each passage stands whole in one part.
+        """
+        if len(bounds) != 2 or len(data) <= LONG:
+            return self._search(data, bounds)
+        best: dict[int, tuple] = {}
+        for part in word_parts(_WORDS[data], self.stride, self.stride):
+            for leak in self._search(part, np.array([0, len(part)]))[0]:
+                best[leak[0]] = max(best.get(leak[0], leak), leak)
+        return [[best[k] for k in sorted(best)]]
+
+    def _search(self, data: np.ndarray, bounds: np.ndarray) -> list[list[tuple[int, float, float, float]]]:
         found: list[dict[int, tuple[float, float, float]]] = [{} for _ in range(len(bounds) - 1)]
         if not len(data) or not self.lists:
             return [[] for _ in found]

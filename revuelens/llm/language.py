@@ -15,6 +15,7 @@ from revuelens.session import materialize
 
 BUCKETS = 4096  # hashed byte trigrams
 ROWS_AT_ONCE = 512
+PART = 2 << 20  # bytes of text whose trigrams are listed at a time
 CELLS = 1 << 22  # of languages by buckets, or by rows, in one array of a task
 HELD_BACK = 2048.0  # trigrams that a language's counts are held back by
 FLOOR = 0.01  # share of the overall distribution below which no language falls
@@ -32,18 +33,19 @@ def language_code(column: Column) -> Column:
     return F.when(code != "", code)
 
 
-def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of every trigram whose middle is a letter."""
+def trigrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket and row of every trigram whose middle is a letter, ``PART`` bytes of text at a time."""
     data, bounds = utf8(texts)
-    letters = _LETTERS[data]
-    if len(letters) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    wide = letters.astype(np.uint32)
-    code = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
-    bucket = ((code * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    use = (letters[1:-1] != 0x20) & (row[:-2] == row[2:])
-    return bucket[use], row[:-2][use]
+    alone = len(bounds) == 2
+    rows = np.zeros(PART + 2, np.int64) if alone else np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    for start in range(0, max(len(data) - 2, 0), PART):
+        letters = _LETTERS[data[start : start + PART + 2]]
+        wide = letters.astype(np.uint32)
+        code = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
+        bucket = ((code * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
+        row = rows[: len(letters)] if alone else rows[start : start + len(letters)]
+        use = (letters[1:-1] != 0x20) & (row[:-2] == row[2:])
+        yield bucket[use], row[:-2][use]
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -71,14 +73,14 @@ def fit_text_model(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
         sums = np.zeros(n_cells if n_cells <= CELLS else 0, dtype=np.int64)
         for batch in batches:
             for piece in _pieces(batch):
-                bucket, row = trigrams(piece.column(1))
                 own = np.array([place[c] for c in piece.column(2).to_pylist()], dtype=np.int64)
-                cell = own[row] * BUCKETS + bucket
-                if len(sums):
-                    sums += np.bincount(cell, minlength=len(sums))
-                else:
-                    at, n = np.unique(cell, return_counts=True)
-                    yield summed(n, at)
+                for bucket, row in trigrams(piece.column(1)):
+                    cell = own[row] * BUCKETS + bucket
+                    if len(sums):
+                        sums += np.bincount(cell, minlength=len(sums))
+                    else:
+                        at, n = np.unique(cell, return_counts=True)
+                        yield summed(n, at)
         at = np.flatnonzero(sums)
         yield summed(sums[at], at)
 
@@ -113,9 +115,11 @@ def score_texts(rows: DataFrame, known: list[str], counts: np.ndarray, floor: np
             model[:, i] = np.log1p(held[i] / ((sizes[i] + HELD_BACK) * least))
         for batch in batches:
             for piece in _pieces(batch):
-                bucket, row = trigrams(piece.column(1))
                 n = piece.num_rows
-                own = np.bincount(row * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
+                own = np.zeros(n * BUCKETS, dtype=np.int64)
+                for bucket, row in trigrams(piece.column(1)):
+                    own += np.bincount(row * BUCKETS + bucket, minlength=n * BUCKETS)
+                own = own.reshape(n, BUCKETS)
                 grams = own.sum(axis=1)
                 evidence = (own.astype(np.float32) @ model).astype(np.float64)
                 lang = np.array([place.get(c, -1) for c in piece.column(declared_at).to_pylist()], dtype=np.int64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -76,6 +77,29 @@ def find_words(data: np.ndarray, bounds: np.ndarray) -> Words:
     return Words(starts, ends, doc, np.bincount(doc, minlength=len(bounds) - 1))
 
 
+LONG = 4 << 20  # bytes of a text beyond which it is worked in parts
+
+
+def word_parts(data: np.ndarray, stride: int, overlap: int, size: int | None = None) -> Iterator[np.ndarray]:
+    """A text in parts that begin at every so many words, a multiple of ``stride``.
+
+    Each part goes on for ``overlap`` words beyond the beginning of the next, so what spans
+    that many words and one more stands whole in some part. No word is cut.
+    """
+    start, size = 0, size or LONG
+    reach = size
+    while start + reach < len(data):
+        words = find_words(data[start : start + reach], np.array([0, min(reach, len(data) - start)]))
+        # The last word may go on.
+        n = (len(words.starts) - 1 - overlap) // stride * stride
+        if n <= 0:
+            reach *= 2
+            continue
+        yield data[start : start + (int(words.ends[n + overlap - 1]) if overlap else int(words.ends[n - 1]))]
+        start, reach = start + int(words.starts[n]), size
+    yield data[start:]
+
+
 def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
     return span_hashes(prefix_sums(data), words.starts, words.ends)
 
@@ -84,8 +108,18 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.
     """Sorted distinct shingle hashes of all rows, end to end, and each row's bounds.
 
     A row with fewer words has its whole sequence as one shingle, a row without
-    words has none. Words are lower-cased A-Z only.
+    words has none. Words are lower-cased A-Z only. A long text, which comes alone, is
+    worked in parts that share ``length`` - 1 words.
     """
+    if len(bounds) == 2 and len(data) > LONG:
+        each = word_parts(data, 1, length - 1)
+        parts = [_shingle_sets(p, np.array([0, len(p)]), length)[0] for p in each]
+        values = np.unique(np.concatenate(parts))
+        return values, np.array([0, len(values)])
+    return _shingle_sets(data, bounds, length)
+
+
+def _shingle_sets(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     lower = LOWER[data]
     words = find_words(lower, bounds)
     hashes = word_hashes(lower, words)

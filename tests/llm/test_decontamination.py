@@ -1,7 +1,7 @@
 import random
 import re
 
-from revuelens.llm import decontamination
+from revuelens.llm import decontamination, shingles
 from revuelens.llm.decontamination import Settings, drop_contaminated, find_leaks, split_item
 
 WORD = re.compile("[a-z0-9]+")
@@ -100,3 +100,29 @@ def test_plain_passage_without_its_last_sentence(spark):
     assert {(r.doc_id, r.item_id) for r in find_leaks(docs, spark.createDataFrame(tests, ITEM)).collect()} == {(1, 1), (2, 1)}
     assert find_leaks(docs, given).count() == 0
     assert {r.doc_id for r in drop_contaminated(docs, spark.createDataFrame(tests, ITEM)).collect()} == {3, 4}
+
+
+def test_long_text_in_parts_leaks_what_the_whole_does(spark, monkeypatch):
+    r = random.Random(12)
+    tests = items()
+    texts = []
+    for i in range(6):
+        pieces = [sentences(r, r.randrange(5, 60)) for _ in range(40)]
+        for item in r.sample(tests, 8):
+            pieces.insert(r.randrange(len(pieces)), item[1])
+        texts.append((i, ", ".join(pieces)))
+    bench = spark.createDataFrame(tests, ITEM)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    index = decontamination.build_indexes(bench, Settings())[0].value
+    for _, text in texts:
+        raw = decontamination.np.frombuffer(text.encode(), "u1")
+        bounds = decontamination.np.array([0, len(raw)])
+        whole = [sorted(x) for x in index.search(raw, bounds)]
+        monkeypatch.setattr(decontamination, "LONG", 1500)
+        monkeypatch.setattr(shingles, "LONG", 1500)
+        assert len(list(shingles.word_parts(raw, index.stride, index.stride))) > 2
+        parts = [sorted(x) for x in index.search(raw, bounds)]
+        monkeypatch.undo()
+        assert [x[0] for x in whole[0]] == [x[0] for x in parts[0]] and len(whole[0]) >= 8
+        assert all(abs(a - b) < 1e-9 for x, y in zip(whole[0], parts[0]) for a, b in zip(x, y))
+    assert find_leaks(docs, bench).count() >= 48

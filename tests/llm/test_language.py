@@ -107,3 +107,22 @@ def test_thousands_of_codes(spark):
     codes = [a + b + c for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghijkl"]
     docs = spark.createDataFrame([(i, "the and that with", c, "s", "") for i, c in enumerate(codes)], SCHEMA)
     assert identify(docs, declared="lang", hosts=["source"]).count() == len(codes)
+
+
+def test_trigrams_of_a_long_text_in_parts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from revuelens.llm import language
+
+    def counted(texts):
+        total = np.zeros(len(texts) * language.BUCKETS, dtype=np.int64)
+        for bucket, row in language.trigrams(pa.array(texts, pa.string())):
+            total += np.bincount(row * language.BUCKETS + bucket, minlength=len(total))
+        return total
+
+    texts = ["", None, "ab", "Ünï 漢字 words, and more words. " * 50, "x"]
+    whole = [counted(texts), counted(texts[3:4])]
+    monkeypatch.setattr(language, "PART", 17)
+    assert (counted(texts) == whole[0]).all() and (counted(texts[3:4]) == whole[1]).all()
+    assert whole[0].sum() == whole[1].sum() > 1000

@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from revuelens.llm import shingles
 from revuelens.llm.common import connected_components
 from revuelens.llm.minhash import least_overlap, near_duplicates
 
@@ -86,3 +88,18 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in range(7, 61)}
     assert least_overlap(85) == 37
+
+
+@pytest.mark.parametrize("length", [1, 3, 5])
+def test_sets_of_long_texts_are_those_of_the_whole(monkeypatch, length):
+    draw = random.Random(length)
+    texts = [" ".join(draw.choice(["a", "bb", "c" * 90, "dd\n", "\t"]) for _ in range(400)), "x" * 900, " " * 900, "word " * 300]
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        bounds = np.array([0, len(data)])
+        whole = shingles.shingle_sets(data, bounds, length)
+        monkeypatch.setattr(shingles, "LONG", 120)
+        parts = shingles.shingle_sets(data, bounds, length)
+        assert len(list(shingles.word_parts(data, 1, length - 1))) > 3 or len(text.split()) < 2
+        monkeypatch.undo()
+        assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
