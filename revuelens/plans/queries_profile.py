@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revuelens.functions.scalars import parse_date
-from revuelens.operators import metrics, profile, stats
+from revuelens.operators import metrics, profile, state, stats
 from revuelens.operators.joins import join_lookup
 from revuelens.operators.ranks import exact_quantiles
 from revuelens.plans import fixtures as fx
@@ -737,3 +737,30 @@ def _(spark, sf):
     totals = cells.groupBy("product_category").agg(F.sum("n").alias("total"))
     joined = join_lookup(cells, totals, ["product_category"])
     return joined.withColumn("share", F.col("n") / F.col("total"))
+
+
+_STATE_COLUMNS = ["star_rating", "review_body_words", "helpfulness_ratio", "review_headline"]
+
+
+@query(
+    "merged_profile",
+    " union all ".join(
+        f"""select product_category, '{c}' as "column", count(*) as n_rows, count({c}) as n, """
+        + (
+            f"""round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, round(cast(min({c}) as double), 6) as low,
+            round(cast(max({c}) as double), 6) as high"""
+            if c != "review_headline"
+            else "cast(null as double) as mean, cast(null as double) as std, cast(null as double) as low, cast(null as double) as high"
+        )
+        + " from measured group by 1"
+        for c in _STATE_COLUMNS
+    ),
+    ("measured",),
+)
+def _(spark, sf):
+    """Three parts of the reviews, each summed up on its own, merged; the exact parts of the state."""
+    rows = fx.measured(spark, sf)
+    parts = [state.profile_state(rows.filter(F.col("review_id") % 3 == k), _STATE_COLUMNS, ["product_category"]) for k in range(3)]
+    merged = state.merge_states(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["product_category"])
+    std = F.when(F.col("n_numbers") > 1, F.sqrt(F.col("m2") / (F.col("n_numbers") - 1)))
+    return merged.select("product_category", "column", "n_rows", "n", "mean", std.alias("std"), "low", "high")
