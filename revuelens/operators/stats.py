@@ -148,10 +148,10 @@ def walk_leaves(n: int, m: int, reach: int) -> float:
     return min(1.0, out)
 
 
-def ks_two_sample(df: DataFrame, value: str, first: Column) -> DataFrame:
+def ks_two_sample(df: DataFrame, value: str, first: Column, exact_up_to: int = EXACT_UP_TO) -> DataFrame:
     """Largest gap of two empirical distributions, and its p-value.
 
-    Up to ``EXACT_UP_TO`` rows in the larger sample p is exact, by a count of paths in the one
+    Up to ``exact_up_to`` rows in the larger sample p is exact, by a count of paths in the one
     result row; beyond that it is the limit's. Null without rows in both samples.
     """
     ranked = cumulative_counts(_two_sample_counts(df, value, first), [], ["a", "b"])
@@ -160,7 +160,7 @@ def ks_two_sample(df: DataFrame, value: str, first: Column) -> DataFrame:
         F.max(F.abs(F.try_divide("cum_a", "total_a") - F.try_divide("cum_b", "total_b"))).alias("statistic"),
         F.max("total_a").alias("n_first"),
         F.max("total_b").alias("n_second"),
-        F.max(F.when(F.greatest("total_a", "total_b") <= EXACT_UP_TO, gap)).alias("_reach"),
+        F.max(F.when(F.greatest("total_a", "total_b") <= exact_up_to, gap)).alias("_reach"),
     )
 
     @F.arrow_udf(T.DoubleType())
@@ -177,7 +177,7 @@ def ks_two_sample(df: DataFrame, value: str, first: Column) -> DataFrame:
     series = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.lit(0.0), term)
     # The alternating series does not settle near zero, where p is 1.
     limit = F.when(scaled < 0.04, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
-    small = F.greatest("n_first", "n_second") <= EXACT_UP_TO
+    small = F.greatest("n_first", "n_second") <= exact_up_to
     counted = row.withColumn("_exact", exact("n_first", "n_second", "_reach"))
     p = F.when((F.col("n_first") > 0) & (F.col("n_second") > 0), F.when(small, F.col("_exact")).otherwise(limit))
     return counted.withColumn("p_value", p).drop("_reach", "_exact")

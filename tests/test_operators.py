@@ -277,11 +277,10 @@ def test_exact_p_by_counting_all_orders(spark):
     assert none["p_value"] is None and none["n_second"] == 0
 
 
-def test_p_is_the_limits_beyond_the_exact_sizes(spark, monkeypatch):
+def test_p_is_the_limits_beyond_the_exact_sizes(spark):
     rows = spark.range(1200).select((F.col("id") * 7 % 1201).alias("v"), (F.col("id") % 3 == 0).alias("f"))
     exact = stats.ks_two_sample(rows, "v", F.col("f")).first()["p_value"]
-    monkeypatch.setattr(stats, "EXACT_UP_TO", 10)
-    assert stats.ks_two_sample(rows, "v", F.col("f")).first()["p_value"] == pytest.approx(exact, abs=0.03)
+    assert stats.ks_two_sample(rows, "v", F.col("f"), exact_up_to=10).first()["p_value"] == pytest.approx(exact, abs=0.03)
 
 
 def test_student_p_values(spark):
