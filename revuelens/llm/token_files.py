@@ -13,6 +13,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from revuelens.session import materialize, work_dir
 SKIPPABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_BYTES = 1 << 19
 # Bytes of remembered words, of each kind, in a task, and of those that a worker process keeps for the next.
-CACHED_BYTES, KEPT_BYTES = 40 << 20, 8 << 20
+CACHED_BYTES, KEPT_BYTES = 128 << 20, 64 << 20
 WORD_BYTES = 150  # of a remembered word beside its letters and ids
 RUN_WORDS = 4000
 # How a byte-level vocabulary writes a blank and a newline.
@@ -86,24 +87,21 @@ class WordEncoder:
             skip = step * self.width
             for w, x, y in zip(run, at_byte[:-1], at_byte[1:], strict=True):
                 known[w] = raw[x + skip : y]
-        size = sum(_bytes_of(w, known[w]) for w in new)
+        size = WORD_BYTES * len(new) + 2 * sum(map(len, new)) + sum(map(len, map(known.__getitem__, new)))
         if self.held[id(known)] + size > CACHED_BYTES:
             return new
         self.held[id(known)] += size
         return []
 
     def forget(self) -> None:
-        """Keep the words met first, which are the frequent ones, up to ``KEPT_BYTES``."""
+        """Keep the words met first, which are the frequent ones, up to about ``KEPT_BYTES`` of each kind."""
         for known in (self.inner, self.first):
-            kept, size = [], 0
-            for w, ids in known.items():
-                size += _bytes_of(w, ids)
-                if size > KEPT_BYTES:
-                    break
-                kept.append((w, ids))
-            known.clear()
-            known.update(kept)
-            self.held[id(known)] = sum(_bytes_of(w, ids) for w, ids in kept)
+            held = self.held[id(known)]
+            if held > KEPT_BYTES:
+                kept = dict(islice(known.items(), len(known) * KEPT_BYTES // held))
+                known.clear()
+                known.update(kept)
+                self.held[id(known)] = KEPT_BYTES
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of the encoder's width."""
@@ -135,10 +133,6 @@ class WordEncoder:
         return out
 
 
-def _bytes_of(word: str, ids: bytes) -> int:
-    return WORD_BYTES + 2 * len(word) + len(ids)
-
-
 _encoders: dict[str, WordEncoder] = {}
 
 

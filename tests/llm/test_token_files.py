@@ -40,6 +40,22 @@ def test_word_cuts_do_not_change_ids():
     assert got == [plain(t) for t in texts]
 
 
+def test_what_is_remembered_is_bounded(monkeypatch):
+    from revuelens.llm import token_files
+
+    monkeypatch.setattr(token_files, "CACHED_BYTES", 40_000)
+    monkeypatch.setattr(token_files, "KEPT_BYTES", 4_000)
+    encoder = WordEncoder(PATH)
+    for k in range(5):
+        texts = [f"again word{k}x{i} and more{i}" for i in range(60)]
+        got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)]
+        assert got == [plain(t) for t in texts]
+        assert max(encoder.held.values()) <= 40_000 and len(encoder.inner) < 260
+    encoder.forget()
+    assert max(encoder.held.values()) <= 4_000 and 5 < len(encoder.inner) < 40
+    assert np.frombuffer(encoder.encode(texts)[0], encoder.dtype).tolist() == plain(texts[0])
+
+
 def test_round_trip(spark):
     rows = [(i * 3 % 101, ODD[i % len(ODD)]) for i in range(101)] + [(7, "again"), (7, "again"), (None, "no id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as start").repartition(5)
