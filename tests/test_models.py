@@ -159,6 +159,35 @@ def test_cells_rule_out_most_pairs(spark, monkeypatch):
     assert sum(r["compared"] for r in got.values()) < 0.15 * n_pairs
 
 
+@pytest.mark.parametrize("page", [90, 5000])
+def test_a_request_meets_a_page_once_not_every_cell(spark, monkeypatch, page):
+    """Vectors without structure, where no cell is ruled out; also a leaf of more vectors than a page, and ids that repeat."""
+    monkeypatch.setattr(cells, "CELL", 16)
+    monkeypatch.setattr(cells, "PAGE", page)
+    draw = np.random.default_rng(5)
+    points = draw.normal(size=(1000, 12))
+    points[800:] = points[0] * np.arange(2, 202)[:, None]
+    pool = spark.createDataFrame([(i, "s", p.tolist()) for i, p in enumerate(points)], "review_id long, s string, v array<double>")
+    asked = draw.normal(size=(60, 12))
+    requests = spark.createDataFrame(
+        [(i // 2, "s", asked[i // 2].tolist()) for i in range(120)], "request_id int, s string, v array<double>"
+    )
+    index = cells.build_cells(pool, "v", ["s"])
+    sent = []
+    told = cells._pages_to_ask
+    monkeypatch.setattr(cells, "_pages_to_ask", lambda *a: sent.append(told(*a)) or sent[-1])
+    got = {r["request_id"]: r for r in cells.search_cells(index, requests, "v").collect()}
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    for i, q in enumerate(asked):
+        similar = unit @ (q / np.linalg.norm(q))
+        assert got[i]["similarity"] == pytest.approx(similar.max(), abs=1e-9)
+        assert similar[got[i]["review_id"]] == pytest.approx(similar.max(), abs=1e-9)
+    pages = cells._leaves(index).agg(F.max(F.col("_page") + F.col("_pages"))).first()[0]
+    n_cells = index.vectors.select("_node").distinct().count()
+    n_sent = sent[0].groupBy("_row").count().agg(F.max("count")).first()[0]
+    assert n_sent <= pages <= 1000 / page + 4 and n_cells > 5 * pages
+
+
 def test_every_request_is_answered(spark):
     requests = spark.createDataFrame(
         [(1, 0, 1, [1.0, 0.0]), (2, 0, 1, [0.0, 0.0]), (3, 0, 1, None), (4, 9, 9, [1.0, 1.0]), (5, None, 1, [1.0, 0.0])],
