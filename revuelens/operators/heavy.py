@@ -6,7 +6,7 @@ number of different terms. The summary misses a term by at most ``ERROR`` of the
 over its size. Terms that may be among the first ``k`` by that margin are then counted
 exactly, in a second pass in which only they are kept. The result is complete where the
 k-th count exceeds twice the error; a group in which it does not is summed up again in a
-larger summary, and counted in full after that.
+larger summary, and counted in full after that. Few groups have the larger one at once.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from revuelens.session import materialize
 # Fixed value: the sketch's error is this share of the rows over the size of its table.
 ERROR = 3.5
 SIZES = (1 << 14, 1 << 18)  # terms that a summary keeps, first and where that is too few
+HELD = 1 << 21  # terms that the summaries of a task may keep for the larger size to come first
 SENT = 100_000  # candidates that go to the tasks whole
 
 
@@ -59,14 +60,17 @@ def top_of_summaries(df: DataFrame, by: Sequence[str], terms: Column, k: int) ->
     """
     named = [f"_by{i}" for i in range(len(by))] or ["_by0"]
     groups = [F.col(c).alias(n) for c, n in zip(by, named, strict=False)] or [F.lit(0).alias("_by0")]
-    source = df.select(*groups, F.filter(terms, lambda t: t.isNotNull()).alias("_terms"))
+    source = df.select(*groups, terms.alias("_terms"))
     counts, rest = [], None
 
     def exploded(left: DataFrame | None) -> DataFrame:
         of = source if left is None else null_safe_join(source, left, named, "left_semi")
-        return of.select(*named, F.explode("_terms").alias("term"))
+        # The outer form: of a plain one Spark infers a filter that makes the terms a second time.
+        return of.select(*named, F.explode_outer("_terms").alias("term")).filter(F.col("term").isNotNull())
 
-    for size in SIZES:
+    # A pass makes all terms again, which costs more than a larger summary of few groups.
+    n_groups = source.select(*named).distinct().count()
+    for size in SIZES[-1:] if n_groups * SIZES[-1] <= HELD else SIZES:
         summaries = materialize(summarize(exploded(rest), named, size))
         kept, open_groups = candidates(summaries, named, size, k)
         kept = materialize(kept)

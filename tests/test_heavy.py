@@ -45,3 +45,21 @@ def test_few_terms_are_left_to_count(texts):
 def test_vocabulary_is_the_counted_one(texts):
     found = heavy.frequent_vocabulary(texts, "t", 50)
     assert rows(found.drop("n")) == rows(text.word_vocabulary(texts, "t", 50))
+
+
+def test_few_groups_are_summed_up_once(spark, monkeypatch):
+    """No second pass over the terms, and the terms are made once in each."""
+    monkeypatch.setattr(heavy, "SIZES", (8, 1024))
+    made = []
+    summarize = heavy.summarize
+    monkeypatch.setattr(heavy, "summarize", lambda rows, by, size: made.append(rows) or summarize(rows, by, size))
+    texts = [(i % 3, " ".join(f"w{i * j % 29}" for j in range(1, 30)) if i % 4 else None) for i in range(120)]
+    rows = spark.createDataFrame(texts, "g int, t string")
+    got = heavy.frequent_ngrams(rows, "t", 2, 5, ["g"]).collect()
+    assert sorted(got) == sorted(text.top_ngrams(rows, "t", 2, 5, ["g"]).collect())
+    assert len(made) == 1
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # tokens, and pairs of them
+    monkeypatch.setattr(heavy, "HELD", 0)
+    assert sorted(heavy.frequent_ngrams(rows, "t", 2, 5, ["g"]).collect()) == sorted(got)
+    assert len(made) > 2
