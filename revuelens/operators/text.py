@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import ctypes
+import gc
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +110,33 @@ def word_vocabulary(df: DataFrame, text: str, size: int) -> DataFrame:
     )
 
 
+SLICE_BYTES = 1 << 20  # of text that a worker takes apart at a time
+
+
+def row_runs(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``limit`` in all each, one row at least."""
+    sizes = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    start = 0
+    while start < len(sizes) - 1:
+        stop = max(int(np.searchsorted(sizes, sizes[start] + limit, side="right")) - 1, start + 1)
+        yield start, stop
+        start = stop
+
+
+def text_bytes(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text; null has none."""
+    return pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)
+
+
+def release() -> None:
+    """Give back what a worker process no longer uses; processes outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 SENT_BYTES = 32 << 20  # of a word table that goes to the tasks whole
 
 
@@ -124,6 +153,25 @@ def _word_places(rows: pa.Array, words_of: pa.Array) -> tuple[np.ndarray, np.nda
     return row, found
 
 
+WORD_RUN = 1 << 18  # words that are looked up at a time
+
+
+def _word_runs(rows: pa.Array, words_of: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``_word_places`` of some rows at a time, and how many rows they are."""
+    for start, stop in row_runs(rows.value_lengths().fill_null(0).to_numpy(), WORD_RUN):
+        yield stop - start, *_word_places(rows.slice(start, stop - start), words_of)
+
+
+def _listed_ids(rows: pa.Array, words_of: pa.Array, ids: np.ndarray) -> pa.Array:
+    """Lists of ids in place of lists of words; the last id stands for words without one."""
+    found, lengths = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for n, row, place in _word_runs(rows, words_of):
+        found.append(ids[place])
+        lengths.append(np.bincount(row, minlength=n))
+    ends = np.cumsum(np.concatenate(lengths))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+
+
 def token_ids(
     df: DataFrame, text: str, vocabulary: DataFrame, max_len: int, id_column: str = "review_id"
 ) -> DataFrame:
@@ -142,10 +190,7 @@ def token_ids(
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def look_up(rows: pa.Array) -> pa.Array:
-            words_of, ids = shared.value
-            row, place = _word_places(rows, words_of)
-            ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(rows))))
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[place], pa.int32()))
+            return _listed_ids(rows, *shared.value)
 
         numbered = df.select(id_column, look_up(first).alias("_ids"))
     else:
@@ -173,6 +218,22 @@ def char_vocab(df: DataFrame, text: str) -> DataFrame:
     return number_distinct(distinct.filter(F.length("char") > 0), "char", "char_id")
 
 
+def _char_ids(texts: pa.Array, known: np.ndarray) -> pa.Array:
+    """Ids of the known characters of each text, a run of texts at a time; null in, null out."""
+    sizes = pc.utf8_length(texts).fill_null(0).to_numpy()
+    flat, ends, used = np.empty(sizes.sum(), dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int32), 0
+    for start, stop in row_runs(text_bytes(texts)):
+        run = "".join(texts.slice(start, stop - start).fill_null("").to_pylist())
+        points = np.frombuffer(run.encode("utf-32-le"), dtype="<u4")
+        ids = np.append(known, np.int32(-1))[np.minimum(points, len(known))]
+        before = np.append(0, np.cumsum(ids >= 0))
+        ends[start + 1 : stop + 1] = used + before[np.cumsum(sizes[start:stop])]
+        flat[used : used + before[-1]] = ids[ids >= 0]
+        used += before[-1]
+    absent = np.append(texts.is_null().to_numpy(zero_copy_only=False), False)
+    return pa.ListArray.from_arrays(pa.array(ends, mask=absent if absent.any() else None), pa.array(flat[:used]))
+
+
 def encode_chars(df: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
     """Add ``encoded``: character ids of the text, unknown characters dropped.
 
@@ -185,16 +246,12 @@ def encode_chars(df: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(table[: int(np.flatnonzero(table >= 0).max(initial=0)) + 1])
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode(texts: pa.Array) -> pa.Array:
-        known, out = shared.value, []
-        for t in texts.to_pylist():
-            if t is None:
-                out.append(None)
-                continue
-            points = np.frombuffer(t.encode("utf-32-le"), dtype="<u4")
-            ids = known[points[points < len(known)]]
-            out.append(ids[ids >= 0])
-        return pa.array(out, pa.list_(pa.int32()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                yield _char_ids(texts, shared.value)
+        finally:
+            release()
 
     return df.withColumn("encoded", encode(F.col(text)))
 
@@ -239,8 +296,9 @@ def lexicon_sentiment(
         @F.arrow_udf(T.DoubleType())
         def total(rows: pa.Array) -> pa.Array:
             words_of, valences = shared.value
-            row, place = _word_places(rows, words_of)
-            return pa.array(np.bincount(row, weights=valences[place], minlength=len(rows)))
+            runs = _word_runs(rows, words_of)
+            sums = [np.bincount(row, weights=valences[place], minlength=n) for n, row, place in runs]
+            return pa.array(np.concatenate([np.zeros(0), *sums]))
 
         scored = df.select(id_column, *keep, total(lowered).alias("valence"))
     else:

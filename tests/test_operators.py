@@ -376,3 +376,24 @@ def test_sentiment_of_text_without_known_words(spark):
     lexicon = spark.createDataFrame([("good", 2.0), ("bad", -1.0)], "word string, valence double")
     got = {r["review_id"]: r["compound"] for r in text.lexicon_sentiment(rows, "t", lexicon).collect()}
     assert got[1] == pytest.approx(3 / math.sqrt(24)) and got[2] == 0 and got[3] == 0
+
+
+def test_character_ids_are_made_a_run_at_a_time(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["ab", None, "", "a?\U0001f600b", "zz", "b" * 50] * 3
+    known = np.full(ord("b") + 1, -1, dtype=np.int32)
+    known[[ord("a"), ord("b")]] = [0, 1]
+    want = [None if t is None else ["ab".index(c) for c in t if c in "ab"] for t in texts]
+    for limit in (1, 7, 1 << 20):
+        monkeypatch.setattr(text, "SLICE_BYTES", limit)
+        sizes = text.text_bytes(pa.array(texts))
+        runs = list(text.row_runs(sizes, limit))
+        assert [i for a, b in runs for i in range(a, b)] == list(range(len(texts)))
+        assert all(b == a + 1 or sizes[a:b].sum() <= limit for a, b in runs)
+        monkeypatch.setattr(text.row_runs, "__defaults__", (limit,))
+        assert text._char_ids(pa.array(texts), known).to_pylist() == want
+        assert text._char_ids(pa.array(texts).slice(2, 3), known).to_pylist() == want[2:5]
+    assert text._char_ids(pa.array([], pa.string()), known).to_pylist() == []
+    assert text._char_ids(pa.array(["ab"]), np.zeros(0, np.int32)).to_pylist() == [[]]
