@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from revuelens.functions.text import words
 from revuelens.functions.vectors import seeded_normals
 from revuelens.operators.models import _affine
-from revuelens.operators.text import SENT_BYTES, _small, _word_places
+from revuelens.operators.text import SENT_BYTES, _listed_ids, _small, _word_places, release
 from revuelens.session import materialize
 
 RUN = 4096  # words of a text whose neighbours are paired at a time
@@ -44,11 +44,12 @@ def co_occurrences(df: DataFrame, text: str, vocabulary: DataFrame, window: int
     )
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def numbered(rows: pa.Array) -> pa.Array:
-        words_of, ids = shared.value
-        row, place = _word_places(rows, words_of)
-        ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(rows))))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[place], pa.int32()))
+    def numbered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for rows in batches:
+                yield _listed_ids(rows, *shared.value)
+        finally:
+            release()
 
     ids = df.filter(F.col(text).isNotNull()).select(numbered(words(F.lower(F.col(text)))).alias("_w"))
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("_w") - 1, F.lit(0)), F.lit(RUN)))

@@ -75,3 +75,38 @@ def test_no_texts(spark):
     empty = word_vectors.learn_word_vectors(docs, "t", word_vocabulary(docs, "t", 5), 4)
     assert empty.count() == 0
     assert vectors.embed_text(docs, {"t": "v"}, 4, encoder=word_vectors.encoder(empty)).filter(F.exists("v", lambda x: x != 0)).count() == 0
+
+
+def test_an_encoder_gets_few_long_texts_at_a_time(spark, tmp_path):
+    from revuelens.operators import vectors
+
+    seen = str(tmp_path / "seen")
+
+    def encode(texts):
+        with open(seen, "a") as log:
+            log.write(f"{sum(map(len, texts))} {len(texts)}\n")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    rows = spark.range(0, 40, 1, 1).select(
+        F.col("id").alias("review_id"),
+        F.when(F.col("id") % 10 != 9, F.repeat(F.lit("a "), 200_000)).alias("t"),
+        F.lit("h").alias("h"),
+    )
+    got = vectors.embed_text(rows, {"t": "v", "h": "w"}, 2, encoder=encode).collect()
+    assert [r["review_id"] for r in got] == list(range(40))
+    assert all(r["v"] == [0.0 if r["review_id"] % 10 == 9 else 400_000.0, 1.0] and r["w"] == [1.0, 1.0] for r in got)
+    assert max(int(line.split()[0]) for line in open(seen)) <= 1 << 20
+
+
+def test_words_are_looked_up_a_run_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from revuelens.operators import text
+
+    monkeypatch.setattr(text, "WORD_RUN", 3)
+    rows = pa.array([["a", "b"], None, [], ["c", "a", "a", "b"], ["c"], ["b", "b"]])
+    runs = list(text._word_runs(rows, pa.array(["a", "b"])))
+    assert len(runs) == 3 and [n for n, *_ in runs] == [3, 1, 2]
+    found = text._listed_ids(rows, pa.array(["a", "b"]), np.array([5, 6, -1], dtype=np.int32))
+    assert found.to_pylist() == [[5, 6], [], [], [-1, 5, 5, 6], [-1], [6, 6]]
+    assert text._listed_ids(rows.slice(3, 2), pa.array(["a", "b"]), np.array([5, 6, -1], dtype=np.int32)).to_pylist() == [[-1, 5, 5, 6], [-1]]
