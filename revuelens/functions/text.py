@@ -99,11 +99,15 @@ def prompt(category: str = "product_category", rating: str = "star_rating") -> C
     )
 
 
+# How much of a headline and of a body ``target`` shows.
+SHOWN = {"review_headline": 50, "review_body": 200}
+
+
 def target(headline: str = "review_headline", body: str = "review_body") -> Column:
     """Reply text of a conditional generator (fixed format and lengths)."""
     return F.concat(
         F.lit("Headline: "),
-        preview(F.col(headline), 50),
+        preview(F.col(headline), SHOWN["review_headline"]),
         F.lit(" Body: "),
-        preview(F.col(body), 200),
+        preview(F.col(body), SHOWN["review_body"]),
     )

@@ -281,3 +281,40 @@ def test_noise_schedule_ends(spark):
     rows = vectors.noise_schedule(spark).orderBy("step").collect()
     assert len(rows) == 100 and rows[0]["beta"] == pytest.approx(1e-4) and rows[-1]["beta"] == pytest.approx(0.02)
     assert rows[-1]["alpha_bar"] == pytest.approx(np.prod(1 - np.linspace(1e-4, 0.02, 100)))
+
+
+def test_moved_texts_are_no_longer_than_shown(spark):
+    """A record's text is the same from the cut headline and body."""
+    from revuelens.functions.text import SHOWN, preview, target
+
+    rows = spark.createDataFrame(
+        [("h" * 70, "b" * 300), ("short", "body"), (None, "b"), ("h", None), ("\U0001f600" * 60, "é" * 201)],
+        "review_headline string, review_body string",
+    )
+    cut = rows.select(*[preview(F.col(c), n).alias(c) for c, n in SHOWN.items()])
+    assert cut.select(target()).collect() == rows.select(target()).collect()
+    assert cut.agg(F.max(F.length("review_headline")), F.max(F.length("review_body"))).first() == (50, 200)
+
+
+def test_scores_are_stored_before_they_are_ranked(spark, monkeypatch):
+    from revuelens.plans import queries_models as q
+
+    judged = []
+    ranked = q.stats.roc_auc
+    monkeypatch.setattr(q.stats, "roc_auc", lambda df, *a: judged.append(df) or ranked(df, *a))
+    table = spark.range(0, 40, 1, 2).select(
+        F.col("id").alias("review_id"),
+        (F.col("id") % 2).cast("int").alias("category_encoded"),
+        (1 + F.col("id") % 5).cast("int").alias("star_rating"),
+        (F.col("id") % 10 / 10.0).alias("helpfulness"),
+        F.array([F.sin(F.col("id") + i).cast("float") for i in range(q.fx.VECTOR_WIDTH)]).alias("body_emb"),
+        F.array([F.cos(F.col("id") * i).cast("float") for i in range(q.fx.VECTOR_WIDTH)]).alias("head_emb"),
+        F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("split"),
+    )
+    real = materialize(table)
+    other = real.withColumn("head_emb", F.col("body_emb"))
+    realism = models.fit_discriminator(q._scored_columns(real), q._scored_columns(other), q.CATEGORIES)
+    records = q.part(other, "test").withColumn("matched", F.lit(True))
+    monkeypatch.setattr(q, "retrieved", lambda *_: (records, other, real, generate.ReviewModels(None, None, realism)))
+    assert q.variants(spark, "").count() == 4
+    assert len(judged) == 3 and all(df.columns == ["label", "score"] for df in judged)
