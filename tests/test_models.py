@@ -283,6 +283,19 @@ def test_noise_schedule_ends(spark):
     assert rows[-1]["alpha_bar"] == pytest.approx(np.prod(1 - np.linspace(1e-4, 0.02, 100)))
 
 
+def test_the_counter_gets_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(models, "PART_TOKENS", 400)
+    texts = [(i, " ".join(f"w{i * j % 23}" for j in range(1, 40))) for i in range(120)]
+    rows = spark.createDataFrame(texts, "review_id long, t string")
+    given = []
+    fit = models.CountVectorizer.fit
+    monkeypatch.setattr(models.CountVectorizer, "fit", lambda self, df: given.append(df) or fit(self, df))
+    model = models.fit_topics(rows, "t", 1, k=2, rounds=2, min_docs=1, max_doc_share=1000.0)
+    assert len(model.vocabulary) == 23
+    held = given[0].groupBy(F.spark_partition_id()).agg(F.sum(F.size("_tokens")).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    assert held[0] == 120 * 39 and held[1] <= 800
+
+
 def test_moved_texts_are_no_longer_than_shown(spark):
     """A record's text is the same from the cut headline and body."""
     from revuelens.functions.text import SHOWN, preview, target
